@@ -40,14 +40,18 @@ PLAIN = {
 
 
 class Inputs:
-    """The derived tables of one folder. Cleaned matches are kept, as everything reads them."""
+    """The derived tables of one folder.
+
+    Source files and cleaned matches are stored as tables first, as nearly every query
+    reads them: matches by season, so that a season filter prunes folders.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
     @cached_property
     def tables(self) -> dict[str, DataFrame]:
-        return fixtures.load(self.spark, self.sf_dir)
+        return fixtures.load(self.spark, self.sf_dir, self.folder("sources"))
 
     def raw(self, name: str) -> DataFrame:
         return self.tables[name]
@@ -60,9 +64,21 @@ class Inputs:
     def both(self) -> DataFrame:
         return cleaning.union_matches(self.raw("fx_league"), self.raw("fx_results"))
 
+    def folder(self, name: str) -> str:
+        """Place of a stored table, apart for every application and input folder."""
+        app = self.spark.sparkContext.applicationId
+        return f"{shared_dir(self.spark)}/matchlake/{app}/{self.sf_dir.strip('/').replace('/', '_')}/{name}"
+
+    def stored(self, name: str, df: DataFrame) -> DataFrame:
+        """Write a feature table once and go on from its files, without its lineage."""
+        df.write.mode("overwrite").parquet(self.folder(name))
+        return self.spark.read.parquet(self.folder(name))
+
     @cached_property
     def matches(self) -> DataFrame:
-        return cleaning.clean_matches(self.raw("fx_league"), self.raw("fx_results")).persist()
+        path = self.folder("matches")
+        snapshots.write_matches(cleaning.clean_matches(self.raw("fx_league"), self.raw("fx_results")), path)
+        return self.spark.read.parquet(path)
 
     @cached_property
     def season(self):
@@ -104,7 +120,7 @@ class Inputs:
 
     @cached_property
     def star(self) -> DataFrame:
-        return players.star_features(self.merged)
+        return self.stored("star", players.star_features(self.merged))
 
     @cached_property
     def goals(self) -> DataFrame:
@@ -112,15 +128,15 @@ class Inputs:
 
     @cached_property
     def goalkeepers(self) -> DataFrame:
-        return players.gk_features(self.players["gk"])
+        return self.stored("goalkeepers", players.gk_features(self.players["gk"]))
 
     @cached_property
     def psych(self) -> DataFrame:
-        return teams.psych_table(self.matches, self.season, self.wide)
+        return self.stored("psych", teams.psych_table(self.matches, self.season, self.wide))
 
     @cached_property
     def clutch(self) -> DataFrame:
-        return players.clutch_features(self.players["standard"], self.players["misc"], self.psych)
+        return self.stored("clutch", players.clutch_features(self.players["standard"], self.players["misc"], self.psych))
 
     @cached_property
     def html(self) -> DataFrame:
@@ -134,11 +150,19 @@ class Inputs:
     def current_form(self) -> DataFrame:
         return teams.recent_form(teams.team_sides(self.current, teams.POINTS))
 
+    @cached_property
+    def index(self) -> DataFrame:
+        return self.stored("index", players.star_index(self.star))
+
+    @cached_property
+    def cards(self):
+        return league.fit_cards(self.matches, self.season, CUTOFF_WEEK, SEASON_LENGTH, SMALL_GRID)
+
     @cached_property
     def scored_stars(self) -> DataFrame:
         """Star labels with a fixed score in [0, 1) that has ties."""
         x = F.col("xGPer90") + F.col("xAPer90")
-        return players.star_label(self.star).withColumn("score", F.round(x / (1 + x), 2))
+        return players.star_label(self.star).withColumn("score", F.floor(x / (1 + x) * 100) / 100)
 
 
 _inputs: dict[tuple[str, str], Inputs] = {}
@@ -176,7 +200,7 @@ _STANDARD = "Player string, Squad string, Nation string, Age int, Born int, Pos
 
 @query("S01_read_table")
 def _(x: Inputs):
-    path = f"{shared_dir(x.spark)}/tables/{x.sf_dir.strip('/').replace('/', '_')}/standard_csv"
+    path = x.folder("standard_csv")
     x.players["standard"].write.mode("overwrite").option("header", True).option("encoding", "ISO-8859-1").csv(path)
     return snapshots.read_table(x.spark, path, _STANDARD)
 
@@ -188,7 +212,7 @@ def _(x: Inputs):
 
 @query("S03_write_dated")
 def _(x: Inputs):
-    path = f"{shared_dir(x.spark)}/tables/{x.sf_dir.strip('/').replace('/', '_')}/dated"
+    path = x.folder("dated")
     snapshots.write_dated(x.players["passing"].filter("PrgP > 20"), path, "Passing", "Player", "2025-01-31")
     snapshots.write_dated(x.players["passing"], path, "Passing", "Player", "2025-02-01")
     return snapshots.read_dated(x.spark, path, "Passing")
@@ -440,7 +464,7 @@ def _(x: Inputs):
 
 @query("T22_predicted_cards")
 def _(x: Inputs):
-    (yellow, _), (red, _) = league.fit_cards(x.matches, x.season, CUTOFF_WEEK, SEASON_LENGTH, SMALL_GRID)
+    (yellow, _), (red, _) = x.cards
     return league.card_forecast(yellow, red, x.psych)
 
 
@@ -562,7 +586,7 @@ def _(x: Inputs):
 
 @query("P05_star_index")
 def _(x: Inputs):
-    return players.star_index(x.star).select(
+    return x.index.select(
         "Player", "Squad", "StarScore", "GoalsPer90", "AssistsPer90", "xGPer90", "xAPer90", "KP", "GCA90", "Touches",
         "CrdYPer90", "CrdRPer90",
     )
@@ -570,12 +594,12 @@ def _(x: Inputs):
 
 @query("P06_star_summary")
 def _(x: Inputs):
-    return players.star_summary(players.star_index(x.star))
+    return players.star_summary(x.index)
 
 
 @query("P07_star_index_fit")
 def _(x: Inputs):
-    return players.star_index_fit(players.star_index(x.star))
+    return players.star_index_fit(x.index)
 
 
 @query("P08_star_label")
@@ -605,7 +629,7 @@ def _(x: Inputs):
 
 @query("P13_top_k")
 def _(x: Inputs):
-    return players.top_k(players.star_index(x.star), "StarScore").select("Player", "Squad", "StarScore")
+    return players.top_k(x.index, "StarScore").select("Player", "Squad", "StarScore")
 
 
 # -- metrics and models -----------------------------------------------------
@@ -641,7 +665,7 @@ def _(x: Inputs):
 
 @query("M05_tune_regressor")
 def _(x: Inputs):
-    (_, yellow), (_, red) = league.fit_cards(x.matches, x.season, CUTOFF_WEEK, SEASON_LENGTH, SMALL_GRID)
+    (_, yellow), (_, red) = x.cards
     return x.spark.createDataFrame([("yellow", yellow), ("red", red)], "Target string, BestMAE double")
 
 

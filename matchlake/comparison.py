@@ -184,9 +184,9 @@ _scaled = lambda n: f"COALESCE(({n} - MIN({n}) OVER ()) / NULLIF(MAX({n}) OVER (
 PARTS["scaled"] = f"SELECT Player, Squad, {', '.join(f'{_scaled(n)} AS {n}' for n in _STAR)} FROM star"
 PARTS["spi"] = f"SELECT *, {' + '.join(f'{n} * ({w})' for n, w in _STAR.items())} AS StarScore FROM scaled"
 PARTS["starred"] = """
-SELECT *, CASE WHEN ga >= (SELECT QUANTILE_CONT(GoalsPer90 + AssistsPer90, 0.9) FROM star) THEN 1 ELSE 0 END AS is_star
+SELECT *, CASE WHEN ROUND(ga, 9) >= (SELECT ROUND(QUANTILE_CONT(GoalsPer90 + AssistsPer90, 0.9), 9) FROM star) THEN 1 ELSE 0 END AS is_star
 FROM (SELECT *, GoalsPer90 + AssistsPer90 AS ga FROM star)"""
-PARTS["scored"] = "SELECT is_star, ROUND((xGPer90 + xAPer90) / (1 + (xGPer90 + xAPer90)), 2) AS score FROM starred"
+PARTS["scored"] = "SELECT is_star, FLOOR((xGPer90 + xAPer90) / (1 + (xGPer90 + xAPer90)) * 100) / 100 AS score FROM starred"
 PARTS["goal_rows"] = """
 SELECT * FROM (SELECT Player, Squad, Min, Pos, Gls, Gls / NULLIF("90s", 0) AS GoalsPer90,
   CASE WHEN Age % 29 <> 0 THEN Sh / NULLIF("90s", 0) END AS ShotsPer90, CASE WHEN Age % 29 <> 0 THEN xG / NULLIF("90s", 0) END AS xGPer90,
@@ -410,14 +410,14 @@ _FINAL["P08_star_label"] = "SELECT Player, Squad, ROUND(ga, 6) AS GA_per90, is_s
 _GK = ["GA", "PSxG", "GoalsPrevented", "PSxG_per_SoT", "Stp_pct", "OPA_per90", "AvgDist", "Launch_pct", "Cmp_pct"]
 _FINAL["P09_gk_features"] = _rounded(_GK, "gk_rows", "Player, Squad")
 _FINAL["P10_gk_label"] = """
-SELECT Player, Squad, GoalsPrevented, CASE WHEN GoalsPrevented > (SELECT MEDIAN(GoalsPrevented) FROM gk_rows) THEN 1 ELSE 0 END AS is_top_gk
+SELECT Player, Squad, GoalsPrevented, CASE WHEN ROUND(GoalsPrevented, 9) > (SELECT ROUND(MEDIAN(GoalsPrevented), 9) FROM gk_rows) THEN 1 ELSE 0 END AS is_top_gk
 FROM gk_rows"""
 _CLUTCH = [
     "GoalsPer90_HP", "AssistsPer90_HP", "FoulsPer90_HP", "CrdYPer90_HP", "CrdRPer90_HP", "FormInPressure", "PressureFlagCount",
 ]
 _FINAL["P11_clutch_features"] = _rounded(_CLUTCH, "clutch", "Player, Squad")
 _FINAL["P12_clutch_label"] = """
-SELECT Player, Squad, ROUND(g, 6) AS GA_Per90_HP, CASE WHEN g >= (SELECT QUANTILE_CONT(GoalsPer90_HP + AssistsPer90_HP, 0.75) FROM clutch)
+SELECT Player, Squad, ROUND(g, 6) AS GA_Per90_HP, CASE WHEN ROUND(g, 9) >= (SELECT ROUND(QUANTILE_CONT(GoalsPer90_HP + AssistsPer90_HP, 0.75), 9) FROM clutch)
   THEN 1 ELSE 0 END AS is_clutch FROM (SELECT *, GoalsPer90_HP + AssistsPer90_HP AS g FROM clutch)"""
 _FINAL["P13_top_k"] = "SELECT Player, Squad, ROUND(StarScore, 6) AS StarScore FROM spi ORDER BY StarScore DESC, Player, Squad LIMIT 15"
 

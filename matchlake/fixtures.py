@@ -141,14 +141,22 @@ PLAYER_TABLES = {
 PLAYER_KEYS = ["Player", "Squad", "Nation", "Age", "Born", "Pos", "90s"]
 
 
-def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The derived tables over the parquet files of ``sf_dir``; nothing is read yet."""
+# Joined once and stored, like the files a real league starts from.
+STORED = {"fx_matches", "fx_players"}
+
+
+def load(spark: SparkSession, sf_dir: str, folder: str) -> dict[str, DataFrame]:
+    """The derived tables over the parquet files of ``sf_dir``; stored ones go to ``folder``."""
     for table in BASE_TABLES:
         spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
     tables = {}
     for view, text in VIEWS.items():
-        tables[view] = spark.sql(text)
-        tables[view].createOrReplaceTempView(view)
+        df = spark.sql(text)
+        if view in STORED:
+            df.write.mode("overwrite").parquet(f"{folder}/{view}")
+            df = spark.read.parquet(f"{folder}/{view}")
+        df.createOrReplaceTempView(view)
+        tables[view] = df
     return tables
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import NumericType
 
 from matchlake.functions import columns as c
 
@@ -72,14 +73,20 @@ def ensure_columns(df: DataFrame, names: Sequence[str], default: float | int = 0
     return df.withColumns(missing) if missing else df
 
 
+def number(df: DataFrame, name: str) -> Column:
+    """A column as double; only text is parsed."""
+    col = F.col(f"`{name}`")
+    return col.cast("double") if isinstance(df.schema[name].dataType, NumericType) else c.to_number(col)
+
+
 def coerce_numeric(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    return df.withColumns({n: c.to_number(F.col(f"`{n}`")) for n in names if n in df.columns})
+    return df.withColumns({n: number(df, n) for n in names if n in df.columns})
 
 
 def first_present(df: DataFrame, candidates: Sequence[str]) -> Column:
     for name in candidates:
         if name in df.columns:
-            return c.to_number(F.col(f"`{name}`"))
+            return number(df, name)
     return F.lit(0.0)
 
 

@@ -45,8 +45,16 @@ CLUTCH = Size(100, 0.1, 3)
 CARD_GRID = {"trees": [100, 200], "step": [0.01, 0.05, 0.1], "depth": [3, 4, 5]}
 
 
+# A missing value gets a place of its own, far below all others, so that a tree can split it off.
+MISSING = -1e9
+
+
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep").transform(df)
+    filled = [f"_f{i}" for i in range(len(features))]
+    values = {
+        new: F.coalesce(c.finite_or_null(F.col(f"`{name}`")), F.lit(MISSING)) for new, name in zip(filled, features)
+    }
+    return VectorAssembler(inputCols=filled, outputCol=out).transform(df.withColumns(values)).drop(*filled)
 
 
 def _fit(estimator, df: DataFrame, features: Sequence[str], *others: str):
@@ -133,7 +141,7 @@ def tune_regressor(
         fitted = search.fit(rows)
     finally:
         rows.unpersist()
-    return fitted.bestModel, min(fitted.avgMetrics)
+    return fitted.bestModel, float(min(fitted.avgMetrics))
 
 
 def feature_importances(model, features: Sequence[str], df: DataFrame) -> DataFrame:

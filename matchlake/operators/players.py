@@ -79,7 +79,7 @@ def merge_player_tables(standard: DataFrame, others: Sequence[DataFrame | None],
 def goal_features(standard: DataFrame, shooting: DataFrame, passing: DataFrame) -> DataFrame:
     """Regular attackers and midfielders with their goal, shot, xG and xA rates."""
     df = _add_columns(_add_columns(standard, shooting, ["Player", "Squad"]), passing, ["Player", "Squad"])
-    nineties = c.to_number(_q("90s"))
+    nineties = cleaning.number(df, "90s")
     minutes = cleaning.first_present(df, ["Min"])
     df = df.withColumns(
         {
@@ -100,7 +100,7 @@ def goal_features(standard: DataFrame, shooting: DataFrame, passing: DataFrame)
 
 
 def star_features(merged: DataFrame) -> DataFrame:
-    nineties = c.to_number(_q("90s"))
+    nineties = cleaning.number(merged, "90s")
     stat = lambda name: cleaning.first_present(merged, [name])
     rates = {
         "GoalsPer90": "Gls", "AssistsPer90": "Ast", "xGPer90": "xG", "xAPer90": "xA", "CrdYPer90": "CrdY",
@@ -143,8 +143,10 @@ def star_index_fit(index: DataFrame) -> DataFrame:
 
 
 def _above(df: DataFrame, value: str, q: float, out: str, strict: bool = False) -> DataFrame:
-    bound = ordered.exact_quantile(df, value, q).scalar()
-    hit = F.col(value) > bound if strict else F.col(value) >= bound
+    # Compared at nine places, so that equal rates are not told apart by their last bits.
+    bound = F.round(ordered.exact_quantile(df, value, q).scalar(), 9)
+    rate = F.round(value, 9)
+    hit = rate > bound if strict else rate >= bound
     return df.withColumn(out, F.when(hit, 1).otherwise(0))
 
 
@@ -169,14 +171,14 @@ def gk_label(features: DataFrame) -> DataFrame:
 
 def clutch_features(standard: DataFrame, misc: DataFrame, psych: DataFrame) -> DataFrame:
     """Rates scaled by the pressure on a player's team; 0 / 0 for teams without pressure drops the row."""
+    of = lambda df, name, out: cleaning.number(df, name).alias(out)
     std = standard.select(
-        "Player", "Squad", c.to_number("Gls").alias("Gls"), c.to_number("Ast").alias("Ast"),
-        c.to_number(_q("90s")).alias("Std90s"), c.to_number("Matches").alias("StdMatches"),
+        "Player", "Squad", of(standard, "Gls", "Gls"), of(standard, "Ast", "Ast"),
+        of(standard, "90s", "Std90s"), of(standard, "Matches", "StdMatches"),
     )
     oth = misc.select(
-        "Player", "Squad", c.to_number("Fls").alias("Fls"), c.to_number("CrdY").alias("CrdY"),
-        c.to_number("CrdR").alias("CrdR"), c.to_number(_q("90s")).alias("Misc90s"),
-        c.to_number("Matches").alias("MiscMatches"),
+        "Player", "Squad", of(misc, "Fls", "Fls"), of(misc, "CrdY", "CrdY"), of(misc, "CrdR", "CrdR"),
+        of(misc, "90s", "Misc90s"), of(misc, "Matches", "MiscMatches"),
     )
     # 38 is the fixed season length of the pressure share; 0.1 stands for unknown teams.
     flags = psych.select(F.col("Team").alias("Squad"), (F.col("HighPressureFlag") / 38).alias("PressureRatio"))
