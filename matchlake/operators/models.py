@@ -9,14 +9,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchlake.functions import columns as c
@@ -57,15 +56,18 @@ def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> D
     return VectorAssembler(inputCols=filled, outputCol=out).transform(df.withColumns(values)).drop(*filled)
 
 
+def training_rows(df: DataFrame, features: Sequence[str], *others: Column) -> DataFrame:
+    """Feature vectors and the given columns, checkpointed.
+
+    Boosting reads its input many times. The checkpoint keeps that independent of the
+    feature lineage and of executors that get lost meanwhile.
+    """
+    shared_dir(df.sparkSession)
+    return assemble(df, features).select("features", *others).checkpoint()
+
+
 def _fit(estimator, df: DataFrame, features: Sequence[str], *others: str):
-    """Fit on a stored copy: boosting reads its input once per tree level."""
-    shared_dir(df.sparkSession)  # boosting cuts its lineage there every few trees
-    kept = [F.col(n).cast("double").alias(n) for n in others]
-    rows = assemble(df, features).select("features", *kept).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return estimator.fit(rows)
-    finally:
-        rows.unpersist()
+    return estimator.fit(training_rows(df, features, *[F.col(n).cast("double").alias(n) for n in others]))
 
 
 def fit_regressor(df: DataFrame, features: Sequence[str], label: str, size: Size, seed: int = 42):
@@ -115,7 +117,6 @@ def tune_regressor(
     Folds come from a hash of the row keys, so a recomputed partition keeps its folds.
     """
     grid = grid or CARD_GRID
-    shared_dir(df.sparkSession)
     estimator = GBTRegressor(labelCol=label, seed=seed)
     settings = (
         ParamGridBuilder()
@@ -132,15 +133,8 @@ def tune_regressor(
         foldCol="_fold",
         parallelism=parallelism,
     )
-    rows = (
-        assemble(df, features)
-        .select("features", F.col(label).cast("double").alias(label), (c.stable_hash(seed, *keys) % folds).cast("int").alias("_fold"))
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
-    try:
-        fitted = search.fit(rows)
-    finally:
-        rows.unpersist()
+    fold = (c.stable_hash(seed, *keys) % folds).cast("int")
+    fitted = search.fit(training_rows(df, features, F.col(label).cast("double").alias(label), fold.alias("_fold")))
     return fitted.bestModel, float(min(fitted.avgMetrics))
 
 

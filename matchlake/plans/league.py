@@ -44,14 +44,11 @@ def fit_cards(
     grid: dict | None = None, parallelism: int = 4,
 ):
     """Tuned regressors for yellow and red cards: ((model, error), (model, error))."""
-    rows = teams.discipline_training(matches, season, cutoff_week, season_length).persist()
-    try:
-        return tuple(
-            models.tune_regressor(rows, teams.CARD_FEATURES, target, teams.TEAM, grid, parallelism=parallelism)
-            for target in ("RemainingYellowCards", "RemainingRedCards")
-        )
-    finally:
-        rows.unpersist()
+    rows = teams.discipline_training(matches, season, cutoff_week, season_length)
+    return tuple(
+        models.tune_regressor(rows, teams.CARD_FEATURES, target, teams.TEAM, grid, parallelism=parallelism)
+        for target in ("RemainingYellowCards", "RemainingRedCards")
+    )
 
 
 def card_forecast(yellow_model, red_model, psych: DataFrame) -> DataFrame:
