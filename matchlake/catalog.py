@@ -81,8 +81,9 @@ class Inputs:
         return self.spark.read.parquet(path)
 
     @cached_property
-    def season(self):
-        return cleaning.latest_season(self.matches).scalar()
+    def season(self) -> str:
+        """The one value is read once, so that season filters prune folders at planning time."""
+        return cleaning.latest_season(self.matches).first()["Season"]
 
     @cached_property
     def train(self) -> DataFrame:
@@ -110,7 +111,7 @@ class Inputs:
 
     @cached_property
     def players(self) -> dict[str, DataFrame]:
-        return fixtures.player_tables(self.raw("fx_players"))
+        return fixtures.player_tables(self.stored("players", self.raw("fx_players")))
 
     @cached_property
     def merged(self) -> DataFrame:

@@ -141,8 +141,8 @@ PLAYER_TABLES = {
 PLAYER_KEYS = ["Player", "Squad", "Nation", "Age", "Born", "Pos", "90s"]
 
 
-# Joined once and stored, like the files a real league starts from.
-STORED = {"fx_matches", "fx_players"}
+# Joined once and stored, as the other match views are cut from it.
+STORED = {"fx_matches"}
 
 
 def load(spark: SparkSession, sf_dir: str, folder: str) -> dict[str, DataFrame]:

@@ -57,6 +57,12 @@ def cut_history(
     )
 
 
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the most frequent key: counted on the map side, one number comes back."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.max("n").alias("n")).first()["n"] or 0
+
+
 def rolling_mean(
     df: DataFrame,
     keys: Sequence[str],
@@ -66,14 +72,21 @@ def rolling_mean(
     n: int,
     lag: int = 0,
     chunk_rows: int = CHUNK_ROWS,
+    split: bool | None = None,
 ) -> DataFrame:
     """Mean of the last ``n`` rows per key, one output row per input row.
 
-    ``lag=1`` leaves the row itself out. Each chunk borrows the last
-    ``n - 1 + lag`` rows of the chunks before it, so a key's history is worked
-    on by as many tasks as it has chunks.
+    ``lag=1`` leaves the row itself out. A plain window is used only after counting that
+    no key has more than ``chunk_rows`` rows. Otherwise histories are cut: each chunk
+    borrows the last ``n - 1 + lag`` rows of the chunks before it, so a key is worked on
+    by as many tasks as it has chunks. ``split`` skips the count and decides at once.
     """
     reach = n - 1 + lag
+    if split is None:
+        split = largest_group(df, keys) > chunk_rows
+    if not split:
+        frame = W.partitionBy(*keys).orderBy(day, tie).rowsBetween(-reach, -lag)
+        return df.withColumns({out: F.avg(src).over(frame) for out, src in measures.items()})
     part = [*keys, "_chunk", "_piece"]
     sources = list(dict.fromkeys(measures.values()))
     rows = cut_history(df, keys, day, tie, chunk_rows)

@@ -39,6 +39,13 @@ def test_rolling_mean_in_chunks(history, chunk_rows, n, lag):
     assert {(r.Team, r.MatchId): None if r.form is None else round(r.form, 9) for r in got} == plain(history, n, lag)
 
 
+def test_split_is_decided_by_count(history):
+    keys = ["Season", "Team"]
+    assert ordered.largest_group(history, keys) == 100
+    plan = lambda rows: ordered.rolling_mean(history, keys, "Date", "MatchId", {"f": "Points"}, 5, 0, rows)._jdf.queryExecution().toString()
+    assert "_halo" not in plan(100) and "_halo" in plan(99)
+
+
 def test_hot_day_is_cut(history):
     cut = ordered.cut_history(history, ["Season", "Team"], "Date", "MatchId", 10)
     largest = cut.groupBy("Team", "_chunk", "_piece").count().agg({"count": "max"}).first()[0]
