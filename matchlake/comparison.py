@@ -109,30 +109,37 @@ PARTS["standing"] = """
 SELECT ROW_NUMBER() OVER (ORDER BY PartialPoints + p DESC, Team) AS Rank, Team, PartialPoints, MatchesLeft, RecentFormPPG,
   p AS PredictedRemaining, PartialPoints + p AS PredictedFinalPoints, PartialPoints + 3 * MatchesLeft AS MaxFinalPoints
 FROM (SELECT *, CAST(CEIL(LEAST(GREATEST(ROUND(RecentFormPPG * MatchesLeft, 6), 0), 3 * MatchesLeft)) AS BIGINT) AS p FROM partial)"""
-PARTS["disc"] = """
-SELECT Team, (COALESCE(hf, 0) + COALESCE(af, 0)) / 2 AS FoulsPerGame, (COALESCE(hy, 0) + COALESCE(ay, 0)) / 2 AS YellowCardsPerGame,
-  (COALESCE(hr, 0) + COALESCE(ar, 0)) / 2 AS RedCardsPerGame
+# A team without any value on either side has none; the season table then shows 0.
+_half = lambda h, a: f"CASE WHEN {h} IS NULL AND {a} IS NULL THEN NULL ELSE (COALESCE({h}, 0) + COALESCE({a}, 0)) / 2 END"
+PARTS["disc"] = f"""
+SELECT Team, {_half('hf', 'af')} AS FoulsPerGame, {_half('hy', 'ay')} AS YellowCardsPerGame, {_half('hr', 'ar')} AS RedCardsPerGame
 FROM (SELECT HomeTeam AS Team, AVG(HomeTeamFouls) AS hf, AVG(HomeTeamYellowCards) AS hy, AVG(HomeTeamRedCards) AS hr FROM cur GROUP BY 1)
 FULL JOIN (SELECT AwayTeam AS Team, AVG(AwayTeamFouls) AS af, AVG(AwayTeamYellowCards) AS ay, AVG(AwayTeamRedCards) AS ar FROM cur GROUP BY 1)
 USING (Team)"""
+PARTS["disc_filled"] = """
+SELECT Team, COALESCE(FoulsPerGame, 0) AS FoulsPerGame, COALESCE(YellowCardsPerGame, 0) AS YellowCardsPerGame,
+  COALESCE(RedCardsPerGame, 0) AS RedCardsPerGame, COALESCE(FoulsPerGame + 2 * YellowCardsPerGame + 3 * RedCardsPerGame, 0) AS DisciplineIndex
+FROM disc"""
 PARTS["opp"] = f"""
 SELECT Team, Opponent FROM (
   SELECT {SEASON_RULE} AS Season, Team, UNNEST([Opponent1, Opponent2, Opponent3, Opponent4]) AS Opponent FROM fx_remaining_wide)
 WHERE Season = (SELECT Season FROM latest)"""
-PARTS["profile"] = """
+_PROFILE = """
 SELECT o.Team, COALESCE(AVG(FoulsPerGame), 0) AS OpponentFoulsPG, COALESCE(AVG(YellowCardsPerGame), 0) AS OpponentYellowsPG,
   COALESCE(AVG(RedCardsPerGame), 0) AS OpponentRedsPG
-FROM opp o LEFT JOIN disc d ON d.Team = o.Opponent GROUP BY o.Team"""
+FROM opp o LEFT JOIN {} d ON d.Team = o.Opponent GROUP BY o.Team"""
+PARTS["profile"] = _PROFILE.format("disc")
+PARTS["profile_filled"] = _PROFILE.format("disc_filled")
 PARTS["opp_press"] = """
 SELECT o.Team, COALESCE(AVG(CASE WHEN o.Opponent IS NOT NULL THEN COALESCE(HighPressureFlag, 0) END), 0) AS OpponentPressure
 FROM opp o LEFT JOIN press_cur p ON p.Team = o.Opponent GROUP BY o.Team"""
 PARTS["psych"] = """
 SELECT d.Team, FoulsPerGame, YellowCardsPerGame, RedCardsPerGame,
-  FoulsPerGame + 2 * YellowCardsPerGame + 3 * RedCardsPerGame AS DisciplineIndex, COALESCE(RecentFormPPG, 0) AS RecentFormPPG,
+  DisciplineIndex, COALESCE(RecentFormPPG, 0) AS RecentFormPPG,
   HighPressureFlag, OpponentFoulsPG, OpponentYellowsPG, OpponentRedsPG, OpponentPressure,
   HighPressureFlag + OpponentPressure AS TensionIndex, RefereeStrictness
-FROM disc d LEFT JOIN form_cur f ON f.Team = d.Team LEFT JOIN press_cur p ON p.Team = d.Team
-LEFT JOIN profile o ON o.Team = d.Team LEFT JOIN opp_press q ON q.Team = d.Team LEFT JOIN strict_cur s ON s.Team = d.Team"""
+FROM disc_filled d LEFT JOIN form_cur f ON f.Team = d.Team LEFT JOIN press_cur p ON p.Team = d.Team
+LEFT JOIN profile_filled o ON o.Team = d.Team LEFT JOIN opp_press q ON q.Team = d.Team LEFT JOIN strict_cur s ON s.Team = d.Team"""
 PARTS["before"] = """
 SELECT Season, MatchId, Team,
   COALESCE(SUM(Points) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sofar,

@@ -99,8 +99,10 @@ def outcome_features(
     sides = team_sides(matches, POINTS)
     starts = pressure_start(sides, threshold)
     if as_of:
-        before = rolling_form(sides, lag=1).select("MatchId", "Team", F.col("RecentFormPPG").alias("RecentFormPPG"))
-        rows = _look_up(_look_up(matches, before, ["MatchId", "Team"]), starts, TEAM)
+        # The rolling series is brought back to one row per match before the join.
+        at = lambda side, flag: F.max(F.when(F.col("IsHome") == flag, F.col("RecentFormPPG"))).alias(f"{side}_RecentFormPPG")
+        before = rolling_form(sides, lag=1).groupBy("MatchId").agg(at("Home", 1), at("Away", 0))
+        rows = _look_up(matches.join(before, "MatchId", "left"), starts, TEAM)
     else:
         form = recent_form(sides) if form is None else form
         rows = _look_up(matches, form.join(starts, TEAM, "left"), TEAM)

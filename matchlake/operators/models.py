@@ -56,14 +56,19 @@ def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> D
     return VectorAssembler(inputCols=filled, outputCol=out).transform(df.withColumns(values)).drop(*filled)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows as stored in the shared folder, without their lineage."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def training_rows(df: DataFrame, features: Sequence[str], *others: Column) -> DataFrame:
     """Feature vectors and the given columns, checkpointed.
 
     Boosting reads its input many times. The checkpoint keeps that independent of the
     feature lineage and of executors that get lost meanwhile.
     """
-    shared_dir(df.sparkSession)
-    return assemble(df, features).select("features", *others).checkpoint()
+    return checkpointed(assemble(df, features).select("features", *others))
 
 
 def _fit(estimator, df: DataFrame, features: Sequence[str], *others: str):

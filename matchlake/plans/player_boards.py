@@ -29,7 +29,7 @@ def trained_board(
 
     Returns (model, leaderboard, one-row report of AUC, precision, recall, F1).
     """
-    rows = metrics.stratified_split(labelled, label, NAMES, test_share)
+    rows = models.checkpointed(metrics.stratified_split(labelled, label, NAMES, test_share))
     model = models.fit_binary(rows.filter("is_test = 0"), features, label, size)
     scored = models.predict_probability(model, rows, features, prob)
     scored = scored.withColumn(pred, F.when(F.col(prob) > 0.5, 1).otherwise(0))
