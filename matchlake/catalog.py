@@ -647,6 +647,12 @@ def _(x: Inputs):
     return league.standings(model, x.matches, x.remaining, x.season)
 
 
+@query("M02_final_points_fit")
+def _(x: Inputs):
+    model = league.fit_final_points(x.matches, x.past, x.season, CUTOFF_WEEK, SEASON_LENGTH, SMALL)
+    return league.final_points_fit(model, x.matches, x.past, x.season, CUTOFF_WEEK, SEASON_LENGTH)
+
+
 @query("M02_player_goals")
 def _(x: Inputs):
     return player_boards.predicted_goals(player_boards.fit_player_goals(x.goals, SMALL), x.goals)

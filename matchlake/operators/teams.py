@@ -356,16 +356,12 @@ def psych_table(matches: DataFrame, season: Column | str, fixtures_wide: DataFra
     """Discipline, form, pressure, opponents and referees of each team of a season."""
     current = cleaning.ensure_columns(cleaning.season_slice(matches, season), CARD_COLUMNS)
     points = team_sides(current, POINTS)
-    form = recent_form(points).drop("Season")
-    base = (
-        with_discipline_index(discipline_per_game(matches, season))
-        .join(form, "Team", "left")
-        .na.fill(0)
-    )
+    discipline = with_discipline_index(discipline_per_game(matches, season)).na.fill(0)
+    base = discipline.join(recent_form(points).drop("Season"), "Team", "left").na.fill(0)
     flags = pressure_flag(points).drop("Points")
     tension = tension_index(fixtures_wide, flags, season)
     if set(OPPONENT_COLUMNS) <= set(fixtures_wide.columns):
-        base = base.join(opponent_profile(fixtures_wide, base, season), "Team", "left")
+        base = base.join(opponent_profile(fixtures_wide, discipline, season), "Team", "left")
     else:
         base = base.withColumns({n: F.lit(0.0) for n in ("OpponentFoulsPG", "OpponentYellowsPG", "OpponentRedsPG")})
     return (

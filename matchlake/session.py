@@ -34,9 +34,10 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where the session names none (local tests) is one made here.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    folder = tempfile.mkdtemp(prefix="matchlake-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return spark.sparkContext.getCheckpointDir() or folder
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        named = tempfile.mkdtemp(prefix="matchlake-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(named)
+    return named

@@ -189,3 +189,27 @@ def test_latest_csv_by_listing(spark, tmp_path):
     got = snapshots.read_latest(spark, str(folder), "` Player ` string")
     assert got.columns == ["Player"] and [r.Player for r in got.collect()] == ["M\xfcller"]
     assert snapshots.read_latest(spark, str(folder), "Player string", "Other") is None
+
+
+def test_season_may_be_a_lazy_scalar(spark):
+    df = spark.createDataFrame([match(1, "A", "B"), match(2, "A", "C", season="1999-2000"), match(3, "B", "A", "D")], MATCH)
+    lazy = cleaning.latest_season(df).scalar()
+    assert sorted(teams.goal_stats(df, lazy).collect()) == sorted(teams.goal_stats(df, "2000-2001").collect())
+    assert [r.MatchId for r in cleaning.training_slice(df, lazy).collect()] == [2]
+
+
+def test_cutoff_sweep_agrees_with_each_cutoff(spark):
+    df = spark.createDataFrame([match(1, "A", "B"), match(3, "B", "A", "D"), match(4, "A", "C", "A")], MATCH)
+    swept = teams.cutoff_sweep(df, 6)
+    for cutoff in range(1, 7):
+        want = teams.season_aggregate(df, cutoff).select("Team", "PartialPoints", "GD", "GamesPlayed")
+        got = swept.filter(F.col("Cutoff") == cutoff).select("Team", "PartialPoints", "GD", "GamesPlayed")
+        assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_training_metrics(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (3.0, 3.0), (5.0, 4.0)], "y double, p double")
+    assert tuple(metrics.regression_metrics(df, "y", "p").first()) == pytest.approx((2 / 3, 1 - 2 / 8))
+    probs = spark.createDataFrame([(0, 0.7, 0.2, 0.1), (2, 0.5, 0.3, 0.2)], "k int, a double, b double, c double")
+    row = metrics.multiclass_metrics(probs, "k", ["a", "b", "c"]).first()
+    assert tuple(row) == pytest.approx((0.5, -(0.35667494393873245 * -1 + 1.6094379124341003 * -1) / 2))
