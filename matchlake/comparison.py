@@ -244,10 +244,13 @@ _FINAL["S05_extract_table_cells"] = "SELECT page_id, table_no, row_no, col_no, v
 _FINAL["S06_align_player_rows"] = """
 WITH heads AS (SELECT page_id, table_no, col_no, value AS header FROM tds WHERE row_no = 1),
 rws AS (SELECT page_id, table_no, row_no, DENSE_RANK() OVER (PARTITION BY page_id, table_no ORDER BY row_no) - 1 AS new_no
-  FROM bodies WHERE NOT repeated)
-SELECT r.page_id, r.table_no, r.new_no AS row_no, h.col_no, h.header, COALESCE(t.value, '') AS value
-FROM rws r JOIN heads h ON h.page_id = r.page_id AND h.table_no = r.table_no
-LEFT JOIN tds t ON t.page_id = r.page_id AND t.table_no = r.table_no AND t.row_no = r.row_no AND t.col_no = h.col_no"""
+  FROM bodies WHERE NOT repeated),
+pos AS (SELECT r.page_id, r.table_no, r.row_no, r.new_no, h.col_no FROM rws r JOIN heads h ON h.page_id = r.page_id AND h.table_no = r.table_no
+  UNION SELECT r.page_id, r.table_no, r.row_no, r.new_no, t.col_no FROM rws r
+  JOIN tds t ON t.page_id = r.page_id AND t.table_no = r.table_no AND t.row_no = r.row_no)
+SELECT p.page_id, p.table_no, p.new_no AS row_no, p.col_no, h.header, COALESCE(t.value, '') AS value FROM pos p
+LEFT JOIN heads h ON h.page_id = p.page_id AND h.table_no = p.table_no AND h.col_no = p.col_no
+LEFT JOIN tds t ON t.page_id = p.page_id AND t.table_no = p.table_no AND t.row_no = p.row_no AND t.col_no = p.col_no"""
 _FINAL["S06_align_team_rows"] = """
 WITH heads AS (SELECT page_id, table_no, ROW_NUMBER() OVER (PARTITION BY page_id, table_no ORDER BY row_no, col_no) - 1 AS col_no,
   value AS header FROM tds WHERE row_no < 2),

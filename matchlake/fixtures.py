@@ -112,12 +112,14 @@ FROM part JOIN a ON l_partkey = p_partkey JOIN nation ON n_nationkey = p_size %
 """
 
 VIEWS["fx_html"] = r"""
-SELECT n_nationkey AS page_id, CONCAT('<html><body><p>x</p><!-- ad --><!--<div><table id="stats ', CAST(n_nationkey AS STRING),
+SELECT page_id, CONCAT(html, '<!--<div><table id="stats ', CAST(page_id AS STRING),
   '" class="a b"><thead><tr><th></th><th>Totals</th></tr><tr><th>Player</th><th>Squad</th><th>Gls</th></tr></thead><tbody>',
-  '<tr><th><a href="/p/', CAST(n_nationkey AS STRING), '">', n_name, '</a></th><td> A &amp; B </td><td>', CAST(n_regionkey AS STRING), '</td></tr>',
+  '<tr><th><a href="/p/', CAST(page_id AS STRING), '">N', CAST(page_id % 97 AS STRING), '</a></th><td> A &amp; B </td><td>', CAST(page_id % 5 AS STRING), '</td></tr>',
   '<tr class="thead"><th>Player</th><th>Squad</th><th>Gls</th></tr>',
-  '<tr><th>short</th><td>S', CAST(n_regionkey AS STRING), '</td></tr></tbody></table></div>--></body></html>') AS html
-FROM nation
+  '<tr><th>short</th><td>', url, '</td></tr></tbody></table>',
+  CASE WHEN page_id % 3 = 0 THEN CONCAT('<table class="squads x"><thead><tr><th></th></tr><tr><th>Squad</th><th>Gls</th></tr></thead><tbody><tr><td>T', CAST(page_id % 7 AS STRING), '</td><td>3</td></tr></tbody></table>') ELSE '' END,
+  '</div>-->', CASE WHEN page_id % 5 = 0 THEN '<!--<table><thead><tr><th></th></tr><tr><th>Other</th></tr></thead><tbody><tr><td>1</td><td>2</td></tr></tbody></table>-->' ELSE '' END) AS html
+FROM pages
 """
 
 VIEWS["fx_files"] = r"""

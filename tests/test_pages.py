@@ -38,6 +38,11 @@ def test_player_rule(spark):
     ]
 
 
+def test_player_rule_keeps_surplus_cells(spark):
+    html = "<!--<table><thead><tr><th>Player</th></tr></thead><tbody><tr><td>Ann</td><td>7</td></tr></tbody></table>-->"
+    assert wide(pages.align_player_rows(tables(spark, html))) == [[("Player", "Ann"), (None, "7")]]
+
+
 def test_team_rule(spark):
     html = (
         "<!-- <TABLE><THEAD><TR><TH>a</TH><TH>b</TH></TR></THEAD><TBODY><TR><TD> <b>p</b> <i> q </i> </TD><TD>1<TD>2"
