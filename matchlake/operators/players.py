@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from matchlake.functions import columns as c
 from matchlake.functions import ordered
-from matchlake.operators import cleaning
+from matchlake.operators import cleaning, metrics
 
 KEYS = ["Player", "Squad", "Nation", "Age", "Born", "Pos", "90s"]
 GK_MERGED = ["PSxG", "PSxG/SoT", "Stp%", "AvgDist"]
@@ -118,9 +118,7 @@ def star_features(merged: DataFrame) -> DataFrame:
 
 def star_index(features: DataFrame) -> DataFrame:
     """Scaled features and their weighted sum, best first."""
-    from matchlake.operators.metrics import min_max_scale
-
-    scaled = min_max_scale(features, STAR_FEATURES)
+    scaled = metrics.min_max_scale(features, STAR_FEATURES)
     score = sum((F.col(name) * weight for name, weight in STAR_WEIGHTS.items()), F.lit(0.0))
     return scaled.withColumn("StarScore", score).orderBy(F.desc("StarScore"), "Player", "Squad")
 
@@ -136,10 +134,8 @@ def star_summary(index: DataFrame) -> DataFrame:
 
 def star_index_fit(index: DataFrame) -> DataFrame:
     """MAE and R2 of the score against scaled goals + assists."""
-    from matchlake.operators.metrics import regression_metrics
-
     pairs = index.select((F.col("GoalsPer90") + F.col("AssistsPer90")).alias("y"), F.col("StarScore").alias("yhat"))
-    return regression_metrics(pairs, "y", "yhat")
+    return metrics.regression_metrics(pairs, "y", "yhat")
 
 
 def _above(df: DataFrame, value: str, q: float, out: str, strict: bool = False) -> DataFrame:
