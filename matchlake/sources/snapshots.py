@@ -14,8 +14,7 @@ SNAPSHOT_KEYS = ["stat", "table_type", "snapshot_date"]
 
 def read_table(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """CSV with a header line in latin-1; column types come from ``schema``, never inferred."""
-    reader = spark.read.schema(schema).option("header", True).option("encoding", "ISO-8859-1")
-    return reader.option("multiLine", False).csv(path)
+    return spark.read.schema(schema).option("header", True).option("encoding", "ISO-8859-1").csv(path)
 
 
 def trim_headers(df: DataFrame) -> DataFrame:
@@ -75,7 +74,7 @@ def write_dated(df: DataFrame, path: str, stat: str, table_type: str, day: str |
 def read_dated(spark: SparkSession, path: str, stat: str, table_type: str = "Player") -> DataFrame:
     """Newest stored run of a stat table. The date bound is a subquery on a partition
     column, so only the newest folder is scanned."""
-    runs = spark.read.option("recursiveFileLookup", False).parquet(path)
+    runs = spark.read.parquet(path)
     runs = runs.withColumn("snapshot_date", F.col("snapshot_date").cast("string"))
     runs = runs.filter((F.col("stat") == stat) & (F.col("table_type") == table_type))
     newest = runs.agg(F.max("snapshot_date")).scalar()
