@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm import decontaminate, license_scan, line_dedup
+from matchlake.llm import decontaminate, license_scan, line_dedup, near_dedup
 from matchlake.llm.common import table
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(table(spark, sf_dir, "documents"))
     starts = F.transform("places", lambda p: p["start"])
@@ -47,22 +51,43 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-LLM_QUERIES = {f.__name__: f for f in (op4_license_scan, op6_decontaminate, op10_line_dedup)}
+LLM_QUERIES = {f.__name__: f for f in (op2_near_dedup, op4_license_scan, op6_decontaminate, op10_line_dedup)}
 
 # Words of a text: A-Z lower-cased, then runs of digits, a to z and everything beyond ASCII.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 LLM_SQL = {
+    "op2_near_dedup": r"""
+        WITH RECURSIVE word AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents),
+        shingle AS (
+            SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) AS s
+            FROM word WHERE len(w) > 0),
+        size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+        common AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+            FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+        link AS (
+            SELECT a, b FROM common JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b
+            WHERE 100 * c >= 85 * (x.n + y.n - c)),
+        edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+        reach AS (
+            SELECT doc_id AS a, doc_id AS b FROM documents
+            UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a),
+        root AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM documents JOIN root USING (doc_id) LEFT JOIN size USING (doc_id)""",
     "op6_decontaminate": f"""
         WITH item AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
         gram AS (
             SELECT DISTINCT item_id, least(len(w), 10) AS n,
-                   unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2), i -> list_slice(w, i, i + least(len(w), 10) - 1))) AS g
+                   unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2), lambda i: list_slice(w, i, i + least(len(w), 10) - 1))) AS g
             FROM item WHERE len(w) > 0),
         doc AS (SELECT doc_id, {_WORDS} AS w FROM documents),
         sizes AS (SELECT DISTINCT n FROM gram),
         place AS (
-            SELECT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), i -> {{'i': i, 'g': list_slice(w, i, i + n - 1)}})) AS p
+            SELECT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: {{'i': i, 'g': list_slice(w, i, i + n - 1)}})) AS p
             FROM doc, sizes WHERE len(w) >= n),
         hit AS (SELECT doc_id, p.i AS i, gram.n AS n, item_id FROM place JOIN gram ON p.g = gram.g AND place.n = gram.n),
         word AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS k FROM hit),
