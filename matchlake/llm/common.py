@@ -29,17 +29,22 @@ def plain_words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NOT_WORD), "")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write to the shared folder of ``spark.checkpoint.dir`` and cut the lineage there.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that all executors share, as named by ``spark.checkpoint.dir``.
 
     A folder of this machine stands in only where the session names none and
     runs on this machine alone.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not context.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="matchlake-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write to the shared folder and cut the lineage there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm import decontaminate, license_scan, line_dedup, near_dedup
+from matchlake.llm import decontaminate, license_scan, line_dedup, near_dedup, pieces, token_shards
 from matchlake.llm.common import table
 
 
@@ -13,6 +14,12 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_shards.new_folder(spark)
+    token_shards.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
+    return token_shards.read(spark, folder).withColumnRenamed("doc", "doc_id")
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(table(spark, sf_dir, "documents"))
     starts = F.transform("places", lambda p: p["start"])
@@ -40,6 +47,16 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.keep_bitmaps(table(spark, sf_dir, "documents"))
     kept = line_dedup.kept_text(F.col("text"), F.col("n_dropped"), F.col("keep_runs"))
@@ -51,7 +68,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-LLM_QUERIES = {f.__name__: f for f in (op2_near_dedup, op4_license_scan, op6_decontaminate, op10_line_dedup)}
+LLM_QUERIES = {f.__name__: f for f in (op2_near_dedup, op3_token_shards, op4_license_scan, op6_decontaminate, op7_pieces, op10_line_dedup)}
 
 # Words of a text: A-Z lower-cased, then runs of digits, a to z and everything beyond ASCII.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
