@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchlake.llm.common import checkpointed
+from matchlake.llm.common import checkpointed, ship
 from matchlake.llm.graph import connected_components
 from matchlake.llm.hashing import mix, shingle_sets
 
@@ -146,6 +146,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     """
     if percent < PERCENT:
         raise ValueError(f"the signature is made for {PERCENT} percent or more")
+    ship(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     signed = checkpointed(texts.mapInArrow(_sign, _SIGNED))
     nodes = signed.where((F.col("n") > 0) & F.col("doc").isNotNull())

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matchlake.llm.common import ship
+
 MARK = "▁"
 # Words kept in a partition's table; a full table is emptied and filled anew.
 TABLE_WORDS = 400_000
@@ -111,6 +113,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     empty and has no ids; null ids and repeated rows stay; other columns are
     ignored, whatever their names. ``model`` is a file each executor has.
     """
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     kind = rows.schema["doc"].dataType.simpleString()
     out = rows.mapInArrow(_encoder(model), f"doc {kind}, ids array<int>, decoded string")

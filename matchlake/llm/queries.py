@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm import decontaminate, license_scan, line_dedup, near_dedup, pieces, token_shards
+from matchlake.llm import decontaminate, license_scan, line_dedup, near_dedup, pieces, quality, token_shards
 from matchlake.llm.common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents"))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -68,7 +72,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-LLM_QUERIES = {f.__name__: f for f in (op2_near_dedup, op3_token_shards, op4_license_scan, op6_decontaminate, op7_pieces, op10_line_dedup)}
+LLM_QUERIES = {f.__name__: f for f in (op1_quality, op2_near_dedup, op3_token_shards, op4_license_scan, op6_decontaminate, op7_pieces, op10_line_dedup)}
 
 # Words of a text: A-Z lower-cased, then runs of digits, a to z and everything beyond ASCII.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

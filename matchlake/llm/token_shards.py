@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from matchlake.llm.common import shared_folder
+from matchlake.llm.common import shared_folder, ship
 from matchlake.llm.wavelet import WaveletMatrix, build
 
 # Tokens in a shard, unless one document has more.
@@ -125,6 +125,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id",
     A null text is empty; each document ends with id 0; rows with equal ids stand next
     to each other; other columns are ignored, whatever their names.
     """
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange("doc").sortWithinPartitions("doc")
     ordered.mapInArrow(_writer(tokenizer), _SHARD).write.option("compression", "zstd").parquet(folder)
@@ -132,6 +133,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id",
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """Per document: ``doc``, ``start`` (ids before it in the corpus), ``n_tokens`` and ``ids_crc32``, from the files."""
+    ship(spark)
     shards = spark.read.schema(_SHARD).parquet(folder)
     # Offsets in two steps: shards within a partition, then one row per partition.
     parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("size"))
@@ -179,6 +181,7 @@ def occurrences(spark: SparkSession, folder: str, tokens: list[int]) -> DataFram
                             "shard": [row["shard"]] * len(places), "place": places,
                         })
 
+    ship(spark)
     shards = spark.read.schema(_SHARD).parquet(folder).select("part", "shard", "matrix")
     return shards.mapInArrow(find, "token long, part long, shard long, place long")
 
@@ -192,6 +195,7 @@ def token_counts(spark: SparkSession, folder: str, tokens: list[int]) -> DataFra
                 matrix = WaveletMatrix(row["matrix"])
                 yield pa.RecordBatch.from_pydict({"token": tokens, "n": [matrix.count(t) for t in tokens]})
 
+    ship(spark)
     shards = spark.read.schema(_SHARD).parquet(folder).select("matrix")
     counts = shards.mapInArrow(count, "token long, n long")
     return counts.groupBy("token").agg(F.sum("n").alias("n"))
