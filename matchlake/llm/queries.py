@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm import decontaminate, license_scan, line_dedup, near_dedup, pieces, quality, token_shards
+from matchlake.llm import decontaminate, license_scan, line_dedup, near_dedup, pieces, preference, quality, token_shards, url_filter
 from matchlake.llm.common import table
 
 
@@ -39,6 +39,25 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = preference.swapped_answers(table(spark, sf_dir, "conversations"))
+    rows = preference.format_pairs(pairs)
+    sides = []
+    for side in ("chosen", "rejected"):
+        trained = preference.trained_text(F.col(f"{side}_pieces"))
+        sides += [
+            F.sha2(f"{side}_completion", 256).alias(f"{side}_sha256"),
+            F.sha2(trained, 256).alias(f"{side}_trained_sha256"),
+            F.length(trained).cast("long").alias(f"{side}_trained_chars"),
+        ]
+    return rows.select(
+        F.col("pair_id").alias("conv_id"),
+        F.col("n_prefix").cast("long").alias("n_prefix"),
+        F.sha2("prompt", 256).alias("prompt_sha256"),
+        *sides,
+    )
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return hits.select(
@@ -61,6 +80,13 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list holds what is also fetched through a feed: canonical URLs of pages tagged ``utm_source=feed``."""
+    pages = table(spark, sf_dir, "pages")
+    listed = pages.where(F.col("url").contains("utm_source=feed")).select(url_filter.canonical(F.col("url")).alias("url"))
+    return url_filter.judge(pages, listed).select("page_id", "host", "path", "rule", "verdict", "listed")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.keep_bitmaps(table(spark, sf_dir, "documents"))
     kept = line_dedup.kept_text(F.col("text"), F.col("n_dropped"), F.col("keep_runs"))
@@ -72,7 +98,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_quality, op2_near_dedup, op3_token_shards, op4_license_scan, op6_decontaminate, op7_pieces, op10_line_dedup)}
+LLM_QUERIES = {f.__name__: f for f in (
+    op1_quality, op2_near_dedup, op3_token_shards, op4_license_scan, op5_preference,
+    op6_decontaminate, op7_pieces, op8_url_filter, op10_line_dedup,
+)}
 
 # Words of a text: A-Z lower-cased, then runs of digits, a to z and everything beyond ASCII.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -120,6 +149,54 @@ LLM_SQL = {
                CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AS contaminated
         FROM doc LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op5_preference": """
+        WITH conv AS (
+            SELECT conv_id, list({'turn': turn, 'role': role, 'text': text} ORDER BY turn, role, text) AS a
+            FROM conversations GROUP BY conv_id),
+        pair AS (
+            SELECT x.conv_id, x.a,
+                   CASE WHEN y.conv_id IS NULL THEN x.a[:-2]
+                        ELSE list_append(x.a[:-2], {'turn': x.a[-1].turn, 'role': x.a[-1].role, 'text': y.a[-1].text}) END AS b
+            FROM conv x LEFT JOIN conv y ON y.conv_id = x.conv_id + 1),
+        prefix AS (
+            SELECT *, coalesce(list_min(list_filter(range(1, least(len(a), len(b)) + 1), lambda i:
+                       a[i].role IS DISTINCT FROM b[i].role OR a[i].text IS DISTINCT FROM b[i].text)) - 1, least(len(a), len(b))) AS n
+            FROM pair),
+        side AS (
+            SELECT conv_id, n,
+                   list_transform(a[1:n], lambda t: '<|' || coalesce(t.role, '') || '|>' || chr(10) || coalesce(t.text, '') || '<|end|>' || chr(10)) AS p,
+                   a[n + 1:] AS c, b[n + 1:] AS r
+            FROM prefix),
+        text AS (
+            SELECT conv_id, n, array_to_string(p, '') AS prompt,
+                   array_to_string(list_transform(c, lambda t: '<|' || coalesce(t.role, '') || '|>' || chr(10) || coalesce(t.text, '') || '<|end|>' || chr(10)), '') AS c,
+                   array_to_string(list_transform(r, lambda t: '<|' || coalesce(t.role, '') || '|>' || chr(10) || coalesce(t.text, '') || '<|end|>' || chr(10)), '') AS r,
+                   array_to_string(list_transform(list_filter(c, lambda t: t.role = 'assistant'), lambda t: coalesce(t.text, '') || '<|end|>' || chr(10)), '') AS ct,
+                   array_to_string(list_transform(list_filter(r, lambda t: t.role = 'assistant'), lambda t: coalesce(t.text, '') || '<|end|>' || chr(10)), '') AS rt
+            FROM side)
+        SELECT conv_id, n AS n_prefix, sha256(prompt) AS prompt_sha256,
+               sha256(c) AS chosen_sha256, sha256(ct) AS chosen_trained_sha256, length(ct) AS chosen_trained_chars,
+               sha256(r) AS rejected_sha256, sha256(rt) AS rejected_trained_sha256, length(rt) AS rejected_trained_chars
+        FROM text""",
+    "op8_url_filter": r"""
+        WITH part AS (
+            SELECT page_id, url,
+                   translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+            FROM pages),
+        page AS (
+            SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '(\.html)?/*$', '') END AS canonical
+            FROM part),
+        rules(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+                                  ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+        best AS (
+            SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS verdict
+            FROM page JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id),
+        listed AS (SELECT DISTINCT canonical FROM page WHERE contains(url, 'utm_source=feed') AND canonical IS NOT NULL)
+        SELECT page_id, host, path, rule,
+               coalesce(verdict, CASE WHEN listed.canonical IS NULL THEN 'allow' ELSE 'block' END) AS verdict,
+               listed.canonical IS NOT NULL AS listed
+        FROM page LEFT JOIN best USING (page_id) LEFT JOIN listed ON listed.canonical = page.canonical""",
     "op10_line_dedup": r"""
         WITH line AS (
             SELECT doc_id, unnest(range(len(s))) AS pos, unnest(s) AS line
