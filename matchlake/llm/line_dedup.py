@@ -8,6 +8,8 @@ ranges, whose counts are summed, so that no task holds a whole hot line.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,8 +92,9 @@ def keep_bitmaps(
     keep: str = "none",
     id_col: str = "doc_id",
     text_col: str = "text",
+    extra: Sequence[str] = (),
 ) -> DataFrame:
-    """Per row of ``docs``: id, text, ``n_lines``, ``n_dropped`` and ``keep_runs``, a run-length bitmap.
+    """Per row of ``docs``: id, text, the ``extra`` columns, ``n_lines``, ``n_dropped`` and ``keep_runs``, a run-length bitmap.
 
     Texts are split at ``\\n``; a null or empty text is one empty line. A key is
     the line stripped of white space at both ends, A-Z lower-cased; keys under
@@ -101,17 +104,18 @@ def keep_bitmaps(
     """
     found = drops(docs, min_docs, min_chars, keep, id_col, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    left = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias(text_col), F.xxhash64(text).alias("_body"))
+    left = docs.select(id_col, text_col, *extra, F.xxhash64(text).alias("_body"))
     found = found.select(F.col("doc").alias("_doc"), F.col("body").alias("_of"), "positions")
     match = left[id_col].eqNullSafe(found["_doc"]) & (left["_body"] == found["_of"])
     joined = left.join(found, match, "left")
     # The count of \n as a length difference, which reads the text but makes no array.
     n_lines = (F.octet_length(text) - F.octet_length(F.translate(text, "\n", "")) + 1).cast("int")
     positions = F.coalesce("positions", F.array().cast("array<int>"))
-    joined = joined.select(id_col, text_col, n_lines.alias("n_lines"), positions.alias("_positions"))
+    joined = joined.select(id_col, text_col, *extra, n_lines.alias("n_lines"), positions.alias("_positions"))
     return joined.select(
         id_col,
         text_col,
+        *extra,
         "n_lines",
         F.size("_positions").alias("n_dropped"),
         _runs(F.col("_positions"), F.col("n_lines")).alias("keep_runs"),

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm import decontaminate, license_scan, line_dedup, near_dedup, pieces, preference, quality, token_shards, url_filter
+from matchlake.llm import backoff_scores, decontaminate, license_scan, line_dedup, near_dedup, pieces, preference, quality, token_shards, url_filter
 from matchlake.llm.common import table
 
 
@@ -87,6 +87,11 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, listed).select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
+def op9_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = backoff_scores.score(table(spark, sf_dir, "documents"))
+    return scores.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.keep_bitmaps(table(spark, sf_dir, "documents"))
     kept = line_dedup.kept_text(F.col("text"), F.col("n_dropped"), F.col("keep_runs"))
@@ -100,7 +105,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES = {f.__name__: f for f in (
     op1_quality, op2_near_dedup, op3_token_shards, op4_license_scan, op5_preference,
-    op6_decontaminate, op7_pieces, op8_url_filter, op10_line_dedup,
+    op6_decontaminate, op7_pieces, op8_url_filter, op9_backoff_scores, op10_line_dedup,
 )}
 
 # Words of a text: A-Z lower-cased, then runs of digits, a to z and everything beyond ASCII.
