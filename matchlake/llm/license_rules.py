@@ -8,21 +8,21 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-# label; word that must stand in the text; pattern of the license's name.
+# label; words of which each must stand in the text (one of those joined by /); pattern of the license's name.
 LICENSES = [
     line.split(" | ")
     for line in r"""
-mit | mit | (?:the )?(?:mit|expat)(?: x11)? licen[sc]e
-mit-0 | mit | mit 0|mit no attribution
+mit | mit license/licence | (?:the )?(?:mit|expat)(?: x11)? licen[sc]e
+mit-0 | mit 0/attribution | mit 0|mit no attribution
 apache-1.1 | apache | (?:the )?apache(?: software)? licen[sc]e(?: version)? 1 1
 apache-2.0 | apache | (?:the )?apache(?: software)? licen[sc]e(?: v| version)? ?2(?: 0)?
 bsd-2-clause | bsd | (?:the )?(?:2 clause|two clause|simplified) bsd(?: licen[sc]e)?|bsd 2 clause(?: licen[sc]e)?
 bsd-3-clause | bsd | (?:the )?(?:3 clause|three clause|new|modified|revised) bsd(?: licen[sc]e)?|bsd 3 clause(?: licen[sc]e)?
 bsd-4-clause | bsd | (?:the )?(?:4 clause|four clause|original) bsd(?: licen[sc]e)?|bsd 4 clause(?: licen[sc]e)?
 0bsd | 0bsd | (?:the )?(?:0bsd|zero clause bsd)(?: licen[sc]e)?
-gpl-1.0 | general | (?:the )?(?:gnu )?general public licen[sc]e (?:v|version) ?1
-gpl-2.0 | general | (?:the )?(?:gnu )?general public licen[sc]e (?:v|version) ?2
-gpl-3.0 | general | (?:the )?(?:gnu )?general public licen[sc]e (?:v|version) ?3
+gpl-1.0 | general license/licence | (?:the )?(?:gnu )?general public licen[sc]e (?:v|version) ?1
+gpl-2.0 | general license/licence | (?:the )?(?:gnu )?general public licen[sc]e (?:v|version) ?2
+gpl-3.0 | general license/licence | (?:the )?(?:gnu )?general public licen[sc]e (?:v|version) ?3
 gpl-2.0-short | gpl | (?:the )?(?:gnu )?gpl ?v?(?: version )?2(?: 0)?
 gpl-3.0-short | gpl | (?:the )?(?:gnu )?gpl ?v?(?: version )?3(?: 0)?
 lgpl-2.0 | library | (?:the )?(?:gnu )?library general public licen[sc]e
@@ -41,7 +41,7 @@ epl-2.0 | eclipse | (?:the )?eclipse public licen[sc]e(?: v| version)? ?2 0
 edl-1.0 | eclipse | (?:the )?eclipse distribution licen[sc]e
 cddl-1.0 | cddl | (?:the )?cddl(?: ?v?1 0)?
 cddl-1.0-name | distribution | (?:the )?common development and distribution licen[sc]e
-cpl-1.0 | common | (?:the )?common public licen[sc]e
+cpl-1.0 | common license/licence | (?:the )?common public licen[sc]e
 cpal-1.0 | attribution | (?:the )?common public attribution licen[sc]e
 eupl-1.1 | eupl | (?:the )?(?:european union public licen[sc]e )?eupl ?v?1 1
 eupl-1.2 | eupl | (?:the )?(?:european union public licen[sc]e )?eupl(?: ?v?1 2)?
@@ -71,19 +71,19 @@ cc-by-sa-name | creative | (?:a |the )?creative commons attribution share ?alike
 cc-by-nc-name | creative | (?:a |the )?creative commons attribution non ?commercial(?: [234] 0)?
 cc-by-nd-name | creative | (?:a |the )?creative commons attribution no ?deriv(?:ative)?s(?: works)?(?: [234] 0)?
 cc-zero-name | creative | creative commons zero
-public-domain | domain | (?:the )?public domain
+public-domain | domain public | (?:the )?public domain
 psf-2.0 | python | (?:the )?(?:python software foundation|psf) licen[sc]e
 python-2.0 | python | (?:the )?python licen[sc]e
 php-3.01 | php | (?:the )?php licen[sc]e(?: (?:v|version)? ?3 01)?
 ruby | ruby | (?:the )?ruby licen[sc]e
-perl | perl | (?:the )?same terms as perl(?: itself)?
+perl | perl terms | (?:the )?same terms as perl(?: itself)?
 ofl-1.1 | font | (?:the )?(?:sil )?open font licen[sc]e(?: (?:v|version)? ?1 1)?
 odbl-1.0 | database | (?:the )?open (?:data commons open )?database licen[sc]e
 odc-by-1.0 | odc | (?:the )?odc by(?: 1 0)?
 odc-pddl | pddl | (?:the )?pddl(?: 1 0)?
 ms-pl | microsoft | (?:the )?microsoft public licen[sc]e
 ms-rl | microsoft | (?:the )?microsoft reciprocal licen[sc]e
-osl-3.0 | open | (?:the )?open software licen[sc]e(?: (?:v|version)? ?3 0)?
+osl-3.0 | open license/licence | (?:the )?open software licen[sc]e(?: (?:v|version)? ?3 0)?
 afl-3.0 | academic | (?:the )?academic free licen[sc]e(?: (?:v|version)? ?3 0)?
 ecl-2.0 | educational | (?:the )?educational community licen[sc]e
 ncsa | illinois | (?:the )?(?:university of illinois|ncsa)(?: open source)? licen[sc]e
@@ -95,10 +95,10 @@ upl-1.0 | universal | (?:the )?universal permissive licen[sc]e
 vim | vim | (?:the )?vim licen[sc]e
 w3c | w3c | (?:the )?w3c(?: software)?(?: notice)?(?: and)? licen[sc]e
 zpl-2.1 | zope | (?:the )?zope public licen[sc]e
-busl-1.1 | business | (?:the )?business source licen[sc]e
-sspl-1.0 | server | (?:the )?server side public licen[sc]e
+busl-1.1 | business license/licence | (?:the )?business source licen[sc]e
+sspl-1.0 | server license/licence | (?:the )?server side public licen[sc]e
 elastic-2.0 | elastic | (?:the )?elastic licen[sc]e
-proprietary | rights | all rights reserved
+proprietary | rights reserved | all rights reserved
 """.strip().splitlines()
 ]
 
@@ -115,7 +115,7 @@ FORMS = [
 class Rule(NamedTuple):
     priority: int
     label: str
-    keyword: str
+    keywords: tuple[tuple[str, ...], ...]
     pattern: str
     score: float
 
@@ -123,7 +123,7 @@ class Rule(NamedTuple):
 def rules() -> list[Rule]:
     """Every license in every sentence form, surest form first; matches begin and end at word bounds."""
     return [
-        Rule(priority, label, keyword, r"(?<= )" + form.format(name=f"(?:{name})") + r"(?= )", score)
+        Rule(priority, label, tuple(tuple(k.split("/")) for k in keywords.split(" ")), r"(?<= )" + form.format(name=f"(?:{name})") + r"(?= )", score)
         for priority, form, score in FORMS
-        for label, keyword, name in LICENSES
+        for label, keywords, name in LICENSES
     ]

@@ -1,7 +1,7 @@
 """License statements found by ordered signature rules.
 
-A text's words are looked up in the rules' keywords; only rules whose keyword
-stands in the text run their regex, over the whole normalised text. Overlapping
+A text's words are looked up in the rules' keywords; only rules whose keywords
+stand in the text run their regex, over the whole normalised text. Overlapping
 detections are resolved by one sweep per document in order of start, longest
 first: a detection inside an earlier interval of the same or a surer rule goes.
 """
@@ -48,28 +48,38 @@ def _phrase_places(words: Column) -> Column:
 
 def _matches(words: Column, present: Column, table: list[Rule]) -> Column:
     """Array of (rule fields, gap length, match length) in text order per rule; gaps are the text between matches."""
-    text = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
     literal = F.array(*[
         F.struct(
             F.lit(n).alias("rule"), F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"),
-            F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern"), F.lit(r.score).alias("score"),
+            F.array(*[F.array(*[F.lit(k) for k in one]) for one in r.keywords]).alias("keywords"),
+            F.lit(r.pattern).alias("pattern"), F.lit(r.score).alias("score"),
         )
         for n, r in enumerate(table)
     ])
-    active = F.filter(literal, lambda r: F.array_contains(present, r["keyword"]))
 
-    def lengths(rule: Column) -> Column:
+    def active(found: Column) -> Column:
+        return F.filter(literal, lambda r: F.forall(r["keywords"], lambda one: F.arrays_overlap(found, one)))
+
+    def lengths(text: Column, rule: Column) -> Column:
         hits = F.transform(F.regexp_extract_all(text, rule["pattern"], F.lit(0)), lambda m: F.length(m))
         gaps = F.transform(F.split(text, rule["pattern"]), lambda g: F.length(g))
-        return F.transform(hits, lambda n, i: F.struct(
+        return F.transform(F.arrays_zip(hits.alias("hit"), gaps.alias("gap")), lambda x, i: F.struct(
             rule["rule"].alias("rule"), rule["priority"].alias("priority"), rule["label"].alias("label"),
-            rule["score"].alias("score"), i.alias("nth"), F.element_at(gaps, i + 1).alias("gap"), n.alias("length"),
+            rule["score"].alias("score"), i.alias("nth"), x["gap"].alias("gap"), x["hit"].alias("length"),
         ))
 
+    def of_text(bound: Column) -> Column:
+        matches = F.transform(active(bound["found"]), lambda rule: lengths(bound["text"], rule))
+        # The gap after the last match has no match of its own.
+        return F.filter(F.flatten(matches), lambda m: m["length"].isNotNull())
+
     none = F.array().cast(
         "array<struct<rule:int,priority:int,label:string,score:double,nth:int,gap:int,length:int>>"
     )
-    return F.when(F.size(present) > 0, F.flatten(F.transform(active, lengths))).otherwise(none)
+    text = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    # One bound value: inside the function neither the text nor the keywords are computed again per rule.
+    bound = F.array(F.struct(text.alias("text"), present.alias("found")))
+    return F.when(F.size(present) > 0, F.flatten(F.transform(bound, of_text))).otherwise(none)
 
 
 def detections(
@@ -85,7 +95,7 @@ def detections(
     table = rules() if table is None else table
     text = F.col(text_col)
     words = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("body"), plain_words(text).alias("words"))
-    keywords = F.array(*[F.lit(k) for k in sorted({r.keyword for r in table})])
+    keywords = F.array(*[F.lit(k) for k in sorted({k for r in table for one in r.keywords for k in one})])
     present = F.array_intersect("words", keywords)
     found = words.select(
         "doc", "body", F.size("words").alias("n_words"), _phrase_places(F.col("words")).alias("places"),

@@ -102,7 +102,7 @@ def detections(text, rules):
     present = set(plain_words(text))
     found = []
     for n, r in enumerate(rules):
-        if r.keyword in present:
+        if all(present & set(one) for one in r.keywords):
             found += [(m.start(), -m.end(), r.priority, n, r) for m in re.finditer(r.pattern, norm)]
     out, earlier = [], []
     for start, end, priority, _, rule in sorted(found, key=lambda f: f[:4]):
