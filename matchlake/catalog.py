@@ -22,7 +22,8 @@ from matchlake.sources import pages, snapshots
 
 # A week is a match date here and a team plays far more often than in a real league.
 CUTOFF_WEEK = 200
-SEASON_LENGTH = 2200
+# Rows per piece of a cut history, small enough that the registered queries do cut.
+PIECE_ROWS = 40
 # Small models for the registered queries; the plans default to the full sizes.
 SMALL = models.Size(5, 0.1, 3)
 SMALL_GRID = {"trees": [3], "step": [0.05, 0.1], "depth": [3]}
@@ -133,7 +134,9 @@ class Inputs:
 
     @cached_property
     def psych(self) -> DataFrame:
-        return self.stored("psych", teams.psych_table(self.matches, self.season, self.wide))
+        # A table read from files has no order of its own.
+        table = self.stored("psych", teams.psych_table(self.matches, self.season, self.wide))
+        return table.orderBy(F.desc("TensionIndex"), "Team")
 
     @cached_property
     def clutch(self) -> DataFrame:
@@ -153,11 +156,11 @@ class Inputs:
 
     @cached_property
     def index(self) -> DataFrame:
-        return self.stored("index", players.star_index(self.star))
+        return self.stored("index", players.star_index(self.star)).orderBy(F.desc("StarScore"), "Player", "Squad")
 
     @cached_property
     def cards(self):
-        return league.fit_cards(self.matches, self.season, CUTOFF_WEEK, SEASON_LENGTH, SMALL_GRID)
+        return league.fit_cards(self.matches, self.season, CUTOFF_WEEK, SMALL_GRID)
 
     @cached_property
     def scored_stars(self) -> DataFrame:
@@ -345,7 +348,7 @@ def _(x: Inputs):
 
 @query("T02_rolling_form")
 def _(x: Inputs):
-    return teams.rolling_form(teams.team_sides(x.matches, teams.POINTS)).select(
+    return teams.rolling_form(teams.team_sides(x.matches, teams.POINTS), chunk_rows=PIECE_ROWS).select(
         "MatchId", "Season", "Team", "RecentFormPPG"
     )
 
@@ -362,7 +365,7 @@ def _(x: Inputs):
 
 @query("T04_rolling_goal_history")
 def _(x: Inputs):
-    return teams.rolling_goal_history(teams.team_sides(x.matches, teams.GOALS)).select(
+    return teams.rolling_goal_history(teams.team_sides(x.matches, teams.GOALS), chunk_rows=PIECE_ROWS).select(
         "MatchId", "Season", "Team", "AvgGoalsScored", "AvgGoalsConceded"
     )
 
@@ -383,7 +386,7 @@ def _(x: Inputs):
 
 @query("T07_final_points_training")
 def _(x: Inputs):
-    rows = teams.final_points_training(x.matches, x.past, x.season, CUTOFF_WEEK, SEASON_LENGTH)
+    rows = teams.final_points_training(x.matches, x.past, x.season, CUTOFF_WEEK)
     return rows.select("Season", "Team", *teams.FINAL_POINTS_FEATURES, "RemainingPoints", "RemainingPPG")
 
 
@@ -460,7 +463,7 @@ def _(x: Inputs):
 
 @query("T21_discipline_training")
 def _(x: Inputs):
-    return teams.discipline_training(x.matches, x.season, CUTOFF_WEEK, SEASON_LENGTH)
+    return teams.discipline_training(x.matches, x.season, CUTOFF_WEEK)
 
 
 @query("T22_predicted_cards")
@@ -643,14 +646,14 @@ def _(x: Inputs):
 
 @query("M02_final_points_standings")
 def _(x: Inputs):
-    model = league.fit_final_points(x.matches, x.past, x.season, CUTOFF_WEEK, SEASON_LENGTH, SMALL)
+    model = league.fit_final_points(x.matches, x.past, x.season, CUTOFF_WEEK, SMALL)
     return league.standings(model, x.matches, x.remaining, x.season)
 
 
 @query("M02_final_points_fit")
 def _(x: Inputs):
-    model = league.fit_final_points(x.matches, x.past, x.season, CUTOFF_WEEK, SEASON_LENGTH, SMALL)
-    return league.final_points_fit(model, x.matches, x.past, x.season, CUTOFF_WEEK, SEASON_LENGTH)
+    model = league.fit_final_points(x.matches, x.past, x.season, CUTOFF_WEEK, SMALL)
+    return league.final_points_fit(model, x.matches, x.past, x.season, CUTOFF_WEEK)
 
 
 @query("M02_player_goals")

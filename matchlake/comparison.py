@@ -310,16 +310,17 @@ _FINAL["T06_season_aggregate"] = "SELECT * FROM agg_all"
 _FINAL["T07_final_points_training"] = """
 SELECT Season, Team, PartialPoints, FTHG, FTAG, GD, HS, HST, HC, MatchesLeft, ROUND(RecentFormPPG, 6) AS RecentFormPPG, RemainingPoints,
   ROUND(CAST(RemainingPoints AS DOUBLE) / MatchesLeft, 6) AS RemainingPPG
-FROM (SELECT a.*, GREATEST(2200 - GamesPlayed, 0) AS MatchesLeft, Pts - PartialPoints AS RemainingPoints,
+FROM (SELECT a.*, GREATEST(g.Games - GamesPlayed, 0) AS MatchesLeft, Pts - PartialPoints AS RemainingPoints,
     COALESCE(f.RecentFormPPG, 0) AS RecentFormPPG
   FROM agg_train a JOIN past p ON p.Season = a.Season AND p.Team = a.Team
+  JOIN (SELECT Season, Team, COUNT(*) AS Games FROM sides_all GROUP BY Season, Team) g ON g.Season = a.Season AND g.Team = a.Team
   LEFT JOIN form_train f ON f.Season = a.Season AND f.Team = a.Team) WHERE MatchesLeft > 0"""
 _FINAL["T08_fixtures_left"] = "SELECT Team, MatchesLeft FROM left_games"
 _FINAL["T09_partial_features"] = "SELECT * REPLACE (ROUND(RecentFormPPG, 6) AS RecentFormPPG) FROM partial"
 _FINAL["T10_final_table"] = "SELECT * REPLACE (ROUND(RecentFormPPG, 6) AS RecentFormPPG) FROM standing"
 _FINAL["T11_champion"] = "SELECT Team, PredictedFinalPoints FROM standing WHERE Rank = 1"
 _FINAL["T12_cutoff_sweep"] = f"""
-SELECT Season, Team, Cutoff, {_SUMS} FROM sides_all JOIN (SELECT CAST(UNNEST(RANGE(1, 39)) AS INT) AS Cutoff) ON MatchWeek <= Cutoff
+SELECT Season, Team, Cutoff, {_SUMS} FROM sides_all JOIN (SELECT Season AS of, CAST(UNNEST(RANGE(1, MAX(MatchWeek) + 1)) AS INT) AS Cutoff FROM clean GROUP BY Season) ON of = Season AND MatchWeek <= Cutoff
 GROUP BY Season, Team, Cutoff"""
 _FINAL["T13_discipline_per_game"] = """
 SELECT Team, ROUND(FoulsPerGame, 6) AS FoulsPerGame, ROUND(YellowCardsPerGame, 6) AS YellowCardsPerGame,
@@ -347,9 +348,11 @@ _FINAL["T21_discipline_training"] = """
 WITH venue AS (SELECT Team, IsHome, AVG(Fouls) AS f, AVG(YellowCards) AS y, AVG(RedCards) AS r FROM sides_train GROUP BY Team, IsHome),
 rates AS (SELECT Team, AVG(f) AS f, AVG(y) AS y, AVG(r) AS r FROM venue GROUP BY Team)
 SELECT fo.Season, r.Team, ROUND(f, 6) AS Fouls, ROUND(y, 6) AS YellowCards, ROUND(r, 6) AS RedCards, ROUND(RecentFormPPG, 6) AS RecentFormPPG,
-  HighPressureFlag, ROUND(RefereeStrictness, 6) AS RefereeStrictness, ROUND(y * 2000, 6) AS RemainingYellowCards,
-  ROUND(r * 2000, 6) AS RemainingRedCards
-FROM rates r JOIN form_train fo ON fo.Team = r.Team LEFT JOIN press_train p ON p.Team = r.Team LEFT JOIN strict_train s ON s.Team = r.Team"""
+  HighPressureFlag, ROUND(RefereeStrictness, 6) AS RefereeStrictness, ROUND(y * weeks, 6) AS RemainingYellowCards,
+  ROUND(r * weeks, 6) AS RemainingRedCards
+FROM rates r JOIN form_train fo ON fo.Team = r.Team
+  JOIN (SELECT Season, GREATEST(MAX(MatchWeek) - 200, 0) AS weeks FROM clean GROUP BY Season) wk ON wk.Season = fo.Season
+  LEFT JOIN press_train p ON p.Team = r.Team LEFT JOIN strict_train s ON s.Team = r.Team"""
 _FINAL["T23_outcome_features"] = _outcome("form_train", "Season")
 _FINAL["T23_outcome_features_as_of"] = _outcome("before", "MatchId")
 _FINAL["T24_class_weights"] = """
@@ -445,7 +448,7 @@ k AS (SELECT SUM(CASE WHEN is_star = 1 THEN r + (t - 1) / 2.0 END) AS s, SUM(is_
 SELECT ROUND((s - p * (p + 1) / 2.0) / (p * n), 6) AS AUC, ROUND(COALESCE(CAST(tp AS DOUBLE) / NULLIF(said, 0), 0), 6) AS Precision,
   ROUND(COALESCE(CAST(tp AS DOUBLE) / NULLIF(p, 0), 0), 6) AS Recall, ROUND(COALESCE(2.0 * tp / NULLIF(said + p, 0), 0), 6) AS F1 FROM k"""
 _FINAL["M09_random_split"] = f"""
-SELECT MatchId, CASE WHEN {_HASH.format("CONCAT(CAST(MatchId AS VARCHAR), '|42')")} % 100 < 20 THEN 1 ELSE 0 END AS is_test FROM clean"""
+SELECT MatchId, CASE WHEN {_HASH.format("CONCAT(CAST(MatchId AS VARCHAR), '|42')")} < 3355443 THEN 1 ELSE 0 END AS is_test FROM clean"""
 _FINAL["M10_stratified_split"] = f"""
 SELECT Player, Squad, is_star, CASE WHEN ROW_NUMBER() OVER (PARTITION BY is_star ORDER BY h, Player, Squad)
   <= FLOOR(0.2 * COUNT(*) OVER (PARTITION BY is_star) + 0.5) THEN 1 ELSE 0 END AS is_test

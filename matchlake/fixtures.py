@@ -63,7 +63,7 @@ FROM fx_matches WHERE src = 'P'
 
 VIEWS["fx_remaining"] = r"""
 SELECT MatchId, Season, Date, HomeTeam, AwayTeam, OddsOver, OddsUnder
-FROM fx_matches WHERE src = 'O' AND Season = '2001-02' AND Date <> 'TBC'
+FROM fx_matches WHERE src = 'O' AND Season = (SELECT MAX(Season) FROM fx_matches WHERE src <> 'O' AND Date <> 'TBC') AND Date <> 'TBC'
 """
 
 VIEWS["fx_remaining_wide"] = r"""
@@ -80,7 +80,7 @@ VIEWS["fx_past"] = r"""
 WITH s AS (
   SELECT Season, HomeTeam AS Team, CASE FTR WHEN 'H' THEN 3 WHEN 'D' THEN 1 ELSE 0 END AS p FROM fx_matches
   UNION ALL SELECT Season, AwayTeam, CASE FTR WHEN 'A' THEN 3 WHEN 'D' THEN 1 ELSE 0 END FROM fx_matches)
-SELECT Season, Team AS SquadName, CAST(SUM(p) AS INT) AS Pts FROM s WHERE Season <> '2001-02' GROUP BY Season, Team
+SELECT Season, Team AS SquadName, CAST(SUM(p) AS INT) AS Pts FROM s WHERE Season <> (SELECT MAX(Season) FROM fx_matches WHERE src <> 'O' AND Date <> 'TBC') GROUP BY Season, Team
 """
 
 VIEWS["fx_players"] = r"""

@@ -8,7 +8,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Accepted date layouts, tried in this order (fixed values).
-DATE_FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy", "dd/MM/yy", "yyyy-MM-dd HH:mm:ss")
+DATE_FORMATS = (
+    "yyyy-MM-dd", "dd/MM/yyyy", "dd/MM/yy", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss",
+    "yyyy-MM-dd'T'HH:mm", "dd/MM/yyyy HH:mm", "d MMM yyyy", "d MMMM yyyy",
+)
+# Two-digit years above this one belong to the last century.
+LAST_TWO_DIGIT_YEAR = 68
 
 _NUMBER = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
@@ -29,8 +34,16 @@ def normalize_season(season: Column | str) -> Column:
 
 
 def parse_date(text: Column | str, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
-    """First layout that fits, else null."""
-    return F.coalesce(*[F.try_to_date(F.trim(_as_col(text).cast("string")), fmt) for fmt in formats])
+    """First layout that fits, else null. Years of two digits are 1969 to 2068."""
+    text = F.trim(_as_col(text).cast("string"))
+
+    def by(layout: str) -> Column:
+        day = F.try_to_date(text, layout)
+        if "yyyy" in layout:
+            return day
+        return F.when(F.year(day) % 100 > LAST_TWO_DIGIT_YEAR, F.add_months(day, -1200)).otherwise(day)
+
+    return F.coalesce(*[by(layout) for layout in formats])
 
 
 def home_points(result: Column | str) -> Column:

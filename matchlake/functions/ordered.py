@@ -17,52 +17,61 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import StringType
 
 from matchlake.functions import columns as c
 
+# Rows of a key that one task orders.
 CHUNK_ROWS = 2_000_000
+# A large day is cut into so many pieces at most.
+CUTS = 256
 
 
 # -- ordered histories ------------------------------------------------------
 
 
+def _place(df: DataFrame, name: str) -> Column:
+    """A number that never falls where the column rises: numbers as they are, text by its first six bytes."""
+    if isinstance(df.schema[name].dataType, StringType):
+        head = F.rpad(F.substring(F.hex(F.encode(name, "UTF-8")), 1, 12), 12, "0")
+        return F.conv(head, 16, 10).cast("double")
+    return F.col(name).cast("double")
+
+
 def cut_history(
     df: DataFrame, keys: Sequence[str], day: str, tie: str, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """Add ``_chunk`` and ``_piece``; their order agrees with (day, tie) inside each key.
 
     Whole days are packed into chunks of about ``chunk_rows`` rows. A day that is
-    larger by itself is cut further along ``tie``. The day histogram is one row
-    per key and day, so its window is bounded by the calendar, not by the data.
+    larger by itself is cut at quantiles of ``tie``. Rows without a day come first,
+    as in a sort. The day histogram is one row per key and day, so its window is
+    bounded by the calendar, not by the data.
     """
-    per_day = df.groupBy(*keys, day).agg(
-        F.count(F.lit(1)).alias("_rows"), F.min(tie).alias("_lo"), F.max(tie).alias("_hi")
+    marked = df.withColumn("_place", _place(df, tie))
+    grid = [k / CUTS for k in range(1, CUTS)]
+    per_day = marked.groupBy(*keys, day).agg(
+        F.count(F.lit(1)).alias("_rows"), F.percentile_approx("_place", grid, 1000).alias("_cuts")
     )
     earlier = W.partitionBy(*keys).orderBy(day).rowsBetween(W.unboundedPreceding, -1)
     before = F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
+    pieces = F.ceil(F.col("_rows") / F.lit(chunk_rows))
     per_day = per_day.select(
-        *keys,
-        day,
+        *[F.col(k).alias(f"_of_{k}") for k in keys],
+        F.col(day).alias("_of_day"),
         F.floor(before / F.lit(chunk_rows)).alias("_chunk"),
-        F.ceil(F.col("_rows") / F.lit(chunk_rows)).alias("_pieces"),
-        "_lo",
-        "_hi",
+        pieces.alias("_pieces"),
+        F.when(pieces > 1, F.col("_cuts")).alias("_cuts"),
     )
-    position = (F.col(tie) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1)
-    piece = F.when(F.col("_pieces") > 1, F.floor(position * F.col("_pieces"))).otherwise(F.lit(0))
-    return (
-        df.join(per_day, [*keys, day])
-        .withColumn("_piece", piece.cast("long"))
-        .drop("_pieces", "_lo", "_hi")
+    same = [marked[k] == per_day[f"_of_{k}"] for k in keys]
+    joined = marked.join(per_day, [*same, marked[day].eqNullSafe(per_day["_of_day"])])
+    passed = F.size(F.filter("_cuts", lambda cut: cut < F.col("_place")))
+    piece = F.when(F.col("_pieces") > 1, F.floor(passed * F.col("_pieces") / CUTS)).otherwise(F.lit(0))
+    return joined.withColumn("_piece", F.coalesce(piece.cast("long"), F.lit(0))).drop(
+        "_pieces", "_cuts", "_place", "_of_day", *[f"_of_{k}" for k in keys]
     )
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the most frequent key: counted on the map side, one number comes back."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.max("n").alias("n")).first()["n"] or 0
-
-
 def rolling_mean(
     df: DataFrame,
     keys: Sequence[str],
@@ -72,21 +81,15 @@ def rolling_mean(
     n: int,
     lag: int = 0,
     chunk_rows: int = CHUNK_ROWS,
-    split: bool | None = None,
 ) -> DataFrame:
     """Mean of the last ``n`` rows per key, one output row per input row.
 
-    ``lag=1`` leaves the row itself out. A plain window is used only after counting that
-    no key has more than ``chunk_rows`` rows. Otherwise histories are cut: each chunk
-    borrows the last ``n - 1 + lag`` rows of the chunks before it, so a key is worked on
-    by as many tasks as it has chunks. ``split`` skips the count and decides at once.
+    ``lag=1`` leaves the row itself out. Histories are always cut: each chunk borrows
+    the last ``n - 1 + lag`` rows of the chunks before it, so a key is worked on by as
+    many tasks as it has chunks. ``tie`` may be a number or text; rows without a day
+    come first.
     """
     reach = n - 1 + lag
-    if split is None:
-        split = largest_group(df, keys) > chunk_rows
-    if not split:
-        frame = W.partitionBy(*keys).orderBy(day, tie).rowsBetween(-reach, -lag)
-        return df.withColumns({out: F.avg(src).over(frame) for out, src in measures.items()})
     part = [*keys, "_chunk", "_piece"]
     sources = list(dict.fromkeys(measures.values()))
     rows = cut_history(df, keys, day, tie, chunk_rows)

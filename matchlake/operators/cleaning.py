@@ -22,6 +22,9 @@ SHORT_NAMES = {
     "AwayTeamShotsOnTarget": "AST",
     "HomeTeamCorners": "HC",
     "AwayTeamCorners": "AC",
+    # Names with a dot need quoting everywhere, so they go at the source.
+    "B365Over2.5Goals": "OddsOver",
+    "B365Under2.5Goals": "OddsUnder",
 }
 
 
@@ -41,6 +44,13 @@ def union_matches(*tables: DataFrame) -> DataFrame:
     return first
 
 
+def with_match_id(df: DataFrame) -> DataFrame:
+    """Tables without a match id get one of season, date and the two teams."""
+    if "MatchId" in df.columns:
+        return df
+    return df.withColumn("MatchId", F.concat_ws("|", "Season", F.col("Date").cast("string"), "HomeTeam", "AwayTeam"))
+
+
 def parse_dates(df: DataFrame, formats: tuple[str, ...] = c.DATE_FORMATS) -> DataFrame:
     return df.withColumn("Date", c.parse_date("Date", formats)).filter(F.col("Date").isNotNull())
 
@@ -115,8 +125,8 @@ def per90(df: DataFrame, rates: dict[str, str], nineties: str = "90s") -> DataFr
 
 def clean_matches(history: DataFrame, results: DataFrame) -> DataFrame:
     """The whole cleaning chain for the two match sources."""
-    return add_match_points(match_week(parse_dates(union_matches(history, results))))
+    return add_match_points(match_week(with_match_id(parse_dates(union_matches(history, results)))))
 
 
 def clean_fixtures(remaining: DataFrame) -> DataFrame:
-    return with_season(remaining).withColumn("Date", c.parse_date("Date"))
+    return with_match_id(with_season(standardize_columns(remaining)).withColumn("Date", c.parse_date("Date")))

@@ -54,7 +54,8 @@ def regression_metrics(df: DataFrame, y: str, yhat: str) -> DataFrame:
 
 
 def classification_metrics(df: DataFrame, label: str, prob: str, threshold: float = 0.5, eps: float = 1e-15) -> DataFrame:
-    """One row: accuracy and log loss of a binary model."""
+    """One row: accuracy and log loss of a binary model; rows without a label or score are left out."""
+    df = df.filter(F.col(label).isNotNull() & F.col(prob).isNotNull())
     p = F.least(F.greatest(F.col(prob), F.lit(eps)), F.lit(1 - eps))
     loss = F.when(F.col(label) == 1, -F.ln(p)).otherwise(-F.ln(1 - p))
     hit = F.when((F.col(prob) > threshold) == (F.col(label) == 1), 1.0).otherwise(0.0)
@@ -106,8 +107,8 @@ def binary_report(df: DataFrame, label: str, score: str, threshold: float = 0.5)
 
 
 def random_split(df: DataFrame, keys: Sequence[str], frac: float = 0.2, seed: int = 42, out: str = "is_test") -> DataFrame:
-    """Flag about ``frac`` of the rows by a hash of their keys; the same rows every time."""
-    picked = c.stable_hash(seed, *keys) % 100 < round(frac * 100)
+    """Flag about ``frac`` of the rows by a 24-bit hash of their keys; the same rows every time."""
+    picked = c.stable_hash(seed, *keys) < round(frac * 2**24)
     return df.withColumn(out, F.when(picked, 1).otherwise(0))
 
 

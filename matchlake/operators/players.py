@@ -84,10 +84,10 @@ def goal_features(standard: DataFrame, shooting: DataFrame, passing: DataFrame)
     df = df.withColumns(
         {
             "Minutes": minutes,
-            "Goals": cleaning.first_present(df, ["Gls", "Gls_shoot"]),
-            "ShotsPer90": c.ratio(cleaning.first_present(df, ["Sh", "Sh_shoot"]), nineties),
-            "xGPer90": c.ratio(cleaning.first_present(df, ["xG", "xG_shoot"]), nineties),
-            "xAPer90": c.ratio(cleaning.first_present(df, ["xA", "xA_pass"]), nineties),
+            "Goals": cleaning.first_present(df, ["Gls"]),
+            "ShotsPer90": c.ratio(cleaning.first_present(df, ["Sh"]), nineties),
+            "xGPer90": c.ratio(cleaning.first_present(df, ["xG"]), nineties),
+            "xAPer90": c.ratio(cleaning.first_present(df, ["xA"]), nineties),
         }
     ).withColumn("GoalsPer90", c.ratio("Goals", nineties))
     return (

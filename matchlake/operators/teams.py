@@ -147,15 +147,20 @@ def season_aggregate(matches: DataFrame, cutoff_week: int | None = None) -> Data
     return _derived(_season_sides(matches).groupBy(*TEAM).agg(*sums))
 
 
-def cutoff_sweep(matches: DataFrame, last_cutoff: int = 38) -> DataFrame:
-    """:func:`season_aggregate` for every cutoff 1..last_cutoff in one job.
+def cutoff_sweep(matches: DataFrame, last_cutoff: int | None = None) -> DataFrame:
+    """:func:`season_aggregate` for every cutoff 1..last_cutoff in one job; the last week of each season by default.
 
     Weeks are summed first, so the running window sees one row per team and week.
     """
     picks = _season_sums()
+    sides = _season_sides(matches)
+    if last_cutoff is None:
+        last = season_weeks(matches).withColumnRenamed("Weeks", "_last")
+    else:
+        sides = sides.filter(F.col("MatchWeek") <= last_cutoff)
+        last = sides.select("Season").distinct().withColumn("_last", F.lit(last_cutoff))
     weekly = (
-        _season_sides(matches)
-        .filter(F.col("MatchWeek") <= last_cutoff)
+        sides
         .groupBy(*TEAM, "MatchWeek")
         .agg(*[c.sum_or_zero(x).alias(name) for name, x in picks.items()])
     )
@@ -163,27 +168,44 @@ def cutoff_sweep(matches: DataFrame, last_cutoff: int = 38) -> DataFrame:
     running = weekly.select(
         *TEAM,
         F.col("MatchWeek").alias("_from"),
-        (F.coalesce(F.lead("MatchWeek").over(by_week), F.lit(last_cutoff + 1)) - 1).alias("_to"),
+        (F.lead("MatchWeek").over(by_week) - 1).alias("_to"),
         *[F.sum(name).over(by_week).alias(name) for name in picks],
     )
-    swept = running.withColumn("Cutoff", F.explode(F.sequence("_from", "_to"))).drop("_from", "_to")
+    running = running.join(last, "Season").withColumn("_to", F.coalesce("_to", "_last"))
+    swept = running.withColumn("Cutoff", F.explode(F.sequence("_from", "_to"))).drop("_from", "_to", "_last")
     return _derived(swept)
 
 
+def season_weeks(matches: DataFrame) -> DataFrame:
+    """Last match week of each season: at most one row per season."""
+    return matches.groupBy("Season").agg(F.max("MatchWeek").alias("Weeks"))
+
+
+def season_games(matches: DataFrame) -> DataFrame:
+    """Games of each team in each season."""
+    return _keyed(team_sides(matches, {})).groupBy(*TEAM).agg(F.count(F.lit(1)).alias("Games"))
+
+
 def final_points_training(
-    matches: DataFrame, past: DataFrame, season: Column | str, cutoff_week: int = 34, season_length: int = 38
+    matches: DataFrame, past: DataFrame, season: Column | str, cutoff_week: int = 34, season_length: int | None = None
 ) -> DataFrame:
+    """Rows of past seasons at the cutoff. A team's games left are counted in ``matches``, unless a length is given."""
     history = cleaning.training_slice(matches, season, cutoff_week)
     final = past.select(
         c.normalize_season("Season").alias("Season"),
         F.col("SquadName").alias("Team"),
         F.col("Pts").alias("FinalPoints"),
     )
-    left = F.greatest(F.lit(season_length) - F.col("GamesPlayed"), F.lit(0))
+    games = season_games(matches)
+    if season_length is not None:
+        games = games.withColumn("Games", F.lit(season_length))
+    left = F.greatest(F.col("Games") - F.col("GamesPlayed"), F.lit(0))
     joined = (
         season_aggregate(history)
         .join(final, TEAM)
+        .join(games, TEAM)
         .withColumn("MatchesLeft", left)
+        .drop("Games")
         .withColumn("RemainingPoints", F.col("FinalPoints") - F.col("PartialPoints"))
         .withColumn("RemainingPPG", c.ratio("RemainingPoints", "MatchesLeft"))
         .join(recent_form(team_sides(history, POINTS)), TEAM, "left")
@@ -389,9 +411,12 @@ def team_stats_lookup(psych: DataFrame) -> DataFrame:
 
 
 def discipline_training(
-    matches: DataFrame, season: Column | str, cutoff_week: int = 34, season_length: int = 38
+    matches: DataFrame, season: Column | str, cutoff_week: int = 34, season_length: int | None = None
 ) -> DataFrame:
-    """Card rates per team over all past seasons, one row per team and past-season form."""
+    """Card rates per team over all past seasons, one row per team and past-season form.
+
+    The weeks left after the cutoff are those of the season in ``matches``, unless a length is given.
+    """
     history = cleaning.ensure_columns(cleaning.training_slice(matches, season, cutoff_week), CARD_COLUMNS)
     sides = team_sides(history, {**POINTS, **CARDS})
     home = F.col("IsHome") == 1
@@ -404,9 +429,13 @@ def discipline_training(
         .agg(*means)
         .select("Team", *[c.mean_of_present(f"h{n}", f"a{n}").alias(n) for n in CARDS])
     )
-    weeks = season_length - cutoff_week
+    last = season_weeks(matches)
+    if season_length is not None:
+        last = last.withColumn("Weeks", F.lit(season_length))
+    weeks = F.greatest(F.col("Weeks") - cutoff_week, F.lit(0))
     return (
         rates.join(recent_form(sides), "Team", "left")
+        .join(last, "Season", "left")
         .join(pressure_flag(sides).drop("Points"), "Team", "left")
         .join(team_strictness(history), "Team", "left")
         .withColumns(

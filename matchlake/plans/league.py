@@ -11,7 +11,7 @@ SeasonLike = Column | str
 
 
 def fit_final_points(
-    matches: DataFrame, past: DataFrame, season: SeasonLike, cutoff_week: int = 34, season_length: int = 38,
+    matches: DataFrame, past: DataFrame, season: SeasonLike, cutoff_week: int = 34, season_length: int | None = None,
     size: models.Size = models.FINAL_POINTS,
 ):
     rows = teams.final_points_training(matches, past, season, cutoff_week, season_length)
@@ -19,7 +19,7 @@ def fit_final_points(
 
 
 def final_points_fit(
-    model, matches: DataFrame, past: DataFrame, season: SeasonLike, cutoff_week: int = 34, season_length: int = 38
+    model, matches: DataFrame, past: DataFrame, season: SeasonLike, cutoff_week: int = 34, season_length: int | None = None
 ) -> DataFrame:
     """MAE and R2 of remaining points on the training rows."""
     rows = teams.final_points_training(matches, past, season, cutoff_week, season_length)
@@ -40,7 +40,7 @@ def form_standings(matches: DataFrame, remaining: DataFrame, season: SeasonLike)
 
 
 def fit_cards(
-    matches: DataFrame, season: SeasonLike, cutoff_week: int = 34, season_length: int = 38,
+    matches: DataFrame, season: SeasonLike, cutoff_week: int = 34, season_length: int | None = None,
     grid: dict | None = None, parallelism: int = 4,
 ):
     """Tuned regressors for yellow and red cards: ((model, error), (model, error))."""

@@ -33,11 +33,24 @@ _EDGES_OF_NODE = r"(?U)(?:^|(?<=>))\s+|\s+(?=<|$)"
 _NAMED = "\n".join(f"{name}={chr(code)}" for name, code in {**name2codepoint, "apos": 39}.items())
 
 
+# Characters of the numbers 128 to 159, for those that the Windows code page has.
+_WINDOWS = "\n".join(
+    f"{n}={bytes([n]).decode('cp1252')}" for n in range(128, 160) if bytes([n]).decode("cp1252", "ignore")
+)
+
+
 def _entity(name: Column) -> Column:
     """The character an entity name stands for; null when unknown."""
     known = F.str_to_map(F.lit(_NAMED), F.lit("\n"), F.lit("="))
-    digits = F.when(name.rlike("^#[xX]"), F.substring(name, 3, 8)).otherwise(F.conv(F.substring(name, 2, 10), 10, 16))
-    numeric = F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")
+    long_ = F.length(name) > 10
+    digits = F.when(long_, "FFFFFFFFF").when(name.rlike("^#[xX]"), F.substring(name, 3, 9))
+    digits = digits.otherwise(F.conv(F.substring(name, 2, 10), 10, 16))
+    code = F.conv(digits, 16, 10).cast("decimal(20,0)")
+    # Numbers that are no character become U+FFFD, as browsers do; 128 to 159 stand for Windows characters.
+    valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF) & (F.length(digits) <= 8)
+    bytes_ = F.unhex(F.lpad(F.when(valid, digits).otherwise("FFFD"), 8, "0"))
+    old = F.try_element_at(F.str_to_map(F.lit(_WINDOWS), F.lit("\n"), F.lit("=")), F.when(valid, code.cast("int").cast("string")))
+    numeric = F.coalesce(old, F.decode(bytes_, "UTF-32"))
     return F.when(name.startswith("#"), numeric).otherwise(F.try_element_at(known, name))
 
 

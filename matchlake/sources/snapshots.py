@@ -6,15 +6,30 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 DATE_IN_NAME = r"([0-9]{4}-[0-9]{2}-[0-9]{2})"
 SNAPSHOT_KEYS = ["stat", "table_type", "snapshot_date"]
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """CSV with a header line in latin-1; column types come from ``schema``, never inferred."""
-    return spark.read.schema(schema).option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    """CSV with a header line in latin-1, bound by header name whatever the order of the columns.
+
+    Types come from ``schema``, never inferred: values that do not fit are null, columns
+    of the schema that the file lacks are null, and other columns are left out.
+    """
+    wanted = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    raw = spark.read.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    by_name = {name.strip(): name for name in reversed(raw.columns)}
+
+    def column(field: StructField) -> Column:
+        name = field.name.strip()
+        if name not in by_name:
+            return F.lit(None).cast(field.dataType).alias(field.name)
+        text = F.col("`" + by_name[name].replace("`", "``") + "`")
+        return text.try_cast(field.dataType).alias(field.name)
+
+    return raw.select(*[column(f) for f in wanted.fields])
 
 
 def trim_headers(df: DataFrame) -> DataFrame:

@@ -39,11 +39,23 @@ def test_rolling_mean_in_chunks(history, chunk_rows, n, lag):
     assert {(r.Team, r.MatchId): None if r.form is None else round(r.form, 9) for r in got} == plain(history, n, lag)
 
 
-def test_split_is_decided_by_count(history):
-    keys = ["Season", "Team"]
-    assert ordered.largest_group(history, keys) == 100
-    plan = lambda rows: ordered.rolling_mean(history, keys, "Date", "MatchId", {"f": "Points"}, 5, 0, rows)._jdf.queryExecution().toString()
-    assert "_halo" not in plan(100) and "_halo" in plan(99)
+@pytest.mark.parametrize("chunk_rows", [2, 1_000_000])
+def test_rolling_mean_with_missing_days_text_ids_and_outliers(history, chunk_rows):
+    from pyspark.sql import functions as F
+
+    odd = history.withColumn("Date", F.when(F.col("MatchId") % 5 > 0, F.col("Date")))
+    as_text = odd.withColumn("MatchId", F.format_string("m%04d|é", "MatchId"))
+    outlier = odd.withColumn("MatchId", F.when(F.col("MatchId") == 17, 10**12).otherwise(F.col("MatchId")))
+    for df in (odd, as_text, outlier):
+        keys = ["Season", "Team"]
+        got = ordered.rolling_mean(df, keys, "Date", "MatchId", {"form": "Points"}, 5, 1, chunk_rows).collect()
+        pdf = df.toPandas()
+        pdf["Date"] = pdf["Date"].map(lambda d: d or datetime.date.min)
+        pdf = pdf.sort_values([*keys, "Date", "MatchId"])
+        shifted = pdf.groupby(keys)["Points"].shift(1)
+        pdf["want"] = shifted.groupby([pdf["Season"], pdf["Team"]]).transform(lambda x: x.rolling(5, min_periods=1).mean())
+        want = {(r.Team, r.MatchId): None if pd.isna(r.want) else round(r.want, 9) for r in pdf.itertuples()}
+        assert {(r.Team, r.MatchId): None if r.form is None else round(r.form, 9) for r in got} == want
 
 
 def test_hot_day_is_cut(history):

@@ -20,7 +20,8 @@ def wide(df):
 @pytest.mark.parametrize(
     "raw,want",
     [("A &amp; B", "A & B"), ("&#233;t&#xE9;", "été"), ("&eacute;", "é"), ("&bogus;", "&bogus;"), ("a&b", "a&b"),
-     ("&amp;lt;", "&lt;"), ("&#128512;", "\U0001F600"), (" x ", "x"), ("&apos;", "'"), ("", "")],
+     ("&amp;lt;", "&lt;"), ("&#128512;", "\U0001F600"), (" x ", "x"), ("&apos;", "'"), ("", ""),
+     ("&#1114112;", "\ufffd"), ("a&#99999999999;b", "a\ufffdb"), ("&#xD800;", "\ufffd"), ("&#150;&#x80;", "\u2013\u20ac"), ("&#0;", "\ufffd"), ("&#x1F600;", "\U0001F600")],
 )
 def test_entities(spark, raw, want):
     df = spark.createDataFrame([(raw,)], "x string")

@@ -38,7 +38,9 @@ def test_season(spark, raw, want):
 @pytest.mark.parametrize(
     "raw,want",
     [("2001-02-03", datetime.date(2001, 2, 3)), ("03/02/2001", datetime.date(2001, 2, 3)), ("03/02/01", datetime.date(2001, 2, 3)),
-     ("TBC", None), ("31/31/2001", None), (None, None)],
+     ("TBC", None), ("31/31/2001", None), (None, None), ("15/08/93", datetime.date(1993, 8, 15)), ("01/01/68", datetime.date(2068, 1, 1)),
+     ("2020-08-01T15:00:00", datetime.date(2020, 8, 1)), ("2020-08-01 15:00", datetime.date(2020, 8, 1)), ("15 Aug 2020", datetime.date(2020, 8, 15)),
+     ("15/08/2020 19:45", datetime.date(2020, 8, 15))],
 )
 def test_mixed_dates(spark, raw, want):
     assert column(spark, raw, c.parse_date) == want
