@@ -160,7 +160,7 @@ class Inputs:
 
     @cached_property
     def cards(self):
-        return league.fit_cards(self.matches, self.season, CUTOFF_WEEK, SMALL_GRID)
+        return league.fit_cards(self.matches, self.season, CUTOFF_WEEK, grid=SMALL_GRID)
 
     @cached_property
     def scored_stars(self) -> DataFrame:
@@ -494,7 +494,7 @@ def _(x: Inputs):
 
 @query("T26_fixture_outcome_probs")
 def _(x: Inputs):
-    model = matchday.fit_outcome(x.matches, x.season, CUTOFF_WEEK, SMALL)
+    model = matchday.fit_outcome(x.matches, x.season, CUTOFF_WEEK, size=SMALL)
     return matchday.fixture_outcome_probs(model, x.matches, x.remaining, x.season)
 
 
@@ -511,7 +511,7 @@ def _(x: Inputs):
 
 @query("T28_fixture_goals")
 def _(x: Inputs):
-    model = matchday.fit_goals(x.matches, x.season, CUTOFF_WEEK, SMALL)
+    model = matchday.fit_goals(x.matches, x.season, CUTOFF_WEEK, size=SMALL)
     return matchday.fixture_goals(model, x.fixtures, x.goal_stats)
 
 
@@ -550,15 +550,15 @@ def _(x: Inputs):
 
 @query("T34_fixture_corners")
 def _(x: Inputs):
-    model = matchday.fit_corners(x.matches, x.season, CUTOFF_WEEK, SMALL)
+    model = matchday.fit_corners(x.matches, x.season, CUTOFF_WEEK, size=SMALL)
     return matchday.fixture_corners(model, x.fixtures, forecasts.corner_stats(x.matches, x.season))
 
 
 @query("T35_match_forecast")
 def _(x: Inputs):
-    goal = matchday.fit_goals(x.matches, x.season, CUTOFF_WEEK, SMALL)
+    goal = matchday.fit_goals(x.matches, x.season, CUTOFF_WEEK, size=SMALL)
     over, _ = matchday.fit_over(x.matches, x.season, CUTOFF_WEEK, size=SMALL)
-    corner = matchday.fit_corners(x.matches, x.season, CUTOFF_WEEK, SMALL)
+    corner = matchday.fit_corners(x.matches, x.season, CUTOFF_WEEK, size=SMALL)
     return matchday.match_forecast(goal, over, corner, x.matches, x.remaining, x.season)
 
 
@@ -646,13 +646,13 @@ def _(x: Inputs):
 
 @query("M02_final_points_standings")
 def _(x: Inputs):
-    model = league.fit_final_points(x.matches, x.past, x.season, CUTOFF_WEEK, SMALL)
+    model = league.fit_final_points(x.matches, x.past, x.season, CUTOFF_WEEK, size=SMALL)
     return league.standings(model, x.matches, x.remaining, x.season)
 
 
 @query("M02_final_points_fit")
 def _(x: Inputs):
-    model = league.fit_final_points(x.matches, x.past, x.season, CUTOFF_WEEK, SMALL)
+    model = league.fit_final_points(x.matches, x.past, x.season, CUTOFF_WEEK, size=SMALL)
     return league.final_points_fit(model, x.matches, x.past, x.season, CUTOFF_WEEK)
 
 
@@ -707,7 +707,7 @@ def _(x: Inputs):
 
 @query("M11_feature_importances")
 def _(x: Inputs):
-    model = matchday.fit_outcome(x.matches, x.season, CUTOFF_WEEK, SMALL)
+    model = matchday.fit_outcome(x.matches, x.season, CUTOFF_WEEK, size=SMALL)
     return models.feature_importances(model, forecasts.OUTCOME_FEATURES, x.matches)
 
 
@@ -734,3 +734,98 @@ def _(x: Inputs):
 @query("M12_board_report")
 def _(x: Inputs):
     return player_boards.star_board(x.star, SMALL)[2]
+
+
+# -- fits, checked ----------------------------------------------------------
+# What must hold for any fitted model, as rows that the tables alone determine.
+
+
+def _within(*names: str, low: float = 0, high: float = 1):
+    valid = F.lit(True)
+    for name in names:
+        valid = valid & F.col(name).between(low, high)
+    return valid
+
+
+def _checked(df: DataFrame, valid) -> DataFrame:
+    """One row: how many rows there are, and for how many ``valid`` holds."""
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(valid, 1)).alias("n_valid"))
+
+
+@query("T22_predicted_cards_given")
+def _(x: Inputs):
+    """The cards of given predictions: a share of the rates instead of a model's output."""
+    given = x.psych.select("Team", (F.col("FoulsPerGame") / 4).alias("yellow"), (F.col("RedCardsPerGame") * 7).alias("red"))
+    return teams.predicted_cards(given)
+
+
+@query("M02_final_points_checks")
+def _(x: Inputs):
+    rows = teams.final_points_training(x.matches, x.past, x.season, CUTOFF_WEEK)
+    model = league.fit_final_points(x.matches, x.past, x.season, CUTOFF_WEEK, size=SMALL)
+    scored = models.predict(model, rows, teams.FINAL_POINTS_FEATURES, "ppg").withColumn("mean", rows.agg(F.avg("RemainingPPG")).scalar())
+    off = lambda name: F.avg(F.abs(F.col(name) - F.col("RemainingPPG")))
+    return scored.agg(F.count("ppg").alias("n_rows"), (off("ppg") <= off("mean")).alias("no_worse_than_mean"))
+
+
+@query("M04_outcome_checks")
+def _(x: Inputs):
+    rows = matchday.outcome_rows(x.matches, x.season, CUTOFF_WEEK)
+    model = models.fit_outcome(rows, forecasts.OUTCOME_FEATURES, "Label", "Weight", SMALL)
+    scored = models.predict_probability(model, rows, forecasts.OUTCOME_FEATURES, "h", "d", "a")
+    return _checked(scored, _within("h", "d", "a") & (F.abs(F.col("h") + F.col("d") + F.col("a") - 1) < 1e-9))
+
+
+@query("T26_fixture_outcome_checks")
+def _(x: Inputs):
+    model = matchday.fit_outcome(x.matches, x.season, CUTOFF_WEEK, size=SMALL)
+    probs = matchday.fixture_outcome_probs(model, x.matches, x.remaining, x.season)
+    names = ["HomeWinProb", "DrawProb", "AwayWinProb"]
+    whole = F.abs(sum((F.col(n) for n in names[1:]), F.col(names[0])) - 100) < 0.2
+    return _checked(probs, _within(*names, high=100) & whole)
+
+
+@query("T31_fixture_over_checks")
+def _(x: Inputs):
+    model, _ = matchday.fit_over(x.matches, x.season, CUTOFF_WEEK, size=SMALL)
+    probs = matchday.fixture_over_probs(model, x.fixtures, x.goal_stats)
+    said = (F.col("Over2_5_Prob") > 50.05) == (F.col("Over2_5_Prediction") == 1)
+    return _checked(probs, _within("Over2_5_Prob", high=100) & (said | F.col("Over2_5_Prob").between(49.95, 50.05)))
+
+
+@query("T35_match_forecast_checks")
+def _(x: Inputs):
+    forecast = QUERIES["T35_match_forecast"](x.spark, x.sf_dir)
+    total = F.abs(F.col("ExpectedHomeCorners") + F.col("ExpectedAwayCorners") - F.col("TotalExpectedCorners")) < 0.051
+    goals = F.col("ExpectedHomeGoals").isNotNull() & F.col("ExpectedAwayGoals").isNotNull()
+    return _checked(forecast, goals & total & _within("Over2_5_Prob", high=100))
+
+
+@query("M12_board_checks")
+def _(x: Inputs):
+    boards = [
+        ("star", player_boards.star_board(x.star, SMALL)[1], "StarProb", "StarPrediction"),
+        ("goalkeeper", player_boards.gk_board(x.goalkeepers, SMALL)[1], "TopGK_Prob", "TopGK_Pred"),
+        ("clutch", player_boards.clutch_board(x.clutch, SMALL)[1], "ClutchScore", "ClutchPrediction"),
+    ]
+    rows = [
+        _checked(board, _within(prob) & ((F.col(prob) > 0.5) == (F.col(said) == 1))).withColumn("board", F.lit(name))
+        for name, board, prob, said in boards
+    ]
+    return rows[0].union(rows[1]).union(rows[2])
+
+
+@query("M12_goalkeeper_report")
+def _(x: Inputs):
+    return player_boards.gk_board(x.goalkeepers, SMALL)[2]
+
+
+@query("M12_clutch_report")
+def _(x: Inputs):
+    return player_boards.clutch_board(x.clutch, SMALL)[2]
+
+
+@query("M02_player_goals_fit")
+def _(x: Inputs):
+    scored = player_boards.predicted_goals(player_boards.fit_player_goals(x.goals, SMALL), x.goals)
+    return metrics.regression_metrics(scored, "GoalsPer90", "PredictedGoalsPer90")

