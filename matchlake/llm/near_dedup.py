@@ -33,8 +33,9 @@ PERCENT = 85
 SYMBOLS, CHUNKS, ERRORS = 20, 4, 2
 WIDTH = SYMBOLS // CHUNKS
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
-# Documents of a cluster that meet in one task; larger clusters are compared block by block.
+# Documents and shingles of a cluster that meet in one task; larger clusters are compared block by block.
 BLOCK_DOCS = 4096
+BLOCK_SHINGLES = 6_000_000
 
 _random = np.random.default_rng(20)
 _XOR = _random.integers(0, 2**63, SYMBOLS, dtype=np.uint64)
@@ -164,7 +165,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
         _expand, "doc long, symbols binary, shingles binary"
     )
     full = full.where(F.length("symbols") > 0)
-    members = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("n_blocks"))
+    sized = clusters.join(nodes.groupBy("node").agg(F.sum("n").alias("n")), "node")
+    share = F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n") / BLOCK_SHINGLES)
+    members = sized.groupBy("component").agg(F.ceil(share).cast("int").alias("n_blocks"))
     placed = clusters.join(members, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
     # A block meets itself and every other block of its cluster once; side tells the two apart.
     meets = F.transform(

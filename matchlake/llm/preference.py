@@ -97,20 +97,27 @@ def trained_text(pieces: Column) -> Column:
     return F.array_join(F.transform(F.filter(pieces, lambda p: p["trained"]), _text_of()), "")
 
 
+def _to_last_answer(turns: Column) -> Column:
+    """Turns up to the last one of the trained role; all turns where there is none."""
+    places = F.transform(turns, lambda t, i: F.when(t["role"] == TRAINED_ROLE, i + 1))
+    return F.slice(turns, 1, F.coalesce(F.array_max(places), F.size(turns)))
+
+
 def swapped_answers(conversations: DataFrame) -> DataFrame:
-    """Pairs from single conversations: ``pair_id``, ``chosen`` as it is, ``rejected`` with the last turn's text taken
-    from the conversation of the next id; without such a conversation the last turn is left out.
+    """Pairs from single conversations: ``pair_id``, ``chosen`` up to its last answer, ``rejected`` with the text of
+    that answer taken from the conversation of the next id; without such a conversation the answer is left out.
 
-    Conversations with a null id are pairs of their own kind and get no other's text.
+    A conversation without answers ends with its last turn. Conversations with a null id are one, and get no
+    other's text.
     """
-    turns = conversation_turns(conversations)
+    turns = conversation_turns(conversations).select("conv_id", _to_last_answer(F.col("turns")).alias("turns"))
     last = F.element_at("turns", -1)
     others = turns.select((F.col("conv_id") - 1).alias("conv_id"), F.struct(last["text"].alias("text")).alias("other"))
     rows = turns.join(others, "conv_id", "left")
     before = F.slice("turns", 1, F.size("turns") - 1)
-    swapped = F.concat(before, F.array(F.struct(last["turn"].alias("turn"), last["role"].alias("role"), F.col("other.text").alias("text"))))
+    answer = F.struct(last["turn"].alias("turn"), last["role"].alias("role"), F.col("other.text").alias("text"))
     return rows.select(
         F.col("conv_id").alias("pair_id"),
         F.col("turns").alias("chosen"),
-        F.when(F.col("other").isNull(), before).otherwise(swapped).alias("rejected"),
+        F.when(F.col("other").isNull(), before).otherwise(F.concat(before, F.array(answer))).alias("rejected"),
     )

@@ -156,8 +156,9 @@ LLM_SQL = {
         FROM doc LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
     "op5_preference": """
         WITH conv AS (
-            SELECT conv_id, list({'turn': turn, 'role': role, 'text': text} ORDER BY turn, role, text) AS a
-            FROM conversations GROUP BY conv_id),
+            SELECT conv_id, a[:coalesce(list_max(list_transform(range(1, len(a) + 1), lambda i: CASE WHEN a[i].role = 'assistant' THEN i END)), len(a))] AS a
+            FROM (SELECT conv_id, list({'turn': turn, 'role': role, 'text': text} ORDER BY turn, role, text) AS a
+                  FROM conversations GROUP BY conv_id)),
         pair AS (
             SELECT x.conv_id, x.a,
                    CASE WHEN y.conv_id IS NULL THEN x.a[:-2]

@@ -341,7 +341,7 @@ def test_preferences(spark):
 
 
 def test_swapped_answers(spark):
-    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (2, 0, "user", "z"), (2, 1, "assistant", "b"), (4, 0, None, None), (None, 0, "user", "n")]
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (2, 0, "user", "z"), (2, 1, "assistant", "b"), (2, 2, "user", "thanks"), (4, 0, None, None), (None, 0, "user", "n")]
     table = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, turns string")
     got = {r["pair_id"]: ([t["text"] for t in r["chosen"]], [t["text"] for t in r["rejected"]]) for r in preference.swapped_answers(table).collect()}
     assert got == {1: (["q", "a"], ["q", "b"]), 2: (["z", "b"], ["z"]), 4: ([None], []), None: (["n"], [])}
