@@ -23,13 +23,29 @@ from matchlake.llm.wavelet import WaveletMatrix, build
 
 # Tokens in a shard, unless one document has more.
 SHARD_TOKENS = 1 << 20
-# Pieces kept in a partition's table; a full table is emptied and filled anew.
-TABLE_PIECES = 400_000
+# Pieces kept in a worker's table; a full table is emptied and filled anew.
+TABLE_PIECES = 600_000
 END = 0
 
 _SHARD = "part int, shard int, n_tokens long, docs array<long>, lengths array<int>, matrix binary"
-# A text may be cut before a space only where no white space, in anybody's list of it, stands beside the space.
-_UNSURE = re.compile("^ | $|[\\s\u180e\u200b\ufeff] | [\\s\u180e\u200b\ufeff]")
+# White space in anybody's list of it. A text may be cut before a space only where none stands beside the space.
+_SPACE = "\\s\u180e\u200b\ufeff"
+_EDGE_SPACE = re.compile(f"^[{_SPACE}]|[{_SPACE}]$|^$")
+# Letters and digits that every list of characters knows; a full stop or comma after one is a word of its own.
+_LAST_KNOWN = 0x250
+
+
+class _Codes(dict):
+    """Numbers pieces in order of arrival and remembers the new ones."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        code = self[piece] = len(self)
+        self.new.append(piece)
+        return code
 
 
 class PieceTable:
@@ -46,45 +62,107 @@ class PieceTable:
         self.library = Tokenizer.from_file(path)
         vocabulary = self.library.get_vocab()
         self.bits = max(vocabulary.values()).bit_length()
-        self.specials = [str(t) for t in (a.content for a in self.library.get_added_tokens_decoder().values())]
+        self.specials = [a.content for a in self.library.get_added_tokens_decoder().values()]
         self.leads = np.zeros(1 << self.bits, dtype=bool)
         for token, i in vocabulary.items():
             self.leads[i] = token.startswith("Ġ")
-        self.known: dict[str, np.ndarray] = {}
+        self.marks = {mark: self._whole([mark])[0] for mark in ".,"}
+        self._clear()
+
+    def _clear(self) -> None:
+        """Code -> start and length in ``ids``; a length of -1 marks a piece that may not be cut out."""
+        self.codes = _Codes()
+        self.starts = np.empty(0, dtype=np.int64)
+        self.lengths = np.empty(0, dtype=np.int64)
+        self.ids = np.empty(0, dtype=np.uint32)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=np.uint32) for e in found]
 
-    def learn(self, pieces: set[str]) -> None:
-        new = list(pieces - self.known.keys())
-        if len(self.known) + len(new) > TABLE_PIECES:
-            self.known.clear()
-            new = list(pieces)
-        # Pieces go to the library in lines of many; each begins at the token that holds its space.
-        lines = [new[i : i + 2000] for i in range(0, len(new), 2000)]
-        for line, ids in zip(lines, self._whole([" " + " ".join(x) for x in lines]), strict=True):
-            parts = np.split(ids, np.flatnonzero(self.leads[ids])[1:])
-            self.known.update(zip(line, parts, strict=True))
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        whole = [i for i, t in enumerate(texts) if _UNSURE.search(t) or any(s in t for s in self.specials)]
-        odd = dict(zip(whole, self._whole([texts[i] for i in whole]), strict=True))
-        split = [[] if i in odd else t.split(" ") for i, t in enumerate(texts)]
-        first = self._whole([s[0] if s else "" for s in split])
-        self.learn({p for s in split for p in s[1:]})
-        for i, pieces in enumerate(split):
-            if i in odd:
-                yield odd[i]
+    def _cut(self, pieces: list[str]) -> list[np.ndarray]:
+        """Ids of pieces, each led by a space. They go to the library in lines of many; a piece begins at the token with its space."""
+        out: list[np.ndarray] = []
+        lines = [" " + " ".join(pieces[i : i + 2000]) for i in range(0, len(pieces), 2000)]
+        for ids in self._whole(lines):
+            bounds = np.append(np.flatnonzero(self.leads[ids]), len(ids)).tolist()
+            out += [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        return out
+
+    def _learn(self) -> None:
+        """Take in the pieces that got a code since the last call."""
+        new, self.codes.new = self.codes.new, []
+        if not new:
+            return
+        plain: dict[str, int] = {}
+        plan = []
+        for piece in new:
+            if _EDGE_SPACE.search(piece):
+                plan.append(None)
+                continue
+            end = piece[-1]
+            if end in self.marks and len(piece) > 1 and piece[-2].isalnum() and ord(piece[-2]) < _LAST_KNOWN:
+                piece = piece[:-1]
             else:
-                yield np.concatenate([first[i], *map(self.known.__getitem__, pieces[1:])])
+                end = ""
+            plan.append((plain.setdefault(piece, len(plain)), end))
+        ids = self._cut(list(plain))
+        none = np.empty(0, dtype=np.uint32)
+        parts: list[np.ndarray] = []
+        lengths = []
+        for entry in plan:
+            found = none if entry is None else ids[entry[0]]
+            mark = self.marks[entry[1]] if entry and entry[1] else none
+            parts += (found, mark)
+            lengths.append(-1 if entry is None else len(found) + len(mark))
+        sizes = np.array(lengths, dtype=np.int64)
+        ends = np.cumsum(np.maximum(sizes, 0)) + len(self.ids)
+        self.starts = np.concatenate((self.starts, ends - np.maximum(sizes, 0)))
+        self.lengths = np.concatenate((self.lengths, sizes))
+        self.ids = np.concatenate((self.ids, *parts))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.codes) > TABLE_PIECES:
+            self._clear()
+        split = [t.split(" ") for t in texts]
+        code = self.codes.__getitem__
+        pieces = [np.fromiter(map(code, s[1:]), dtype=np.int64, count=len(s) - 1) for s in split]
+        self._learn()
+        # Texts with special strings, or with white space beside a space, are encoded whole.
+        odd = [
+            i
+            for i, (t, s) in enumerate(zip(texts, split, strict=True))
+            if any(x in t for x in self.specials)
+            or (len(s) > 1 and (_EDGE_SPACE.search(s[0][-1:]) or (self.lengths[pieces[i]] < 0).any()))
+        ]
+        whole = dict(zip(odd, self._whole([texts[i] for i in odd]), strict=True))
+        first = self._whole(["" if i in whole else s[0] for i, s in enumerate(split)])
+        return [whole[i] if i in whole else np.concatenate((first[i], self._gather(p))) for i, p in enumerate(pieces)]
+
+    def _gather(self, codes: np.ndarray) -> np.ndarray:
+        lengths = self.lengths[codes]
+        ends = np.cumsum(lengths)
+        if not len(codes) or not ends[-1]:
+            return self.ids[:0]
+        within = np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)
+        return self.ids[np.repeat(self.starts[codes], lengths) + within]
+
+
+# One table per worker process, shared by the partitions it works on.
+_tables: dict[str, PieceTable] = {}
+
+
+def _table(path: str) -> PieceTable:
+    if path not in _tables:
+        _tables[path] = PieceTable(path)
+    return _tables[path]
 
 
 def _writer(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        table = PieceTable(path)
+        table = _table(path)
         part, shard = TaskContext.get().partitionId(), 0
         docs, ids, size = [], [], 0
 

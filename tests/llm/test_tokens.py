@@ -100,6 +100,7 @@ def test_wavelet_matrix(n):
 
 def test_piece_table_reset(some_docs, monkeypatch):
     monkeypatch.setattr(token_shards, "TABLE_PIECES", 30)
-    texts = [r["text"] or "" for r in some_docs.limit(20).collect()]
+    texts = [r["text"] or "" for r in some_docs.limit(20).collect()] + ["a b, c. d.. é, x1. 'll. \u0378, end.", "a . , b", " ,", "x ,y"]
     table = token_shards.PieceTable(BYTES)
+    table.encode(texts[:5])
     assert [x.tolist() for x in table.encode(texts)] == [e.ids for e in table.library.encode_batch(texts, add_special_tokens=False)]
