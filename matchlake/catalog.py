@@ -829,3 +829,13 @@ def _(x: Inputs):
 def _(x: Inputs):
     scored = player_boards.predicted_goals(player_boards.fit_player_goals(x.goals, SMALL), x.goals)
     return metrics.regression_metrics(scored, "GoalsPer90", "PredictedGoalsPer90")
+
+
+@query("M02_player_goals_full")
+def _(x: Inputs):
+    return player_boards.predicted_goals(player_boards.fit_player_goals(x.goals), x.goals)
+
+
+@query("M12_star_board_full")
+def _(x: Inputs):
+    return player_boards.star_board(x.star)[1].select("Player", "Squad", "StarProb", "StarPrediction")
