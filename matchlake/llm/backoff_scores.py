@@ -14,6 +14,7 @@ resolved on the spot.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchlake.llm.common import checkpointed, ship
+from matchlake.llm.common import checkpointed, shared_folder, ship
 from matchlake.llm.hashing import mix, word_hashes
 
 DISCOUNT = 0.4
 # A word never seen elsewhere counts as this many occurrences.
 UNSEEN = 0.5
 HEAVY = 50_000
+# Code of a word that is not heavy; above all places in the list.
+_NOT_HEAVY = 65_535
 # Word occurrences per bucket, which bounds what meets in one task.
 BUCKET_WORDS = 1_500_000
 SLICE_BYTES = 4_000_000
@@ -42,27 +45,77 @@ _POSITIVE = 2**63 - 1
 _START = np.uint64(0)
 
 
+def _planes(column: np.ndarray) -> bytes:
+    """The bytes of a column, all lowest bytes first: small numbers then compress to almost nothing."""
+    column = np.ascontiguousarray(column)
+    return column.view(np.uint8).reshape(len(column), column.dtype.itemsize).T.tobytes()
+
+
+class _Reader:
+    def __init__(self, block: bytes):
+        size = int.from_bytes(block[:8], "little")
+        self.raw, self.at = pa.decompress(block[8:], size, codec="zstd", asbytes=True), 0
+
+    def planes(self, kind: str, n: int) -> np.ndarray:
+        kind = np.dtype(kind)
+        part = np.frombuffer(self.raw, np.uint8, n * kind.itemsize, self.at)
+        self.at += n * kind.itemsize
+        return np.ascontiguousarray(part.reshape(kind.itemsize, n).T).view(kind).ravel()
+
+
+def _squeeze(*columns: np.ndarray) -> bytes:
+    raw = b"".join(_planes(c) for c in columns)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
 def _pack(rows: np.ndarray) -> bytes:
-    """Column after column, compressed: equal hashes stand together."""
-    raw = b"".join(np.ascontiguousarray(rows[name]).tobytes() for name in rows.dtype.names)
-    return len(rows).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return _squeeze(np.array([len(rows)], dtype="i8"), *[rows[name] for name in rows.dtype.names])
 
 
 def _unpack(blocks: pd.Series, kind: np.dtype) -> np.ndarray:
     parts = []
     for block in blocks:
-        n = int.from_bytes(block[:8], "little")
-        raw = pa.decompress(block[8:], n * kind.itemsize, codec="zstd", asbytes=True)
-        part, at = np.empty(n, dtype=kind), 0
+        reader = _Reader(block)
+        part = np.empty(int(reader.planes("i8", 1)[0]), dtype=kind)
         for name in kind.names:
-            size = n * kind[name].itemsize
-            part[name] = np.frombuffer(raw, kind[name], n, at)
-            at += size
+            part[name] = reader.planes(kind[name].str, len(part))
         parts.append(part)
     return np.concatenate(parts) if parts else np.empty(0, dtype=kind)
 
 
-def _dealt(rows: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, bytes]]:
+def _pack_bigrams(rows: np.ndarray, heavy: HeavyWords) -> bytes:
+    """Like ``_pack``, with documents and heavy words as places in lists."""
+    docs, doc = np.unique(rows["doc"], return_inverse=True)
+    known, at = heavy.find(rows["w2"])
+    sizes = np.array([len(rows), len(docs), int((~known).sum())], dtype="i8")
+    return _squeeze(
+        sizes, np.diff(docs, prepend=0), doc.astype("u4"), np.where(known, at, _NOT_HEAVY).astype("u2"),
+        rows["w2"][~known], rows["w1"], rows["m"], rows["own1"], rows["own2"],
+    )
+
+
+def _unpack_bigrams(blocks: pd.Series, heavy: HeavyWords) -> np.ndarray:
+    parts = []
+    for block in blocks:
+        reader = _Reader(block)
+        n, n_docs, n_rest = reader.planes("i8", 3).tolist()
+        part = np.empty(n, dtype=_BIGRAM)
+        docs = np.cumsum(reader.planes("i8", n_docs))
+        part["doc"] = docs[reader.planes("u4", n)]
+        code = reader.planes("u2", n)
+        known = code != _NOT_HEAVY
+        part["w2"][known] = heavy.word[code[known]]
+        part["w2"][~known] = reader.planes("u8", n_rest)
+        part["w1"] = reader.planes("u8", n)
+        for name in ("m", "own1", "own2"):
+            part[name] = reader.planes("i4", n)
+        parts.append(part)
+    return np.concatenate(parts) if parts else np.empty(0, dtype=_BIGRAM)
+
+
+def _dealt(
+    rows: np.ndarray, bucket: np.ndarray, pack: Callable[[np.ndarray], bytes] = _pack
+) -> Iterator[tuple[int, bytes]]:
     if not len(rows):
         return
     bucket = bucket.astype(np.int64)
@@ -70,7 +123,7 @@ def _dealt(rows: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, bytes]]:
     rows, bucket = rows[order], bucket[order]
     starts = np.flatnonzero(np.diff(bucket, prepend=-1))
     for a, b in zip(starts, [*starts[1:], len(rows)], strict=True):
-        yield int(bucket[a]), _pack(rows[a:b])
+        yield int(bucket[a]), pack(rows[a:b])
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -146,7 +199,8 @@ def _explode(heavy, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
             rows = rows[np.lexsort((rows["w2"], rows["w1"]))]
             spread = heavy.value.find(rows["w1"])[0] | (rows["w1"] == _START)
             key = np.where(spread, _pair(rows["w1"], rows["w2"]), rows["w1"])
-            blocks = list(_dealt(rows, key % np.uint64(buckets)))
+            pack = lambda part: _pack_bigrams(part, heavy.value)
+            blocks = list(_dealt(rows, key % np.uint64(buckets), pack))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([b for b, _ in blocks], pa.int64()), pa.array([p for _, p in blocks], pa.binary())],
                 names=["bucket", "block"],
@@ -181,7 +235,7 @@ def _bigram_scores(heavy, total: int, buckets: int) -> Callable[[pd.DataFrame],
     """Partial sums per document (kind 0) and bigrams left to back off to words that are not heavy (kind 1)."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows = _unpack(group["block"], _BIGRAM)
+        rows = _unpack_bigrams(group["block"], heavy.value)
         start = rows["w1"] == _START
         _, pair = np.unique(_pair(rows["w1"], rows["w2"]), return_inverse=True)
         elsewhere = np.bincount(pair, weights=rows["m"])[pair] - rows["m"]
@@ -243,7 +297,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     ship(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where(F.col("doc").isNotNull())
     counts = texts.mapInArrow(_count_words, "w long, n long, led long")
-    counts = checkpointed(counts.groupBy("w").agg(F.sum("n").alias("n"), F.sum("led").alias("led")))
+    folder = f"{shared_folder(spark)}/word-counts-{uuid.uuid4().hex}"
+    counts.groupBy("w").agg(F.sum("n").alias("n"), F.sum("led").alias("led")).write.parquet(folder)
+    counts = spark.read.parquet(folder)
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # Fewer than HEAVY words can each have more than 1 / HEAVY of all occurrences.
     top = counts.where(F.col("n") * HEAVY > total).toPandas()
