@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchlake.llm.common import checkpointed, shared_folder, ship
+from matchlake.llm.common import shared_folder, ship
 from matchlake.llm.hashing import mix, word_hashes
 
 DISCOUNT = 0.4
@@ -32,40 +32,47 @@ UNSEEN = 0.5
 HEAVY = 50_000
 # Code of a word that is not heavy; above all places in the list.
 _NOT_HEAVY = 65_535
+# Word hashes have 56 bits, which tell apart the words of any corpus but for a vanishing share.
+_HASH_BYTES = 7
+_HASH_BITS = np.uint64(2**56 - 1)
+_CODEC = pa.Codec("zstd", compression_level=3)
 # Word occurrences per bucket, which bounds what meets in one task.
 BUCKET_WORDS = 1_500_000
 SLICE_BYTES = 4_000_000
+# Slices whose word counts are added up before they leave a task.
+MERGED_SLICES = 8
 
 _BIGRAM = np.dtype([("w1", "u8"), ("w2", "u8"), ("doc", "i8"), ("m", "i4"), ("own1", "i4"), ("own2", "i4")])
 _WORD = np.dtype([("w", "u8"), ("doc", "i8"), ("m", "i4"), ("own", "i4")])
 _SUM = np.dtype([("doc", "i8"), ("score", "f8"), ("n", "i8")])
-# Word hashes are dealt by these bits, which Spark and numpy read alike.
-_POSITIVE = 2**63 - 1
 # Context of a document's first word.
 _START = np.uint64(0)
 
 
-def _planes(column: np.ndarray) -> bytes:
-    """The bytes of a column, all lowest bytes first: small numbers then compress to almost nothing."""
-    column = np.ascontiguousarray(column)
-    return column.view(np.uint8).reshape(len(column), column.dtype.itemsize).T.tobytes()
+def _squeeze(*columns: np.ndarray) -> bytes:
+    """Columns one after the other, each compressed with all lowest bytes first; word hashes have seven bytes."""
+    out = []
+    for column in columns:
+        planes = np.ascontiguousarray(column).view(np.uint8).reshape(len(column), column.dtype.itemsize).T
+        raw = planes[: _HASH_BYTES if column.dtype == np.uint64 else None].tobytes()
+        packed = _CODEC.compress(raw, asbytes=True)
+        out += [len(packed).to_bytes(4, "little"), packed]
+    return b"".join(out)
 
 
 class _Reader:
     def __init__(self, block: bytes):
-        size = int.from_bytes(block[:8], "little")
-        self.raw, self.at = pa.decompress(block[8:], size, codec="zstd", asbytes=True), 0
+        self.block, self.at = block, 0
 
-    def planes(self, kind: str, n: int) -> np.ndarray:
+    def column(self, kind: str, n: int) -> np.ndarray:
         kind = np.dtype(kind)
-        part = np.frombuffer(self.raw, np.uint8, n * kind.itemsize, self.at)
-        self.at += n * kind.itemsize
-        return np.ascontiguousarray(part.reshape(kind.itemsize, n).T).view(kind).ravel()
-
-
-def _squeeze(*columns: np.ndarray) -> bytes:
-    raw = b"".join(_planes(c) for c in columns)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+        width = _HASH_BYTES if kind == np.uint64 else kind.itemsize
+        size = int.from_bytes(self.block[self.at : self.at + 4], "little")
+        packed = self.block[self.at + 4 : self.at + 4 + size]
+        self.at += 4 + size
+        planes = np.zeros((kind.itemsize, n), dtype=np.uint8)
+        planes[:width] = np.frombuffer(_CODEC.decompress(packed, n * width, asbytes=True), np.uint8).reshape(width, n)
+        return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def _pack(rows: np.ndarray) -> bytes:
@@ -76,9 +83,9 @@ def _unpack(blocks: pd.Series, kind: np.dtype) -> np.ndarray:
     parts = []
     for block in blocks:
         reader = _Reader(block)
-        part = np.empty(int(reader.planes("i8", 1)[0]), dtype=kind)
+        part = np.empty(int(reader.column("i8", 1)[0]), dtype=kind)
         for name in kind.names:
-            part[name] = reader.planes(kind[name].str, len(part))
+            part[name] = reader.column(kind[name].str, len(part))
         parts.append(part)
     return np.concatenate(parts) if parts else np.empty(0, dtype=kind)
 
@@ -98,17 +105,17 @@ def _unpack_bigrams(blocks: pd.Series, heavy: HeavyWords) -> np.ndarray:
     parts = []
     for block in blocks:
         reader = _Reader(block)
-        n, n_docs, n_rest = reader.planes("i8", 3).tolist()
+        n, n_docs, n_rest = reader.column("i8", 3).tolist()
         part = np.empty(n, dtype=_BIGRAM)
-        docs = np.cumsum(reader.planes("i8", n_docs))
-        part["doc"] = docs[reader.planes("u4", n)]
-        code = reader.planes("u2", n)
+        docs = np.cumsum(reader.column("i8", n_docs))
+        part["doc"] = docs[reader.column("u4", n)]
+        code = reader.column("u2", n)
         known = code != _NOT_HEAVY
         part["w2"][known] = heavy.word[code[known]]
-        part["w2"][~known] = reader.planes("u8", n_rest)
-        part["w1"] = reader.planes("u8", n)
+        part["w2"][~known] = reader.column("u8", n_rest)
+        part["w1"] = reader.column("u8", n)
         for name in ("m", "own1", "own2"):
-            part[name] = reader.planes("i4", n)
+            part[name] = reader.column("i4", n)
         parts.append(part)
     return np.concatenate(parts) if parts else np.empty(0, dtype=_BIGRAM)
 
@@ -126,6 +133,11 @@ def _dealt(
         yield int(bucket[a]), pack(rows[a:b])
 
 
+def _words(docs: list[int], texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    words, bounds = word_hashes(texts, lower=True)
+    return np.array(docs, dtype=np.int64), words & _HASH_BITS, bounds
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Document ids, word hashes and bounds of the words of each document, in slices of ``SLICE_BYTES``."""
     docs: list[int] = []
@@ -137,23 +149,38 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
             texts.append(b"" if text is None else text.encode())
             size += len(texts[-1])
             if size >= SLICE_BYTES:
-                yield np.array(docs, dtype=np.int64), *word_hashes(texts, lower=True)
+                yield _words(docs, texts)
                 docs, texts, size = [], [], 0
     if docs:
-        yield np.array(docs, dtype=np.int64), *word_hashes(texts, lower=True)
+        yield _words(docs, texts)
+
+
+def _merged(parts: list[np.ndarray]) -> np.ndarray:
+    """Rows (word, n, led) added up by word."""
+    rows = np.concatenate(parts, axis=1)
+    word, inverse = np.unique(rows[0], return_inverse=True)
+    sums = [np.bincount(inverse, weights=rows[k], minlength=len(word)).astype(np.int64) for k in (1, 2)]
+    return np.stack([word, *sums])
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word counts of a partition: occurrences, and occurrences with a word after them."""
+    """Word counts, merged over several slices: occurrences, and occurrences with a word after them."""
+
+    def out(parts: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in _merged(parts)], names=["w", "n", "led"])
+
+    parts: list[np.ndarray] = []
     for _, words, bounds in _slices(batches):
         last = np.zeros(len(words), dtype=bool)
         last[bounds[1:][np.diff(bounds) > 0] - 1] = True
         word, inverse, n = np.unique(words, return_inverse=True, return_counts=True)
         led = n - np.bincount(inverse[last], minlength=len(word))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(word.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(led.astype(np.int64))],
-            names=["w", "n", "led"],
-        )
+        parts.append(np.stack([word.astype(np.int64), n.astype(np.int64), led.astype(np.int64)]))
+        if len(parts) == MERGED_SLICES:
+            yield out(parts)
+            parts = []
+    if parts:
+        yield out(parts)
 
 
 class HeavyWords:
@@ -256,23 +283,26 @@ def _bigram_scores(heavy, total: int, buckets: int) -> Callable[[pd.DataFrame],
         asked = np.empty(len(left), dtype=_WORD)
         asked["w"], asked["doc"], asked["m"], asked["own"] = left["w2"], left["doc"], left["m"], left["own2"]
         sums = _sums(rows["doc"], score * rows["m"], rows["m"], buckets)
-        wanted = _frame(1, list(_dealt(asked, (asked["w"] & np.uint64(_POSITIVE)) % np.uint64(buckets))))
+        wanted = _frame(1, list(_dealt(asked, asked["w"] % np.uint64(buckets))))
         return pd.concat([sums, wanted], ignore_index=True)
 
     return run
 
 
 def _word_scores(total: int, buckets: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    """Partial sums of the back-offs of one bucket of words, joined to their counts."""
+    """Back-offs of one bucket of words, joined to their counts, and the sums that came along, as partial sums."""
 
     def run(asked: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-        rows = _unpack(asked["block"], _WORD)
+        sums = _unpack(asked["block"][asked["kind"] == 0], _SUM)
+        rows = _unpack(asked["block"][asked["kind"] == 1], _WORD)
+        passed = _sums(sums["doc"], sums["score"], sums["n"], buckets)
         if not len(rows):
-            return _frame(0, [])
-        word = counts["w"].to_numpy().view(np.uint64)
+            return passed
+        word = counts["w"].to_numpy().astype(np.uint64)
         order = np.argsort(word)
         n = counts["n"].to_numpy()[order[np.searchsorted(word, rows["w"], sorter=order)]]
-        return _sums(rows["doc"], _back_off(n - rows["own"], total) * rows["m"], np.zeros(len(rows)), buckets)
+        found = _sums(rows["doc"], _back_off(n - rows["own"], total) * rows["m"], np.zeros(len(rows)), buckets)
+        return pd.concat([passed, found], ignore_index=True)
 
     return run
 
@@ -303,18 +333,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # Fewer than HEAVY words can each have more than 1 / HEAVY of all occurrences.
     top = counts.where(F.col("n") * HEAVY > total).toPandas()
-    heavy = HeavyWords(top["w"].to_numpy().astype(np.int64).view(np.uint64), top["n"].to_numpy(), top["led"].to_numpy())
+    heavy = HeavyWords(top["w"].to_numpy().astype(np.uint64), top["n"].to_numpy(), top["led"].to_numpy())
     sent = spark.sparkContext.broadcast(heavy)
     buckets = max(int(total // BUCKET_WORDS), 8)
 
     blocks = texts.mapInArrow(_explode(sent, buckets), "bucket long, block binary")
     kinds = "kind int, bucket long, block binary"
-    scored = checkpointed(blocks.groupBy("bucket").applyInPandas(_bigram_scores(sent, total, buckets), kinds))
-    asked = scored.where(F.col("kind") == 1).groupBy("bucket")
-    bucket = (F.col("w").bitwiseAND(_POSITIVE) % buckets).alias("bucket")
-    words = counts.select("w", "n", bucket).groupBy("bucket")
-    rest = asked.cogroup(words).applyInPandas(_word_scores(total, buckets), kinds)
-    sums = scored.where(F.col("kind") == 0).union(rest)
+    scored = blocks.groupBy("bucket").applyInPandas(_bigram_scores(sent, total, buckets), kinds)
+    words = counts.select("w", "n", (F.col("w") % buckets).alias("bucket")).groupBy("bucket")
+    sums = scored.groupBy("bucket").cogroup(words).applyInPandas(_word_scores(total, buckets), kinds)
     added = sums.groupBy("bucket").applyInPandas(_add, "doc long, score double, n long")
     return (
         docs.select(F.col(id_col).alias(id_col)).where(F.col(id_col).isNotNull()).distinct()
