@@ -20,8 +20,6 @@ from matchlake.plans import league, matchday, player_boards
 from matchlake.session import shared_dir
 from matchlake.sources import pages, snapshots
 
-# A week is a match date here and a team plays far more often than in a real league.
-CUTOFF_WEEK = 200
 # Rows per piece of a cut history, small enough that the registered queries do cut.
 PIECE_ROWS = 40
 # Small models for the registered queries; the plans default to the full sizes.
@@ -86,9 +84,15 @@ class Inputs:
         """The one value is read once, so that season filters prune folders at planning time."""
         return cleaning.latest_season(self.matches).first()["Season"]
 
+    @cached_property
+    def cutoff(self) -> int:
+        """34 of 38 parts of the shortest past season: a week is a match date here, so seasons have many more weeks."""
+        past = teams.season_weeks(self.matches).filter(F.col("Season") != self.season)
+        return (past.agg(F.min("Weeks")).first()[0] or 0) * 34 // 38
+
     @cached_property
     def train(self) -> DataFrame:
-        return cleaning.training_slice(self.matches, self.season, CUTOFF_WEEK)
+        return cleaning.training_slice(self.matches, self.season, self.cutoff)
 
     @cached_property
     def current(self) -> DataFrame:
@@ -160,7 +164,7 @@ class Inputs:
 
     @cached_property
     def cards(self):
-        return league.fit_cards(self.matches, self.season, CUTOFF_WEEK, grid=SMALL_GRID)
+        return league.fit_cards(self.matches, self.season, self.cutoff, grid=SMALL_GRID)
 
     @cached_property
     def scored_stars(self) -> DataFrame:
@@ -386,7 +390,7 @@ def _(x: Inputs):
 
 @query("T07_final_points_training")
 def _(x: Inputs):
-    rows = teams.final_points_training(x.matches, x.past, x.season, CUTOFF_WEEK)
+    rows = teams.final_points_training(x.matches, x.past, x.season, x.cutoff)
     return rows.select("Season", "Team", *teams.FINAL_POINTS_FEATURES, "RemainingPoints", "RemainingPPG")
 
 
@@ -463,7 +467,7 @@ def _(x: Inputs):
 
 @query("T21_discipline_training")
 def _(x: Inputs):
-    return teams.discipline_training(x.matches, x.season, CUTOFF_WEEK)
+    return teams.discipline_training(x.matches, x.season, x.cutoff)
 
 
 @query("T22_predicted_cards")
@@ -494,7 +498,7 @@ def _(x: Inputs):
 
 @query("T26_fixture_outcome_probs")
 def _(x: Inputs):
-    model = matchday.fit_outcome(x.matches, x.season, CUTOFF_WEEK, size=SMALL)
+    model = matchday.fit_outcome(x.matches, x.season, x.cutoff, size=SMALL)
     return matchday.fixture_outcome_probs(model, x.matches, x.remaining, x.season)
 
 
@@ -511,7 +515,7 @@ def _(x: Inputs):
 
 @query("T28_fixture_goals")
 def _(x: Inputs):
-    model = matchday.fit_goals(x.matches, x.season, CUTOFF_WEEK, size=SMALL)
+    model = matchday.fit_goals(x.matches, x.season, x.cutoff, size=SMALL)
     return matchday.fixture_goals(model, x.fixtures, x.goal_stats)
 
 
@@ -528,7 +532,7 @@ def _(x: Inputs):
 
 @query("T31_fixture_over_probs")
 def _(x: Inputs):
-    model, _ = matchday.fit_over(x.matches, x.season, CUTOFF_WEEK, size=SMALL)
+    model, _ = matchday.fit_over(x.matches, x.season, x.cutoff, size=SMALL)
     return matchday.fixture_over_probs(model, x.fixtures, x.goal_stats)
 
 
@@ -550,15 +554,15 @@ def _(x: Inputs):
 
 @query("T34_fixture_corners")
 def _(x: Inputs):
-    model = matchday.fit_corners(x.matches, x.season, CUTOFF_WEEK, size=SMALL)
+    model = matchday.fit_corners(x.matches, x.season, x.cutoff, size=SMALL)
     return matchday.fixture_corners(model, x.fixtures, forecasts.corner_stats(x.matches, x.season))
 
 
 @query("T35_match_forecast")
 def _(x: Inputs):
-    goal = matchday.fit_goals(x.matches, x.season, CUTOFF_WEEK, size=SMALL)
-    over, _ = matchday.fit_over(x.matches, x.season, CUTOFF_WEEK, size=SMALL)
-    corner = matchday.fit_corners(x.matches, x.season, CUTOFF_WEEK, size=SMALL)
+    goal = matchday.fit_goals(x.matches, x.season, x.cutoff, size=SMALL)
+    over, _ = matchday.fit_over(x.matches, x.season, x.cutoff, size=SMALL)
+    corner = matchday.fit_corners(x.matches, x.season, x.cutoff, size=SMALL)
     return matchday.match_forecast(goal, over, corner, x.matches, x.remaining, x.season)
 
 
@@ -646,14 +650,14 @@ def _(x: Inputs):
 
 @query("M02_final_points_standings")
 def _(x: Inputs):
-    model = league.fit_final_points(x.matches, x.past, x.season, CUTOFF_WEEK, size=SMALL)
+    model = league.fit_final_points(x.matches, x.past, x.season, x.cutoff, size=SMALL)
     return league.standings(model, x.matches, x.remaining, x.season)
 
 
 @query("M02_final_points_fit")
 def _(x: Inputs):
-    model = league.fit_final_points(x.matches, x.past, x.season, CUTOFF_WEEK, size=SMALL)
-    return league.final_points_fit(model, x.matches, x.past, x.season, CUTOFF_WEEK)
+    model = league.fit_final_points(x.matches, x.past, x.season, x.cutoff, size=SMALL)
+    return league.final_points_fit(model, x.matches, x.past, x.season, x.cutoff)
 
 
 @query("M02_player_goals")
@@ -663,12 +667,12 @@ def _(x: Inputs):
 
 @query("M03_over_holdout")
 def _(x: Inputs):
-    return matchday.fit_over(x.matches, x.season, CUTOFF_WEEK, size=SMALL)[1]
+    return matchday.fit_over(x.matches, x.season, x.cutoff, size=SMALL)[1]
 
 
 @query("M04_outcome_fit")
 def _(x: Inputs):
-    rows = matchday.outcome_rows(x.matches, x.season, CUTOFF_WEEK)
+    rows = matchday.outcome_rows(x.matches, x.season, x.cutoff)
     model = models.fit_outcome(rows, forecasts.OUTCOME_FEATURES, "Label", "Weight", SMALL)
     return matchday.outcome_fit(model, rows)
 
@@ -707,7 +711,7 @@ def _(x: Inputs):
 
 @query("M11_feature_importances")
 def _(x: Inputs):
-    model = matchday.fit_outcome(x.matches, x.season, CUTOFF_WEEK, size=SMALL)
+    model = matchday.fit_outcome(x.matches, x.season, x.cutoff, size=SMALL)
     return models.feature_importances(model, forecasts.OUTCOME_FEATURES, x.matches)
 
 
@@ -761,8 +765,8 @@ def _(x: Inputs):
 
 @query("M02_final_points_checks")
 def _(x: Inputs):
-    rows = teams.final_points_training(x.matches, x.past, x.season, CUTOFF_WEEK)
-    model = league.fit_final_points(x.matches, x.past, x.season, CUTOFF_WEEK, size=SMALL)
+    rows = teams.final_points_training(x.matches, x.past, x.season, x.cutoff)
+    model = league.fit_final_points(x.matches, x.past, x.season, x.cutoff, size=SMALL)
     scored = models.predict(model, rows, teams.FINAL_POINTS_FEATURES, "ppg").withColumn("mean", rows.agg(F.avg("RemainingPPG")).scalar())
     off = lambda name: F.avg(F.abs(F.col(name) - F.col("RemainingPPG")))
     return scored.agg(F.count("ppg").alias("n_rows"), (off("ppg") <= off("mean")).alias("no_worse_than_mean"))
@@ -770,7 +774,7 @@ def _(x: Inputs):
 
 @query("M04_outcome_checks")
 def _(x: Inputs):
-    rows = matchday.outcome_rows(x.matches, x.season, CUTOFF_WEEK)
+    rows = matchday.outcome_rows(x.matches, x.season, x.cutoff)
     model = models.fit_outcome(rows, forecasts.OUTCOME_FEATURES, "Label", "Weight", SMALL)
     scored = models.predict_probability(model, rows, forecasts.OUTCOME_FEATURES, "h", "d", "a")
     return _checked(scored, _within("h", "d", "a") & (F.abs(F.col("h") + F.col("d") + F.col("a") - 1) < 1e-9))
@@ -778,7 +782,7 @@ def _(x: Inputs):
 
 @query("T26_fixture_outcome_checks")
 def _(x: Inputs):
-    model = matchday.fit_outcome(x.matches, x.season, CUTOFF_WEEK, size=SMALL)
+    model = matchday.fit_outcome(x.matches, x.season, x.cutoff, size=SMALL)
     probs = matchday.fixture_outcome_probs(model, x.matches, x.remaining, x.season)
     names = ["HomeWinProb", "DrawProb", "AwayWinProb"]
     whole = F.abs(sum((F.col(n) for n in names[1:]), F.col(names[0])) - 100) < 0.2
@@ -787,7 +791,7 @@ def _(x: Inputs):
 
 @query("T31_fixture_over_checks")
 def _(x: Inputs):
-    model, _ = matchday.fit_over(x.matches, x.season, CUTOFF_WEEK, size=SMALL)
+    model, _ = matchday.fit_over(x.matches, x.season, x.cutoff, size=SMALL)
     probs = matchday.fixture_over_probs(model, x.fixtures, x.goal_stats)
     said = (F.col("Over2_5_Prob") > 50.05) == (F.col("Over2_5_Prediction") == 1)
     return _checked(probs, _within("Over2_5_Prob", high=100) & (said | F.col("Over2_5_Prob").between(49.95, 50.05)))

@@ -32,7 +32,10 @@ SELECT *, DENSE_RANK() OVER (PARTITION BY Season ORDER BY Date) AS MatchWeek,
   CASE FTR WHEN 'A' THEN 3 WHEN 'D' THEN 1 ELSE 0 END AS AwayTeamPoints
 FROM (SELECT * REPLACE (TRY_CAST(Date AS DATE) AS Date) FROM stacked) WHERE Date IS NOT NULL"""
 PARTS["latest"] = "SELECT MAX(Season) AS Season FROM clean"
-PARTS["train"] = "SELECT * FROM clean WHERE Season <> (SELECT Season FROM latest) AND MatchWeek <= 200"
+PARTS["cut"] = """
+SELECT CAST(FLOOR(MIN(w) * 34 / 38) AS INT) AS week
+FROM (SELECT MAX(MatchWeek) AS w FROM clean WHERE Season <> (SELECT Season FROM latest) GROUP BY Season)"""
+PARTS["train"] = "SELECT * FROM clean WHERE Season <> (SELECT Season FROM latest) AND MatchWeek <= (SELECT week FROM cut)"
 PARTS["cur"] = "SELECT * FROM clean WHERE Season = (SELECT Season FROM latest)"
 
 
@@ -351,7 +354,7 @@ SELECT fo.Season, r.Team, ROUND(f, 6) AS Fouls, ROUND(y, 6) AS YellowCards, ROUN
   HighPressureFlag, ROUND(RefereeStrictness, 6) AS RefereeStrictness, ROUND(y * weeks, 6) AS RemainingYellowCards,
   ROUND(r * weeks, 6) AS RemainingRedCards
 FROM rates r JOIN form_train fo ON fo.Team = r.Team
-  JOIN (SELECT Season, GREATEST(MAX(MatchWeek) - 200, 0) AS weeks FROM clean GROUP BY Season) wk ON wk.Season = fo.Season
+  JOIN (SELECT Season, GREATEST(MAX(MatchWeek) - (SELECT week FROM cut), 0) AS weeks FROM clean GROUP BY Season) wk ON wk.Season = fo.Season
   LEFT JOIN press_train p ON p.Team = r.Team LEFT JOIN strict_train s ON s.Team = r.Team"""
 _FINAL["T23_outcome_features"] = _outcome("form_train", "Season")
 _FINAL["T23_outcome_features_as_of"] = _outcome("before", "MatchId")
