@@ -32,7 +32,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that stand in ten documents or more."""
+    """All documents, without the lines that stand in ten documents or more.
+
+    The lines go from every document, so ten or more whole copies all end without text and none of them stays
+    for near dedup to keep.
+    """
     found = line_dedup.keep_bitmaps(docs, extra=["lang", "source"])
     text = line_dedup.kept_text(F.col("text"), F.col("n_dropped"), F.col("keep_runs"))
     return found.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
