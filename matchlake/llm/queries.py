@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm import backoff_scores, decontaminate, license_scan, line_dedup, near_dedup, pieces, preference, quality, token_shards, url_filter
+from matchlake.llm import backoff_scores, centroids, decontaminate, divergence, license_scan, line_dedup, near_dedup, pieces, preference, quality, token_shards, url_filter
 from matchlake.llm.common import table
 
 
@@ -103,9 +103,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(table(spark, sf_dir, "embeddings"))
+
+
 LLM_QUERIES = {f.__name__: f for f in (
     op1_quality, op2_near_dedup, op3_token_shards, op4_license_scan, op5_preference,
     op6_decontaminate, op7_pieces, op8_url_filter, op9_backoff_scores, op10_line_dedup,
+    op11_divergence, op12_centroids,
 )}
 
 # Words of a text: A-Z lower-cased, then runs of digits, a to z and everything beyond ASCII.
@@ -218,3 +227,77 @@ LLM_SQL = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
         FROM marked GROUP BY doc_id""",
 }
+
+
+def _centroid_sql(k: int = 16, dim: int = 64, rounds: int = 3) -> str:
+    """Lloyd's rounds unrolled: components as rows, distances by a join on the component number."""
+    parts = [
+        f"""pts AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) = {dim}
+              AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x) AND abs(floor(64 * CAST(x AS DOUBLE))) < 134217728, false))))""",
+        "comp AS (SELECT vec_id, unnest(range(len(v))) AS i, unnest(v) AS x FROM pts)",
+        f"""c0 AS (
+            SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)), v) - 1 AS INTEGER) AS k, v FROM pts
+            QUALIFY row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)), v) <= {k})""",
+    ]
+    for r in range(rounds + 1):
+        parts += [
+            f"cc{r} AS (SELECT k, unnest(range(len(v))) AS i, unnest(v) AS y FROM c{r})",
+            f"d{r} AS (SELECT vec_id, k, CAST(sum((x - y) * (x - y)) AS BIGINT) AS d FROM comp JOIN cc{r} USING (i) GROUP BY vec_id, k)",
+            f"a{r} AS (SELECT vec_id, k, d FROM d{r} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, k) = 1)",
+        ]
+        if r < rounds:
+            parts += [
+                f"s{r} AS (SELECT k, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM a{r} JOIN comp USING (vec_id) GROUP BY k, i)",
+                f"n{r} AS (SELECT k, list(CAST((s - (((s % n) + n) % n)) // n AS BIGINT) ORDER BY i) AS v FROM s{r} GROUP BY k)",
+                f"c{r + 1} AS (SELECT c{r}.k, coalesce(n{r}.v, c{r}.v) AS v FROM c{r} LEFT JOIN n{r} ON n{r}.k = c{r}.k)",
+            ]
+    last = rounds
+    return "WITH " + ",\n        ".join(parts) + f"""
+        SELECT vec_id, k AS cluster, d AS distance,
+               CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+               CAST(sum(d) OVER () AS BIGINT) AS inertia,
+               sha256(array_to_string(c{last}.v, ',')) AS centroid_sha256
+        FROM a{last} JOIN c{last} USING (k)"""
+
+
+LLM_SQL["op12_centroids"] = _centroid_sql()
+
+LLM_SQL["op11_divergence"] = r"""
+    WITH d AS (
+        SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+               regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+        FROM documents),
+    tok AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+    tg AS (SELECT lang, source, term, count(*) AS c, count(DISTINCT r) AS df FROM tok GROUP BY ALL),
+    kept AS (SELECT lang, term, sum(c) AS cl FROM tg GROUP BY lang, term HAVING sum(df) >= 30),
+    lv AS (SELECT lang, count(*) AS v, sum(cl) AS nl FROM kept GROUP BY lang),
+    grp AS (SELECT DISTINCT lang, source FROM d),
+    gn AS (SELECT lang, source, sum(c) AS n FROM tg JOIN kept USING (lang, term) GROUP BY ALL),
+    con AS (
+        SELECT lang, source, coalesce(v, 0) AS v, CAST(coalesce(n, 0) + 5 * coalesce(v, 0) AS BIGINT) AS den,
+               CAST(coalesce(nl, 0) + 5 * coalesce(v, 0) AS BIGINT) AS denl
+        FROM grp LEFT JOIN lv USING (lang) LEFT JOIN gn USING (lang, source)),
+    everything AS (
+        SELECT con.lang, con.source, kept.term, CAST(coalesce(tg.c, 0) AS BIGINT) AS c, CAST(kept.cl AS BIGINT) AS cl, con.den, con.denl
+        FROM con JOIN kept ON kept.lang = con.lang LEFT JOIN tg ON tg.lang = con.lang AND tg.source = con.source AND tg.term = kept.term),
+    pv AS (
+        SELECT lang, source, term, c, 1 + (CAST(1000000000 AS BIGINT) * (c + 5)) // den AS p,
+               1 + (CAST(1000000000 AS BIGINT) * (cl + 5)) // denl AS q
+        FROM everything),
+    pair AS (
+        SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+        FROM pv a JOIN pv b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    pairs AS (
+        SELECT x.lang, x.source, y.source AS item, CAST(coalesce(pair.value, 0) AS BIGINT) AS value
+        FROM grp x JOIN grp y ON x.lang = y.lang AND x.source <> y.source
+        LEFT JOIN pair ON pair.lang = x.lang AND pair.source = x.source AND pair.item = y.source),
+    terms AS (SELECT lang, source, term AS item, CAST(p - q AS BIGINT) AS value FROM pv WHERE c > 0 AND p > q),
+    ranked AS (
+        SELECT lang, source, 'pair' AS part, item, value,
+               CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM pairs
+        UNION ALL
+        SELECT lang, source, 'term' AS part, item, value,
+               CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM terms)
+    SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50"""
