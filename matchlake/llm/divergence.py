@@ -40,7 +40,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchlake.llm.common import ascii_lower
+from matchlake.llm.common import ascii_lower, checkpointed
 
 # Fixed values of the contract.
 SEPARATORS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -55,22 +55,26 @@ def prob(count: str, den: str) -> Column:
 def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
     """(lang, source, term, c, df) for every term of a group, and the groups (lang, source) that occur.
 
-    A document's terms are counted inside its own partition first (the partial
-    aggregate of the first ``groupBy`` sees all of a document's words), so only
-    distinct (document, term) rows cross the first shuffle and partial group
-    sums the second.
+    One explode gives every word with ``first = 0`` and every distinct word of
+    the document once more with ``first = 1``; one ``groupBy`` then sums
+    occurrences and documents. Its partial aggregate runs before the shuffle,
+    so what crosses it is at most the distinct (group, term) rows of a task.
     """
     text = ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     base = docs.select(
         F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
-        F.monotonically_increasing_id().alias("row"),
         F.array_remove(F.split(text, SEPARATORS), "").alias("terms"),
     )
     groups = base.select("lang", "source").distinct()
-    tokens = base.select("lang", "source", "row", F.explode("terms").alias("term"))
-    per_doc = tokens.groupBy("lang", "source", "row", "term").agg(F.count("*").alias("n"))
-    counts = per_doc.groupBy("lang", "source", "term").agg(F.sum("n").alias("c"), F.count("*").alias("df"))
+    marked = F.concat(
+        F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(0).alias("first"))),
+        F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("first"))),
+    )
+    words = base.select("lang", "source", F.inline(marked))
+    counts = words.groupBy("lang", "source", "term").agg(
+        F.sum(1 - F.col("first")).cast("long").alias("c"), F.sum("first").cast("long").alias("df")
+    )
     return counts, groups
 
 
@@ -84,6 +88,8 @@ def audit(
 ) -> DataFrame:
     """lang, source, part ('pair' or 'term'), item, value (long), rank (int); see the module."""
     counts, groups = term_counts(docs, text_col, lang_col, source_col)
+    # written once: every later step reads these small tables, not the texts
+    counts, groups = checkpointed(counts), checkpointed(groups)
     kept = (
         counts.groupBy("lang", "term")
         .agg(F.sum("c").alias("cl"), F.sum("df").alias("dfl"))
@@ -92,7 +98,7 @@ def audit(
     )
     langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("cl").alias("nl"))
     # (lang, source, term, c, cl): kept terms that the group has
-    present = counts.join(kept, ["lang", "term"]).select("lang", "source", "term", "c", "cl")
+    present = checkpointed(counts.join(kept, ["lang", "term"]).select("lang", "source", "term", "c", "cl"))
     sizes = present.groupBy("lang", "source").agg(F.sum("c").alias("n"))
     consts = (
         groups.join(langs, "lang", "left")
