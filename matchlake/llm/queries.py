@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm import backoff_scores, centroids, decontaminate, divergence, license_scan, line_dedup, near_dedup, pieces, preference, quality, token_shards, url_filter
+from matchlake.llm import backoff_scores, centroids, decontaminate, divergence, neighbours, license_scan, line_dedup, near_dedup, pieces, preference, quality, token_shards, url_filter
 from matchlake.llm.common import table
 
 
@@ -111,10 +111,14 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.report(table(spark, sf_dir, "embeddings"))
 
 
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 LLM_QUERIES = {f.__name__: f for f in (
     op1_quality, op2_near_dedup, op3_token_shards, op4_license_scan, op5_preference,
     op6_decontaminate, op7_pieces, op8_url_filter, op9_backoff_scores, op10_line_dedup,
-    op11_divergence, op12_centroids,
+    op11_divergence, op12_centroids, op13_neighbours,
 )}
 
 # Words of a text: A-Z lower-cased, then runs of digits, a to z and everything beyond ASCII.
