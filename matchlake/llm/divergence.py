@@ -88,17 +88,17 @@ def audit(
 ) -> DataFrame:
     """lang, source, part ('pair' or 'term'), item, value (long), rank (int); see the module."""
     counts, groups = term_counts(docs, text_col, lang_col, source_col)
-    # written once: every later step reads these small tables, not the texts
-    counts, groups = checkpointed(counts), checkpointed(groups)
-    kept = (
-        counts.groupBy("lang", "term")
-        .agg(F.sum("c").alias("cl"), F.sum("df").alias("dfl"))
+    # kept terms in one window over (lang, term); only they are written, once
+    by_term = Window.partitionBy("lang", "term")
+    present = checkpointed(
+        counts.select("lang", "source", "term", "c", F.sum("c").over(by_term).alias("cl"), F.sum("df").over(by_term).alias("dfl"))
         .where(F.col("dfl") >= min_docs)
-        .select("lang", "term", "cl")
+        .select("lang", "source", "term", "c", "cl")
     )
+    groups = checkpointed(groups)
+    kept = present.select("lang", "term", "cl").distinct()
     langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("cl").alias("nl"))
     # (lang, source, term, c, cl): kept terms that the group has
-    present = checkpointed(counts.join(kept, ["lang", "term"]).select("lang", "source", "term", "c", "cl"))
     sizes = present.groupBy("lang", "source").agg(F.sum("c").alias("n"))
     consts = (
         groups.join(langs, "lang", "left")
