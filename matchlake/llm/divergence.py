@@ -149,7 +149,7 @@ def _pair_part(present: DataFrame, consts: DataFrame) -> DataFrame:
     pairs = pairs.select(
         "lang", "s", "t", "v", "den_s", "den_t",
         prob("0", "den_s").alias("z_s"), prob("0", "den_t").alias("z_t"),
-    ).withColumn("g00", F.abs(F.col("z_s") - F.col("z_t")))
+    ).withColumn("g00", F.coalesce(F.abs(F.col("z_s") - F.col("z_t")), F.lit(0)))  # V = 0: no terms, value 0
     # one side: cells of s against the other's zero
     own = present.groupBy("lang", "source", "c").agg(F.count("*").alias("m"))
     side = own.withColumnRenamed("source", "s").join(pairs, ["lang", "s"])
