@@ -15,7 +15,7 @@ from pyspark.sql.types import DoubleType
 
 from matchlake import fixtures
 from matchlake.functions import columns as c
-from matchlake.operators import cleaning, forecasts, metrics, models, players, teams
+from matchlake.operators import cleaning, forecasts, forest, metrics, models, players, teams
 from matchlake.plans import league, matchday, player_boards
 from matchlake.session import shared_dir
 from matchlake.sources import pages, snapshots
@@ -566,6 +566,47 @@ def _(x: Inputs):
     return matchday.match_forecast(goal, over, corner, x.matches, x.remaining, x.season)
 
 
+# -- the same forecasts on a given forest (fx_forest), so that values compare ----
+
+
+def _given(x: Inputs, parts: int, features: list[str], kind: str) -> forest.Given:
+    nodes = x.raw("fx_forest").where(F.col("part") < parts).select(
+        "part", "tree", "weight", "node", F.when(F.col("slot") >= 0, F.col("slot") % len(features)).otherwise(-1).alias("feature"),
+        "split", F.col("left_node").alias("left"), F.col("right_node").alias("right"), "leaf", "gain", F.col("cnt").alias("count"),
+    )
+    return forest.Given(nodes, kind)
+
+
+@query("T26_fixture_outcome_probs_given")
+def _(x: Inputs):
+    return matchday.fixture_outcome_probs(_given(x, 3, forecasts.OUTCOME_FEATURES, "classes"), x.matches, x.remaining, x.season)
+
+
+@query("T28_fixture_goals_given")
+def _(x: Inputs):
+    goals = matchday.fixture_goals(_given(x, 1, forecasts.GOAL_FEATURES, "regression"), x.fixtures, x.goal_stats)
+    return goals.select("MatchId", "ExpectedHomeGoals", "ExpectedAwayGoals")
+
+
+@query("T31_fixture_over_probs_given")
+def _(x: Inputs):
+    over = matchday.fixture_over_probs(_given(x, 1, forecasts.over_features(), "binary"), x.fixtures, x.goal_stats)
+    return over.select("MatchId", "Over2_5_Prob", "Over2_5_Prediction")
+
+
+@query("T34_fixture_corners_given")
+def _(x: Inputs):
+    stats = forecasts.corner_stats(x.matches, x.season)
+    corners = matchday.fixture_corners(_given(x, 1, forecasts.CORNER_FEATURES, "regression"), x.fixtures, stats)
+    return corners.select("MatchId", "ExpectedHomeCorners", "ExpectedAwayCorners", "TotalExpectedCorners")
+
+
+@query("M11_feature_importances_given")
+def _(x: Inputs):
+    board = forest.importances(_given(x, 3, forecasts.OUTCOME_FEATURES, "classes").table, forecasts.OUTCOME_FEATURES)
+    return board.select("Feature", F.round("Importance", 6).alias("Importance"))
+
+
 # -- players ----------------------------------------------------------------
 
 

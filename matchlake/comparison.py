@@ -462,6 +462,60 @@ SELECT Player, Squad, is_star, CASE WHEN ROW_NUMBER() OVER (PARTITION BY is_star
 FROM (SELECT *, {_HASH.format("CONCAT(Player, '|', Squad, '|42')")} AS h FROM starred)"""
 
 
+
+# Forecasts on the given forest: each row walks each tree level by level (depth 3), margins summed per part.
+def _walk(source: str, keys: str, features: list[str], parts: int) -> str:
+    n = len(features)
+    x = "list_value(" + ", ".join(f"COALESCE(CASE WHEN isfinite(CAST({f} AS DOUBLE)) THEN CAST({f} AS DOUBLE) END, -1e9)" for f in features) + ")"
+    cols = "t.part, t.tree, t.weight, t.node, CASE WHEN t.slot >= 0 THEN t.slot % {n} ELSE -1 END AS f, t.split, t.left_node, t.right_node, t.leaf".format(n=n)
+    steps = [f"w0 AS (SELECT r.k, {cols} FROM fr r JOIN fx_forest t ON t.node = 0 AND t.part < {parts})"]
+    for i in range(1, 4):
+        steps.append(
+            f"w{i} AS (SELECT s.k, {cols} FROM w{i - 1} s JOIN fr r ON r.k = s.k JOIN fx_forest t ON t.part = s.part AND t.tree = s.tree"
+            f" AND t.node = CASE WHEN r.x[s.f + 1] <= s.split THEN s.left_node ELSE s.right_node END)"
+        )
+    sums = ", ".join(f"SUM(CASE WHEN part = {p} THEN weight * leaf END) AS m{p}" for p in range(parts))
+    return (f"fr AS (SELECT {keys} AS k, {x} AS x FROM ({source})), " + ", ".join(steps)
+            + f", mg AS (SELECT k, {sums} FROM w3 GROUP BY k)")
+
+
+_OUTCOME = ["HomeForm", "AwayForm", "HomeFouls", "AwayFouls", "HomeYellows", "AwayYellows", "HomePressure", "AwayPressure", "FormDiff",
+            "FoulsDiff", "YellowsDiff", "PressureDiff", "HomeGoals", "AwayGoals", "GoalDiff", "HTGoalDiff", "CornerDiff"]
+_OVER = ["AvgShotsPerGame", "AvgShotsOnTargetPerGame", "AvgCornersPerGame", "OddsOver", "OddsUnder", "RecentFormGap", "xG_Gap"]
+
+
+def _two_sides(features_final: str, home: list[str], away: list[str], out: tuple[str, str], digits: int, total: str | None = None) -> str:
+    side = f"SELECT MatchId, 'h' AS side, {home[0]} AS a, {home[1]} AS b FROM ({features_final}) UNION ALL SELECT MatchId, 'a', {away[0]}, {away[1]} FROM ({features_final})"
+    walk = _walk(side, "CONCAT(CAST(MatchId AS VARCHAR), '|', side)", ["a", "b"], 1)
+    extra = f", ROUND(ROUND(h.m0, {digits}) + ROUND(a.m0, {digits}), {digits}) AS {total}" if total else ""
+    return (f"WITH {walk}, ids AS (SELECT DISTINCT MatchId FROM ({features_final})) "
+            f"SELECT MatchId, ROUND(h.m0, {digits}) AS {out[0]}, ROUND(a.m0, {digits}) AS {out[1]}{extra} FROM ids "
+            f"JOIN mg h ON h.k = CONCAT(CAST(MatchId AS VARCHAR), '|h') JOIN mg a ON a.k = CONCAT(CAST(MatchId AS VARCHAR), '|a')")
+
+
+_FINAL["T28_fixture_goals_given"] = _two_sides(_FINAL["T28_fixture_goal_features"], ["HomeXG", "HomeForm"], ["AwayXG", "AwayForm"],
+                                               ("ExpectedHomeGoals", "ExpectedAwayGoals"), 2)
+_FINAL["T34_fixture_corners_given"] = _two_sides(_FINAL["T34_fixture_corner_features"], ["HomeCorners", "HomeCornerForm"],
+                                                 ["AwayCorners", "AwayCornerForm"], ("ExpectedHomeCorners", "ExpectedAwayCorners"), 1,
+                                                 "TotalExpectedCorners")
+_FINAL["T31_fixture_over_probs_given"] = f"""WITH {_walk(_FINAL["T30_fixture_over_features"], "MatchId", _OVER, 1)}
+SELECT k AS MatchId, ROUND(100 / (1 + EXP(-2 * m0)), 1) AS Over2_5_Prob, CASE WHEN 1 / (1 + EXP(-2 * m0)) > 0.5 THEN 1 ELSE 0 END AS Over2_5_Prediction
+FROM mg"""
+_FINAL["T26_fixture_outcome_probs_given"] = f"""WITH {_walk(_FINAL["T25_fixture_outcome_features"], "MatchId", _OUTCOME, 3)},
+pr AS (SELECT k, 1 / (1 + EXP(-2 * m0)) AS q0, 1 / (1 + EXP(-2 * m1)) AS q1, 1 / (1 + EXP(-2 * m2)) AS q2 FROM mg)
+SELECT f.Date, f.HomeTeam, f.AwayTeam, ROUND(q0 / (q0 + q1 + q2) * 100, 1) AS HomeWinProb, ROUND(q1 / (q0 + q1 + q2) * 100, 1) AS DrawProb,
+  ROUND(q2 / (q0 + q1 + q2) * 100, 1) AS AwayWinProb
+FROM pr JOIN ({_FINAL["T25_fixture_outcome_features"]}) f ON f.MatchId = pr.k"""
+_FINAL["M11_feature_importances_given"] = """
+WITH s AS (SELECT part, CASE WHEN slot >= 0 THEN slot % 17 ELSE -1 END AS slot, SUM(gain * cnt) AS g FROM fx_forest
+  WHERE part < 3 AND left_node >= 0 GROUP BY ALL),
+p AS (SELECT part, slot, CASE WHEN SUM(g) OVER (PARTITION BY part) > 0 THEN g / SUM(g) OVER (PARTITION BY part) ELSE 0 END AS g FROM s),
+m AS (SELECT slot, SUM(g) / 3 AS imp FROM p GROUP BY slot),
+names AS (SELECT UNNEST(range(17)) AS slot, UNNEST(['HomeForm', 'AwayForm', 'HomeFouls', 'AwayFouls', 'HomeYellows', 'AwayYellows', 'HomePressure',
+  'AwayPressure', 'FormDiff', 'FoulsDiff', 'YellowsDiff', 'PressureDiff', 'HomeGoals', 'AwayGoals', 'GoalDiff', 'HTGoalDiff', 'CornerDiff']) AS Feature)
+SELECT Feature, ROUND(COALESCE(imp, 0), 6) AS Importance FROM names LEFT JOIN m USING (slot)"""
+
+
 def _compose(final: str) -> str:
     """The final text with the parts it needs in front, in order of definition."""
     needed: set[str] = set()

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-BASE_TABLES = ["nation", "customer", "supplier", "part", "orders", "lineitem", "pages"]
+BASE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "pages"]
 
 VIEWS: dict[str, str] = {}
 
@@ -169,6 +169,23 @@ UNION ALL SELECT page_id, 1 + n7, 'squads_x' FROM hq WHERE n3 = 1
 UNION ALL SELECT page_id, 1 + n7 + n3, CONCAT('table', CAST(2 + n7 + n3 AS STRING)) FROM hq WHERE page_id % 5 = 0
 """
 
+# A fixed boosted forest as a node table (weights and leaves exact in binary, so sums do not depend
+# on their order): 3 parts (one-against-rest), 20 trees each, complete
+# trees of depth 3 (nodes 0-6 split, 7-14 are leaves, children 2i+1 and 2i+2). ``slot`` is
+# taken modulo the number of features of the model that uses it.
+VIEWS["fx_forest"] = r"""
+SELECT r.r_regionkey AS part, a.n_nationkey AS tree, CAST(CASE WHEN a.n_nationkey = 0 THEN 1 ELSE 0.125 END AS DOUBLE) AS weight,
+  b.n_nationkey AS node,
+  CASE WHEN b.n_nationkey < 7 THEN (a.n_nationkey * 3 + b.n_nationkey * 5 + r.r_regionkey) % 17 ELSE -1 END AS slot,
+  CAST(CASE WHEN b.n_nationkey < 7 THEN ((a.n_nationkey * 7 + b.n_nationkey * 5 + r.r_regionkey) % 11) * 0.5 ELSE 0 END AS DOUBLE) AS split,
+  CASE WHEN b.n_nationkey < 7 THEN 2 * b.n_nationkey + 1 ELSE -1 END AS left_node,
+  CASE WHEN b.n_nationkey < 7 THEN 2 * b.n_nationkey + 2 ELSE -1 END AS right_node,
+  CAST((((a.n_nationkey * 13 + b.n_nationkey * 7 + r.r_regionkey * 5) % 9) - 4) * 0.25 AS DOUBLE) AS leaf,
+  CAST(CASE WHEN b.n_nationkey < 7 THEN ((a.n_nationkey + b.n_nationkey * 3) % 5 + 1) * 0.1 ELSE -1 END AS DOUBLE) AS gain,
+  CAST(60 - b.n_nationkey * 3 AS DOUBLE) AS cnt
+FROM region r JOIN nation a ON a.n_nationkey < 20 AND r.r_regionkey < 3 JOIN nation b ON b.n_nationkey < 15
+"""
+
 VIEWS["fx_files"] = r"""
 SELECT o_orderkey AS row_id, o_orderpriority AS stat,
   CONCAT('playerData/', o_orderpriority, '/', CASE WHEN o_orderkey % 3 = 0 THEN 'Squad_' ELSE 'Player_' END,

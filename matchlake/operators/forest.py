@@ -112,6 +112,16 @@ def score(forest: DataFrame, df: DataFrame, features: Sequence[str], kind: str,
     return df.withColumns({name: p / total for name, p in zip(out, prob)})
 
 
+class Given:
+    """A node table standing where a fitted model is expected (``models.predict``, ``models.predict_probability``)."""
+
+    def __init__(self, table: DataFrame, kind: str):
+        self.table, self.kind = table, kind
+
+    def score_into(self, df: DataFrame, features: Sequence[str], *out: str) -> DataFrame:
+        return score(self.table, df, features, self.kind, *out)
+
+
 def importances(forest: DataFrame, features: Sequence[str], per_tree: bool = False) -> DataFrame:
     """(Feature, Importance) from the node table, largest first.
 

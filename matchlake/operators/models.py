@@ -107,6 +107,8 @@ def fit_outcome(
 
 def predict(model, df: DataFrame, features: Sequence[str], out: str) -> DataFrame:
     """Add the prediction of a regressor. Narrow: no shuffle, several calls may be chained."""
+    if hasattr(model, "score_into"):  # a forest given as a node table
+        return model.score_into(df, features, out)
     scored = model.transform(assemble(df, features, "_x"), {model.featuresCol: "_x", model.predictionCol: out})
     return scored.drop("_x")
 
@@ -118,6 +120,8 @@ def _class_probabilities(model, df: DataFrame, out: str) -> DataFrame:
 
 def predict_probability(model, df: DataFrame, features: Sequence[str], *out: str) -> DataFrame:
     """Add class probabilities: one name takes class 1, several take class 0, 1, ..."""
+    if hasattr(model, "score_into"):  # a forest given as a node table
+        return model.score_into(df, features, *out)
     rows = assemble(df, features, "_x")
     if isinstance(model, OneAgainstRest):
         parts = [f"_q{k}" for k in range(len(model.models))]
