@@ -87,8 +87,8 @@ def detections(
 ) -> DataFrame:
     """One row per document and surviving detection, or one row with null ``rule`` for a document without any.
 
-    Columns: ``doc``, ``body`` (hash of the text), ``n_words``, ``places`` (fixed
-    phrases), ``rule``, ``priority``, ``label``, ``score``, ``start`` and ``end``
+    Columns: ``doc``, ``body`` (hash of the text), ``n_words`` and ``places`` (fixed
+    phrases; both set on one row of each document, null on its others), ``rule``, ``priority``, ``label``, ``score``, ``start`` and ``end``
     (offsets in the normalised text). Rows equal in id and text are one
     document; a null or wordless text has no words; other columns are ignored.
     """
@@ -97,11 +97,18 @@ def detections(
     words = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("body"), plain_words(text).alias("words"))
     keywords = F.array(*[F.lit(k) for k in sorted({k for r in table for one in r.keywords for k in one})])
     present = F.array_intersect("words", keywords)
-    found = words.select(
+    # Per-document columns are computed below the explode and kept on its first row only: a text with
+    # many statements carries its phrase places once, not once per detection.
+    per_doc = words.select(
         "doc", "body", F.size("words").alias("n_words"), _phrase_places(F.col("words")).alias("places"),
-        F.explode_outer(_matches(F.col("words"), present, table)).alias("m"),
+        _matches(F.col("words"), present, table).alias("ms"),
+    )
+    found = per_doc.select("doc", "body", "n_words", "places", F.posexplode_outer("ms").alias("pos", "m"))
+    first = F.coalesce(F.col("pos"), F.lit(0)) == 0
+    found = found.select(
+        "doc", "body", F.when(first, F.col("n_words")).alias("n_words"),
+        F.when(first, F.col("places")).alias("places"), "m.*",
     )
-    found = found.select("doc", "body", "n_words", "places", "m.*")
     # Offsets and suppression are sums and maxima in text order within a document.
     found = found.repartition("doc", "body").dropDuplicates(["doc", "body", "rule", "nth"])
     in_rule = Window.partitionBy("doc", "body", "rule").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
@@ -128,8 +135,8 @@ def scan(docs: DataFrame, table: list[Rule] | None = None, id_col: str = "doc_id
     """
     found = detections(docs, table, id_col, text_col)
     per_doc = found.groupBy("doc", "body").agg(
-        F.first("n_words").alias("n_words"),
-        F.first("places").alias("places"),
+        F.first("n_words", ignorenulls=True).alias("n_words"),
+        F.first("places", ignorenulls=True).alias("places"),
         F.collect_set(F.when(F.col("live"), F.col("label"))).alias("own"),
         F.max(F.when(F.col("live"), F.col("score"))).alias("surest"),
     )

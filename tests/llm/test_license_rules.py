@@ -66,3 +66,14 @@ def test_filter_drops_no_match(spark):
 def test_brute_force_of_odd_texts_without_filter(odd_docs):
     got = {(r["doc_id"], ",".join(r["labels"])) for r in license_scan.scan(odd_docs).collect()}
     assert got == {(r["doc_id"], ",".join(sorted({x.label for x in detections(r["text"])}))) for r in odd_docs.collect()}
+
+
+def test_many_statements_in_one_text(spark):
+    """20,000 statements in one text: phrase places and detections are found once each, not once per detection."""
+    line = "This code is released under the MIT License."
+    df = spark.createDataFrame([(1, "\n".join([line] * 20000)), (2, line), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_scan.scan(df).collect()}
+    assert len(got[1]["places"]) == 20000 and got[1]["n_words"] == 8 * 20000
+    assert [p["start"] for p in got[1]["places"][:3]] == [4, 12, 20]
+    assert got[1]["labels"] == got[2]["labels"] and "mit" in got[1]["labels"]
+    assert got[3]["n_words"] == 0 and got[3]["places"] == [] and got[3]["score"] == 0.0
