@@ -4,8 +4,8 @@ A signature has ``SYMBOLS`` 16-bit minima, in ``CHUNKS`` chunks. Two signatures
 that differ in at most ``DISTANCE`` symbols differ in at most ``ERRORS`` symbols
 of one chunk (pigeonhole), so they share one of its keys: a key is a chunk with
 one choice of ``ERRORS`` symbols left out. A pair at a Jaccard similarity of
-0.85 differs in more than ``DISTANCE`` symbols once in 100,000 pairs; more
-similar pairs far more seldom.
+0.80 differs in more than ``DISTANCE`` symbols 1.4 times in 100,000 pairs, one
+at 0.85 three times in 10 million; more similar pairs far more seldom.
 
 Copies of a shingle set are one node from the start. Rows of a key are linked to
 its smallest document; connected rows form clusters, whose full sets meet in one
@@ -30,7 +30,9 @@ from matchlake.llm.hashing import mix, shingle_sets
 
 SHINGLE = 5
 PERCENT = 85
-SYMBOLS, CHUNKS, ERRORS = 20, 4, 2
+# The lowest similarity (percent) the signature is made for.
+LOWEST = 80
+SYMBOLS, CHUNKS, ERRORS = 25, 5, 2
 WIDTH = SYMBOLS // CHUNKS
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
 # Documents and shingles of a cluster that meet in one task; larger clusters are compared block by block.
@@ -143,10 +145,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     or wordless texts are linked with nothing. Rows with one id are one
     document. A row with a null id is linked with nothing and kept; its
     component is null. Other columns are ignored, whatever their names.
-    ``percent`` may be 85 or more; less needs a wider signature.
+    ``percent`` may be 80 or more; less needs a wider signature.
     """
-    if percent < PERCENT:
-        raise ValueError(f"the signature is made for {PERCENT} percent or more")
+    if percent < LOWEST:
+        raise ValueError(f"the signature is made for {LOWEST} percent or more")
     ship(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     signed = checkpointed(texts.mapInArrow(_sign, _SIGNED))

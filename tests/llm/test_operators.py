@@ -74,10 +74,25 @@ def test_near_copies_of_documents(some_docs, block, monkeypatch):
     assert {r["doc_id"]: r["n_shingles"] for r in got} == {i: len(brute.shingles(t)) for i, t in rows}
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_near_copies_at_other_thresholds(spark, some_docs, percent):
+    base = [f"w{i}" for i in range(100)]
+    rows = pairs(some_docs)
+    for k in range(40):
+        # 0 to 7 changed words of 100: similarities from 1 down to about 0.73.
+        changed = list(base)
+        for j in range(k % 8):
+            changed[(13 * k + 29 * j) % 100] = f"y{k}-{j}"
+        rows.append((5000 + k, " ".join(changed)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs, percent=percent).collect()}
+    assert got == brute.components(rows, percent)
+
+
 def test_no_near_copies(no_docs):
     assert near_dedup.near_duplicates(no_docs).collect() == []
-    with pytest.raises(ValueError, match="85"):
-        near_dedup.near_duplicates(no_docs, percent=50)
+    with pytest.raises(ValueError, match="80"):
+        near_dedup.near_duplicates(no_docs, percent=79)
 
 
 def test_components(spark):

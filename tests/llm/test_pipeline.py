@@ -22,7 +22,7 @@ def expected(docs, verdicts, items):
     """docs: (id, text). Rows of the last stage."""
     docs = [(i, t) for i, t in docs if verdicts[i]]
     docs = [(i, kept) for i, _, _, _, kept in brute.kept_lines(docs)]
-    group = brute.components(docs)
+    group = brute.components(docs, 80)
     docs = [(i, t) for i, t in docs if group[i] == i and not brute.benchmark_hits(t, items)[1]]
     out = []
     for i, t in docs:
