@@ -43,8 +43,8 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
-    return _without(docs, near_dedup.near_duplicates(docs).select("doc_id", "kept"))
+    """One document of each group of near copies (5-word shingles, similarity 0.8 or more): the one with the smallest id."""
+    return _without(docs, near_dedup.near_duplicates(docs, percent=80).select("doc_id", "kept"))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
