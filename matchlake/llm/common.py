@@ -70,3 +70,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Write to the shared folder and cut the lineage there."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of written tables, on whatever file system its path names; a missing folder is no error."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
