@@ -160,16 +160,21 @@ def decontaminate(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """``docs`` without the contaminated documents (``action="documents"``) or without the hit words (``"spans"``)."""
+    """``docs`` without the contaminated documents (``action="documents"``) or without the hit words (``"spans"``).
+
+    All columns of ``docs`` stay as they are, whatever their names; working columns take names no input column has.
+    """
     if action not in ("documents", "spans"):
         raise ValueError(f"action is documents or spans, not {action}")
     names = docs.columns
+    # Working names that no input column has.
+    doc, body, hit_spans = ("_" * (1 + max((len(c) for c in names), default=0)) + n for n in ("doc", "body", "spans"))
     hits = scan(docs, benchmark, window, max_windows, id_col, text_col).where(F.col("n_hit") > 0)
-    hits = hits.select(F.col(id_col).alias("_hit_doc"), F.col("body").alias("_hit_body"), F.col("spans").alias("_hit_spans"))
-    same = docs[id_col].eqNullSafe(hits["_hit_doc"]) & (F.xxhash64(docs[text_col]) == hits["_hit_body"])
+    hits = hits.select(F.col(id_col).alias(doc), F.col("body").alias(body), F.col("spans").alias(hit_spans))
+    same = docs[id_col].eqNullSafe(hits[doc]) & (F.xxhash64(docs[text_col]) == hits[body])
     if action == "documents":
         return docs.join(hits, same, "left_anti")
     joined = docs.join(hits, same, "left")
-    spans = F.coalesce("_hit_spans", F.array().cast("array<struct<start:int,end:int>>"))
+    spans = F.coalesce(hits[hit_spans], F.array().cast("array<struct<start:int,end:int>>"))
     cleaned = F.when(F.col(text_col).isNotNull(), remove_spans(F.col(text_col), spans)).alias(text_col)
     return joined.select(*[cleaned if c == text_col else F.col(c) for c in names])

@@ -142,8 +142,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
 
     A document's set is its distinct shingles of five words (ASCII white space
     splits, A-Z lower-cased), the whole sequence where it has fewer words. Null
-    or wordless texts are linked with nothing. Rows with one id are one
-    document. A row with a null id is linked with nothing and kept; its
+    or wordless texts are linked with nothing. Documents with equal sets are
+    one node from the start, told equal by their size and two 64-bit digests of
+    the set rather than by the full sets. Rows with one id are one document. A row with a null id is linked with nothing and kept; its
     component is null. Other columns are ignored, whatever their names.
     ``percent`` may be 80 or more; less needs a wider signature.
     """

@@ -145,6 +145,17 @@ def test_leaks_removed(spark):
     assert decontaminate.decontaminate(docs, bench.limit(0)).count() == len(LEAKS)
 
 
+def test_leaks_removed_beside_working_names(spark):
+    """Input columns named like the working columns stay untouched."""
+    names = ["_hit_doc", "_hit_body", "_hit_spans", "body", "spans", "n_hit"]
+    docs = spark.createDataFrame([(i, t, *names) for i, t in LEAKS], ", ".join(["doc_id long", "text string"] + [f"{n} string" for n in names]))
+    bench = spark.createDataFrame([(i, t) for i, t in ITEMS], "item_id long, text string")
+    for action in ("documents", "spans"):
+        out = decontaminate.decontaminate(docs, bench, action=action)
+        assert out.columns == docs.columns
+        assert all(list(r)[2:] == names for r in out.collect())
+
+
 def test_op6_query(spark, some_docs):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     texts = dict(pairs(some_docs))
