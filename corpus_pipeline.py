@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchlake.llm import decontaminate, line_dedup, near_dedup, pieces, quality
-from matchlake.llm.common import shared_folder, table
+from matchlake.llm.common import remove, shared_folder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -75,10 +75,19 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """The stages over ``documents``; stage n's table is written to ``folder/n``.
+
+    ``folder`` defaults to a new one under ``spark.checkpoint.dir``. A stage's
+    table is deleted as soon as the next one is written; the last one written
+    stays, as the returned DataFrame reads it: the caller removes ``folder``
+    once done with the result.
+    """
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = folder or f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for n, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{n}")
         docs = spark.read.parquet(f"{folder}/{n}")
+        if n:
+            remove(spark, f"{folder}/{n - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
