@@ -87,3 +87,10 @@ assert names and "pipeline" not in names and not any(n.startswith("op") for n in
 """
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+
+
+def test_run_leaves_one_stage_table(spark, tmp_path):
+    """Earlier stage tables are deleted once the next is written; the last one written stays for the result."""
+    folder = str(tmp_path / "pipeline")
+    rows = corpus_pipeline.run(spark, SF, folder).collect()
+    assert rows and sorted(os.listdir(folder)) == [str(len(corpus_pipeline.STAGES) - 2)]
