@@ -1,11 +1,13 @@
 """Near-duplicate documents by b-bit minwise signatures and a multi-index Hamming join.
 
-A signature has ``SYMBOLS`` 16-bit minima, in ``CHUNKS`` chunks. Two signatures
-that differ in at most ``DISTANCE`` symbols differ in at most ``ERRORS`` symbols
+A signature has ``symbols`` 16-bit minima, in ``chunks`` chunks. Two signatures
+that differ in at most ``distance`` symbols differ in at most ``errors`` symbols
 of one chunk (pigeonhole), so they share one of its keys: a key is a chunk with
-one choice of ``ERRORS`` symbols left out. A pair at a Jaccard similarity of
-0.80 differs in more than ``DISTANCE`` symbols 1.4 times in 100,000 pairs, one
-at 0.85 three times in 10 million; more similar pairs far more seldom.
+one choice of ``errors`` symbols left out. The layout is sized by the threshold:
+for 0.85 and more, 20 symbols in 4 chunks, where a pair at 0.85 differs in more
+than ``distance`` symbols once in 200,000 pairs; from 0.80, 25 symbols in 5
+chunks (1.4 times in 100,000 pairs at 0.80). More similar pairs are missed far
+more seldom.
 
 Copies of a shingle set are one node from the start. Rows of a key are linked to
 its smallest document; connected rows form clusters, whose full sets meet in one
@@ -32,35 +34,47 @@ SHINGLE = 5
 PERCENT = 85
 # The lowest similarity (percent) the signature is made for.
 LOWEST = 80
-SYMBOLS, CHUNKS, ERRORS = 25, 5, 2
-WIDTH = SYMBOLS // CHUNKS
-DISTANCE = CHUNKS * (ERRORS + 1) - 1
 # Documents and shingles of a cluster that meet in one task; larger clusters are compared block by block.
 BLOCK_DOCS = 4096
 BLOCK_SHINGLES = 6_000_000
 
-_random = np.random.default_rng(20)
-_XOR = _random.integers(0, 2**63, SYMBOLS, dtype=np.uint64)
-_TIMES = _random.integers(0, 2**62, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_CHOICES = [
-    (chunk, [chunk * WIDTH + i for i in kept])
-    for chunk in range(CHUNKS)
-    for kept in combinations(range(WIDTH), WIDTH - ERRORS)
-]
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
+class Layout:
+    """``symbols`` 16-bit minima in ``chunks`` chunks; a key leaves ``errors`` symbols of its chunk out."""
+
+    def __init__(self, symbols: int, chunks: int, errors: int):
+        self.symbols = symbols
+        self.distance = chunks * (errors + 1) - 1
+        width = symbols // chunks
+        rng = np.random.default_rng(20)
+        self.xor = rng.integers(0, 2**63, symbols, dtype=np.uint64)
+        self.times = rng.integers(0, 2**62, symbols, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.choices = [
+            [chunk * width + i for i in kept] for chunk in range(chunks) for kept in combinations(range(width), width - errors)
+        ]
+
+
+# Signature layouts by the lowest similarity (percent) each is made for.
+LAYOUTS = {PERCENT: Layout(20, 4, 2), LOWEST: Layout(25, 5, 2)}
+
+
+def layout_for(percent: int) -> Layout:
+    return LAYOUTS[max(p for p in LAYOUTS if p <= percent)]
+
+
+def signature(shingles: np.ndarray, layout: Layout = LAYOUTS[PERCENT]) -> np.ndarray:
     """The 16-bit symbols of a non-empty set of shingle hashes."""
-    low = np.empty(SYMBOLS, dtype=np.uint64)
-    for k in range(SYMBOLS):
-        low[k] = ((shingles ^ _XOR[k]) * _TIMES[k]).min()
+    low = np.empty(layout.symbols, dtype=np.uint64)
+    for k in range(layout.symbols):
+        low[k] = ((shingles ^ layout.xor[k]) * layout.times[k]).min()
     return mix(low) >> np.uint64(48)
 
 
-def index_keys(symbols: np.ndarray) -> np.ndarray:
-    """Keys of each signature (row): every chunk with each choice of ``ERRORS`` symbols left out."""
-    keys = np.empty((len(symbols), len(_CHOICES)), dtype=np.uint64)
-    for n, (_, kept) in enumerate(_CHOICES):
+def index_keys(symbols: np.ndarray, layout: Layout = LAYOUTS[PERCENT]) -> np.ndarray:
+    """Keys of each signature (row): every chunk with each choice of ``errors`` symbols left out."""
+    keys = np.empty((len(symbols), len(layout.choices)), dtype=np.uint64)
+    for n, kept in enumerate(layout.choices):
         key = np.full(len(symbols), n + 1, dtype=np.uint64)
         for column in kept:
             key = (key << np.uint64(16)) | symbols[:, column]
@@ -75,33 +89,39 @@ def _texts(column: pa.Array) -> list[bytes]:
 _SIGNED = "doc long, n long, d1 long, d2 long, keys array<long>"
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = shingle_sets(_texts(batch.column(1)), SHINGLE)
-        size, digest, symbols = [], [], []
-        for shingles in sets:
-            size.append(len(shingles))
-            digest.append((shingles.sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(shingles)) if len(shingles) else 0))
-            symbols.append(signature(shingles) if len(shingles) else np.zeros(SYMBOLS, dtype=np.uint64))
-        digests = np.array(digest, dtype=np.uint64).reshape(-1, 2).view(np.int64)
-        keys = index_keys(np.array(symbols).reshape(-1, SYMBOLS)).view(np.int64)
-        offsets = np.arange(0, keys.size + 1, len(_CHOICES), dtype=np.int32)
-        columns = [
-            batch.column(0),
-            pa.array(size, pa.int64()),
-            pa.array(digests[:, 0]),
-            pa.array(digests[:, 1]),
-            pa.ListArray.from_arrays(offsets, keys.ravel()),
-        ]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc", "n", "d1", "d2", "keys"])
-
-
-def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = list(shingle_sets(_texts(batch.column(1)), SHINGLE))
-        symbols = [signature(s).astype("<u2").tobytes() if len(s) else b"" for s in sets]
-        columns = [batch.column(0), pa.array(symbols, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc", "symbols", "shingles"])
+def _signer(layout: Layout):
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = shingle_sets(_texts(batch.column(1)), SHINGLE)
+            size, digest, symbols = [], [], []
+            for shingles in sets:
+                size.append(len(shingles))
+                digest.append((shingles.sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(shingles)) if len(shingles) else 0))
+                symbols.append(signature(shingles, layout) if len(shingles) else np.zeros(layout.symbols, dtype=np.uint64))
+            digests = np.array(digest, dtype=np.uint64).reshape(-1, 2).view(np.int64)
+            keys = index_keys(np.array(symbols).reshape(-1, layout.symbols), layout).view(np.int64)
+            offsets = np.arange(0, keys.size + 1, len(layout.choices), dtype=np.int32)
+            columns = [
+                batch.column(0),
+                pa.array(size, pa.int64()),
+                pa.array(digests[:, 0]),
+                pa.array(digests[:, 1]),
+                pa.ListArray.from_arrays(offsets, keys.ravel()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "n", "d1", "d2", "keys"])
+
+    return sign
+
+
+def _expander(layout: Layout):
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(shingle_sets(_texts(batch.column(1)), SHINGLE))
+            symbols = [signature(s, layout).astype("<u2").tobytes() if len(s) else b"" for s in sets]
+            columns = [batch.column(0), pa.array(symbols, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "symbols", "shingles"])
+
+    return expand
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -110,7 +130,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def _links(percent: int):
+def _links(percent: int, layout: Layout):
     """Pandas function: a cluster's rows in, confirmed links out; pairs already connected are not compared."""
 
     def confirm(rows: pd.DataFrame) -> pd.DataFrame:
@@ -126,7 +146,7 @@ def _links(percent: int):
             open_ = (group != group[i]) & (side != side[i] if side.any() else True)
             open_ &= 100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])
             others = np.flatnonzero(open_)
-            others = others[(symbols[others] != symbols[i]).sum(axis=1) <= DISTANCE] if len(others) else others
+            others = others[(symbols[others] != symbols[i]).sum(axis=1) <= layout.distance] if len(others) else others
             for j in others:
                 if group[j] != group[i] and similar(sets[i], sets[j], percent):
                     left.append(docs[i])
@@ -152,7 +172,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
         raise ValueError(f"the signature is made for {LOWEST} percent or more")
     ship(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    signed = checkpointed(texts.mapInArrow(_sign, _SIGNED))
+    layout = layout_for(percent)
+    signed = checkpointed(texts.mapInArrow(_signer(layout), _SIGNED))
     nodes = signed.where((F.col("n") > 0) & F.col("doc").isNotNull())
     nodes = nodes.groupBy("d1", "d2", "n").agg(F.min("doc").alias("node"), F.first("keys").alias("keys"))
     nodes = checkpointed(nodes)
@@ -165,7 +186,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     clusters = checkpointed(clusters)
 
     full = texts.join(clusters.select(F.col("node").alias("doc")), "doc", "left_semi").mapInArrow(
-        _expand, "doc long, symbols binary, shingles binary"
+        _expander(layout), "doc long, symbols binary, shingles binary"
     )
     full = full.where(F.length("symbols") > 0)
     sized = clusters.join(nodes.groupBy("node").agg(F.sum("n").alias("n")), "node")
@@ -183,7 +204,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     )
     placed = placed.select(F.col("node").alias("doc"), "component", F.explode(meets).alias("m"))
     placed = placed.select("doc", "component", "m.x", "m.y", "m.side")
-    links = placed.join(full, "doc").groupBy("component", "x", "y").applyInPandas(_links(percent), "a long, b long")
+    links = placed.join(full, "doc").groupBy("component", "x", "y").applyInPandas(_links(percent, layout), "a long, b long")
     linked = connected_components(links)
 
     roots = nodes.select("d1", "d2", "n", "node").join(linked, "node", "left")
