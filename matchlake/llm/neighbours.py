@@ -1,29 +1,35 @@
 """Approximate nearest neighbours by largest inner product: an NN-descent graph built
 with Spark joins, searched greedily.
 
-Index. Inner product search is turned into a search on a sphere: every vector
-``x`` gets one more component ``sqrt(M^2 - |x|^2)`` (``M`` the largest norm), so
-that all vectors have norm ``M`` and the largest inner product between indexed
-vectors is also their nearest neighbour. The graph starts from windows over
-random-projection buckets (each vector linked to the ones beside it in the
-order of another projection), then NN-descent rounds join the graph with
-itself: every vector's candidates are its neighbours' neighbours and the
-vectors that hold it as a neighbour, only through edges that are new since
-the last round. Candidates are scored by a join with the vectors, and each
-vector keeps its ``k`` best. Rounds stop when fewer than ``stop`` of all edges
-change. Every round is written with ``checkpoint()`` to the shared folder.
-
-No step pairs up the members of a group whose size depends on the data: a
-vector with thousands of reverse neighbours receives them as candidates
-(linear in its in-degree) and keeps its best ``k`` through a group limit that
-runs before the shuffle.
-
-Search. Each query's pool starts from its own graph neighbours (when it is
-indexed) and from ``entries`` vectors of largest norm; every round expands the
-pool members not yet expanded through the graph's edges in both directions, scores the new vectors
-exactly and keeps the ``beam`` best, until no member is left unexpanded. The
-``top`` best of the pool are returned with the exact double inner product of
-the original vectors, ties to the smaller id.
+Copies. Equal vectors are one node, named by its smallest id; the result is
+dealt out to the ids of a node at the end. A node needs no more than its
+``top + 1`` smallest ids for that.
+
+Index. The graph links every node to the ``k`` nodes of largest inner product
+found so far, the same measure that the search uses: a query that is indexed so
+starts from its own best list, and vectors of very different norms need no
+detour by another metric. It starts from the nodes beside each one in the order
+of some random projections (near ones) and in a hash order (random ones, which
+keep the graph in one piece), and from the best nodes of a fixed sample. Then
+NN-descent rounds join the graph with itself: every node asks its neighbours for
+theirs, in both directions, through edges that are new since the last round.
+The askers of a node and its links meet as two blocks of vectors whose products
+are one matrix product; what beats the worst neighbour of either side is a
+candidate, in the building the ``GAIN`` best of each block for each node. Each node
+keeps its ``k`` best. Rounds stop when fewer than ``stop`` of all edges change. Every
+round is written with ``checkpoint()`` to the shared folder.
+
+No step pairs up the members of a group whose size depends on the data: a node
+answers with its ``k`` neighbours and the ``k // 2`` best that hold it as one,
+and a node with very many askers is dealt out by ``ASKERS`` of them.
+
+Search. Each query's pool starts from its own graph links and from the
+``entries`` best nodes of the sample (the ``SAMPLE`` vectors of largest norm and
+as many in a hash order: fixed in number, it reaches groups without a link to
+the query's). Every round expands the pool members not yet expanded and keeps
+the ``beam`` best, until no member is left unexpanded. The pool is then scored
+with the exact double inner product of the original vectors, and the ``top``
+best are returned, ties to the smaller id.
 
 Defined results: rows with a null id, or a vector that is null, of another
 length than ``dim``, all zero, or with a null, NaN or infinite component take
@@ -35,18 +41,23 @@ rows; extra input columns are ignored whatever their names.
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchlake.llm.common import checkpointed
+from matchlake.llm.common import checkpointed, ship
 
 # Fixed values of the contract: queries are the ids divisible by EVERY; TOP results each.
 EVERY, TOP, DIM = 20, 20, 64
 # Parameters of the index and the search.
-K, BEAM, ENTRIES, ROUNDS, STOP, SEED, BUCKET_ROWS = 16, 96, 8, 10, 0.002, 7, 64
+K, BEAM, ENTRIES, ROUNDS, STOP, SEED, BUCKET_ROWS = 32, 96, 32, 10, 0.02, 7, 64
+SAMPLE, PROJECTIONS, GAIN, ASKERS = 1024, 3, 24, 1024
+
+Batches = Iterator[pa.RecordBatch]
+_EDGES = "v long, w long, s float"
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -64,107 +75,253 @@ def valid_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "em
     return rows.groupBy("id").agg(F.min("x").alias("x"))
 
 
-def _lifted(points: DataFrame) -> DataFrame:
-    """(id, y): x with the component sqrt(M^2 - |x|^2) added, as floats."""
-    norm2 = dot(F.col("x"), F.col("x"))
-    top = points.agg(F.max(norm2).alias("m")).first()["m"] or 0.0
-    extra = F.sqrt(F.greatest(F.lit(top) - norm2, F.lit(0.0)))
-    return points.select("id", F.concat(F.col("x"), F.array(extra)).cast("array<float>").alias("y"))
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Rows of a column of packed float vectors."""
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), dtype=np.float32).reshape(len(values), -1)
+
+
+def _packed(vectors: np.ndarray) -> pa.Array:
+    return pa.array([row.tobytes() for row in np.ascontiguousarray(vectors, dtype=np.float32)], pa.binary())
+
+
+def _edges(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    v, w, s = (np.concatenate(part) for part in zip(*parts, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(w, pa.int64()), pa.array(s, pa.float32())], names=["v", "w", "s"])
+
+
+def _packer(scale: float) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1) / scale
+            yield pa.RecordBatch.from_arrays([batch.column(0), _packed(x)], names=["id", "y"])
+
+    return run
+
+
+def pack(points: DataFrame) -> DataFrame:
+    """(id, y): the vectors as packed floats, divided by the largest component so that all products are finite."""
+    ship(points.sparkSession)
+    biggest = points.agg(F.max(F.array_max(F.transform("x", F.abs))).alias("m")).first()["m"] or 1.0
+    return checkpointed(points.select("id", "x").mapInArrow(_packer(biggest), "id long, y binary"))
 
 
-def _scored(pairs: DataFrame, lifted: DataFrame) -> DataFrame:
-    """(v, w) pairs with s = y_v . y_w."""
-    left = lifted.select(F.col("id").alias("v"), F.col("y").alias("yv"))
-    right = lifted.select(F.col("id").alias("w"), F.col("y").alias("yw"))
-    return pairs.join(left, "v").join(right, "w").select("v", "w", dot(F.col("yv"), F.col("yw")).alias("s"))
+def pick_sample(points: DataFrame, packed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and packed vectors of the ``SAMPLE`` rows of largest norm and the first ``SAMPLE`` in a hash order."""
+    norm = dot(F.col("x"), F.col("x"))
+    long = points.orderBy(F.desc(norm), "id").limit(SAMPLE).select("id")
+    some = points.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(SAMPLE).select("id")
+    rows = packed.join(F.broadcast(long.union(some).distinct()), "id").orderBy("id").collect()
+    return np.array([r["id"] for r in rows], dtype=np.int64), np.array([np.frombuffer(r["y"], dtype=np.float32) for r in rows])
+
+
+def _by_sample(sample, count: int) -> Callable[[Batches], Batches]:
+    """Edges to the ``count`` best of the sample. ``sample``: broadcast variable."""
+
+    def run(batches: Batches) -> Batches:
+        ids, vectors = sample.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.column(0).to_numpy()
+            score = _matrix(batch.column(1)) @ vectors.T
+            score[own[:, None] == ids[None, :]] = -np.inf
+            best = np.argsort(-score, axis=1, kind="stable")[:, :count]
+            s = np.take_along_axis(score, best, 1)
+            row, col = np.nonzero(np.isfinite(s))
+            yield _edges([(own[row], ids[best[row, col]], s[row, col])])
+
+    return run
+
+
+def _placed(planes: np.ndarray, middle: np.ndarray, bits: int) -> Callable[[Batches], Batches]:
+    """Adds the place of each vector: signs of all but the last projection, then the last one."""
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            side = (_matrix(batch.column(1)) - middle) @ planes.T
+            code = ((side[:, :bits] > 0) << np.arange(bits)).sum(axis=1) if bits else np.zeros(len(side))
+            columns = [batch.column(0), batch.column(1), pa.array(code.astype(np.int64)), pa.array(side[:, bits].astype(np.float64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "y", "code", "key"])
+
+    return run
+
+
+def _beside(reach: int) -> Callable[[Batches], Batches]:
+    """Edges, both ways, between rows of a partition up to ``reach`` places apart."""
+
+    def run(batches: Batches) -> Batches:
+        ids, rows = np.zeros(0, dtype=np.int64), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = len(ids)
+            fresh = _matrix(batch.column(1))
+            ids = np.concatenate([ids, batch.column(0).to_numpy()])
+            rows = fresh if rows is None else np.concatenate([rows, fresh])
+            parts = []
+            for apart in range(1, min(reach, len(ids) - 1) + 1):
+                at = np.arange(max(last, apart), len(ids))
+                s = np.einsum("ij,ij->i", rows[at], rows[at - apart])
+                parts += [(ids[at], ids[at - apart], s), (ids[at - apart], ids[at], s)]
+            if parts:
+                yield _edges(parts)
+            ids, rows = ids[-reach:], rows[-reach:]
+
+    return run
 
 
 def _best(edges: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of each v, every w once, and new only if it came as new alone; one exchange, by v."""
     order = Window.partitionBy("v").orderBy(F.desc("s"), F.asc("w"))
-    return edges.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
-
-
-def _start(lifted: DataFrame, n: int, k: int, seed: int) -> DataFrame:
-    """First graph, two kinds of edges of about k/2 each: the vectors beside each one in the order of one
-    random projection within buckets of sign patterns of others (near ones), and beside it in a hash order
-    (random ones, which link the buckets, so that the graph is one piece)."""
-    bits = max(0, min(16, int(math.log2(max(n, 1) / BUCKET_ROWS)))) if n else 0
-    width = len(lifted.first()["y"]) if n else 1
-    planes = np.random.RandomState(seed).standard_normal((bits + 1, width))
-    proj = [dot(F.col("y"), F.array(*[F.lit(float(c)) for c in plane])) for plane in planes]
-    code = sum(((p > 0).cast("int") * (1 << j) for j, p in enumerate(proj[:-1])), F.lit(0))
-    keyed = lifted.select(
-        F.col("id").alias("v"), code.alias("code"), proj[-1].alias("key"),
-        F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << bits)).alias("lot"), F.xxhash64("id", F.lit(seed + 1)).alias("draw"),
-    )
-    near, far = Window.partitionBy("code").orderBy("key", "v"), Window.partitionBy("lot").orderBy("draw", "v")
-    side = max(1, k // 4)
-    beside = keyed.select(
-        "v",
-        *[F.lead("v", j).over(near).alias(f"a{j}") for j in range(1, side + 1)],
-        *[F.lag("v", j).over(near).alias(f"b{j}") for j in range(1, side + 1)],
-        *[F.lead("v", j).over(far).alias(f"c{j}") for j in range(1, side + 1)],
-        *[F.lag("v", j).over(far).alias(f"d{j}") for j in range(1, side + 1)],
-    )
-    pairs = beside.select("v", F.explode(F.array(*beside.columns[1:])).alias("w")).where(F.col("w").isNotNull()).distinct()
-    return _best(_scored(pairs, lifted), k)
-
-
-def build_graph(points: DataFrame, k: int = K, rounds: int = ROUNDS, stop: float = STOP, seed: int = SEED) -> DataFrame:
-    """The NN-descent graph (v, w, s): each indexed vector's ``k`` best found neighbours."""
-    lifted = checkpointed(_lifted(points))
-    n = lifted.count()
-    graph = checkpointed(_start(lifted, n, k, seed).withColumn("new", F.lit(True)))
+    single = edges.repartition("v").groupBy("v", "w").agg(F.max("s").alias("s"), F.min("new").alias("new"))
+    return single.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
+
+
+def _start(packed: DataFrame, n: int, k: int, seed: int, sample) -> DataFrame:
+    """First edges: neighbours in the orders of some random projections and in a hash order, and the best of the sample."""
+    ids, vectors = sample.value
+    bits = max(0, min(16, int(np.log2(max(n, 1) / BUCKET_ROWS)))) if n else 0
+    reach = max(1, k // (2 * PROJECTIONS + 2))
+    edges = packed.mapInArrow(_by_sample(sample, max(1, k // 4)), _EDGES)
+    middle = vectors.mean(axis=0) if len(vectors) else np.zeros(1, dtype=np.float32)
+    for turn in range(PROJECTIONS):
+        planes = np.random.RandomState(seed + turn).standard_normal((bits + 1, len(middle))).astype(np.float32)
+        placed = packed.mapInArrow(_placed(planes, middle, bits), "id long, y binary, code long, key double")
+        ordered = placed.repartitionByRange("code", "key", "id").sortWithinPartitions("code", "key", "id")
+        edges = edges.unionByName(ordered.select("id", "y").mapInArrow(_beside(reach), _EDGES))
+    draw = packed.select("id", "y", F.xxhash64("id", F.lit(seed + 1)).alias("draw"))
+    ordered = draw.repartitionByRange("draw", "id").sortWithinPartitions("draw", "id")
+    edges = edges.unionByName(ordered.select("id", "y").mapInArrow(_beside(reach), _EDGES))
+    return _best(edges.withColumn("new", F.lit(True)), k)
+
+
+def _answers(back: int) -> Callable[[Batches], Batches]:
+    """Candidates of the blocks (u, chunk) of links (side 0) and askers (side 1, with their score) that stand in order.
+
+    Askers get the links that beat their ``least`` score. With ``back``, that many best askers are links too, and links
+    get the askers as well.
+    """
+
+    def block(side, ids, y, least, new, score):
+        links = int(np.searchsorted(side, 1))
+        if links == len(side):
+            return []
+        w, v = np.arange(links), np.arange(links, len(side))
+        if back:
+            w = np.concatenate([w, v[np.argsort(-score[v], kind="stable")[:back]]])
+        if not len(w):
+            return []
+        s = y[v] @ y[w].T
+        open_ = (new[v][:, None] | new[w][None, :]) & (ids[v][:, None] != ids[w][None, :])
+        out = []
+        for axis, floor in ((1, least[v][:, None]), (0, least[w][None, :])):
+            wins = open_ & (s > floor)
+            if back and wins.shape[axis] > GAIN:
+                wins &= s >= np.partition(np.where(wins, s, -np.inf), -GAIN, axis=axis).take([-GAIN], axis=axis)
+            row, col = np.nonzero(wins)
+            asker, link = ids[v][row], ids[w][col]
+            out.append((asker, link, s[row, col]) if axis else (link, asker, s[row, col]))
+            if not back:
+                break
+        return out
+
+    def blocks(table: pa.Table, final: bool):
+        u, chunk, *rest = (table.column(c).to_numpy() for c in ("u", "chunk", "side", "id", "least", "new", "s"))
+        side, ids, least, new, score = rest
+        cuts = np.flatnonzero((u[1:] != u[:-1]) | (chunk[1:] != chunk[:-1])) + 1
+        bounds = [0, *cuts.tolist(), *([len(u)] if final else [])]
+        y = _matrix(table.column("y"))
+        spans = [slice(a, b) for a, b in zip(bounds, bounds[1:])]
+        parts = [p for x in spans for p in block(side[x], ids[x], y[x], least[x], new[x], score[x])]
+        return parts, table.slice(bounds[-1])
+
+    def run(batches: Batches) -> Batches:
+        held = None
+        for batch in batches:
+            if batch.num_rows:
+                table = pa.Table.from_batches([batch])
+                parts, held = blocks(table if held is None else pa.concat_tables([held, table]), False)
+                if parts:
+                    yield _edges(parts)
+        if held is not None and held.num_rows:
+            parts, _ = blocks(held, True)
+            if parts:
+                yield _edges(parts)
+
+    return run
+
+
+def _asked(asks: DataFrame, links: DataFrame, nodes: DataFrame, back: int = 0) -> DataFrame:
+    """(v, w, s): what the askers (v, u, new, s) get from the links (u, w, new) of the nodes they ask.
+
+    ``nodes``: (id, y, least). Askers of a node are dealt out by about ``ASKERS``, each part with all links of the node.
+    """
+    many = asks.groupBy("u").agg(F.ceil(F.count("*") / F.lit(ASKERS)).alias("chunks")).where(F.col("chunks") > 1)
+    parts = F.coalesce("chunks", F.lit(1)).cast("long")
+    chunk = F.pmod(F.xxhash64("v"), parts).alias("chunk")
+    left = asks.join(many, "u", "left").select("u", chunk, F.lit(1).alias("side"), F.col("v").alias("id"), "new", "s")
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("chunk")
+    none = F.lit(0).cast("float").alias("s")
+    right = links.join(many, "u", "left").select("u", chunk, F.lit(0).alias("side"), F.col("w").alias("id"), "new", none)
+    rows = left.unionByName(right).join(nodes, "id").repartition("u", "chunk").sortWithinPartitions("u", "chunk", "side", "id")
+    return rows.select("u", "chunk", "side", "id", "y", "least", "new", "s").mapInArrow(_answers(back), _EDGES)
+
+
+def _links(graph: DataFrame, k: int) -> DataFrame:
+    """(u, w, new=false): the neighbours of u, and the ``k // 2`` best that hold u as one."""
+    holders = Window.partitionBy("w").orderBy(F.desc("s"), F.asc("v"))
+    back = graph.withColumn("r", F.row_number().over(holders)).where(F.col("r") <= max(1, k // 2))
+    links = graph.select(F.col("v").alias("u"), "w").union(back.select("w", "v"))
+    return links.distinct().withColumn("new", F.lit(False))
+
+
+def _least(rows: DataFrame, key: str, k: int) -> DataFrame:
+    """(id, least): the score to beat, that of the k-th best, or none with fewer."""
+    full = F.when(F.count("*") >= k, F.min("s")).otherwise(F.lit(float("-inf")))
+    return rows.groupBy(F.col(key).alias("id")).agg(full.cast("float").alias("least"))
+
+
+def _nodes(packed: DataFrame, least: DataFrame) -> DataFrame:
+    return packed.join(least, "id", "left").select("id", "y", F.coalesce("least", F.lit(float("-inf")).cast("float")).alias("least"))
+
+
+def build_graph(packed: DataFrame, sample, k: int = K, rounds: int = ROUNDS, stop: float = STOP, seed: int = SEED) -> DataFrame:
+    """The NN-descent graph (v, w, s): each packed vector's ``k`` best found neighbours."""
+    n = packed.count()
+    graph = checkpointed(_start(packed, n, k, seed, sample))
     for _ in range(rounds):
-        a = graph.select("v", F.col("w").alias("u"), F.col("new").alias("n1"))
-        b = graph.select(F.col("v").alias("u"), "w", F.col("new").alias("n2"))
-        hops = a.join(b, "u").where((F.col("n1") | F.col("n2")) & (F.col("v") != F.col("w"))).select("v", "w")
-        back = graph.where("new").select(F.col("w").alias("v"), F.col("v").alias("w"))
-        fresh = hops.unionByName(back).distinct().join(graph.select("v", "w"), ["v", "w"], "left_anti")
-        merged = graph.select("v", "w", "s", F.lit(False).alias("new")).unionByName(
-            _scored(fresh, lifted).withColumn("new", F.lit(True))
-        )
+        asks = graph.select("v", F.col("w").alias("u"), "new", "s")
+        links = graph.select(F.col("v").alias("u"), "w", "new")
+        found = _asked(asks, links, _nodes(packed, _least(graph, "v", k)), back=max(1, k // 2))
+        back = graph.where("new").select(F.col("w").alias("v"), F.col("v").alias("w"), "s")
+        merged = graph.withColumn("new", F.lit(False)).unionByName(found.unionByName(back).withColumn("new", F.lit(True)))
         graph = checkpointed(_best(merged, k))
-        changed = graph.where("new").count()
-        if changed <= stop * n * k:
+        if graph.where("new").count() <= stop * n * k:
             break
-    return graph.select("v", "w", "s")
+    return graph
 
 
-def search(
-    points: DataFrame,
-    graph: DataFrame,
-    queries: DataFrame,
-    top: int = TOP,
-    beam: int = BEAM,
-    entries: int = ENTRIES,
-) -> DataFrame:
-    """Greedy graph search; (q, id, score) for each query's ``top`` best found, score the exact double inner product."""
-    q = queries.select(F.col("id").alias("q"), F.col("x").alias("xq"))
-    vec = points.select(F.col("id").alias("c"), F.col("x").alias("xc"))
-    starts = [r["id"] for r in points.orderBy(F.desc(dot(F.col("x"), F.col("x"))), "id").limit(entries).collect()]
-    own = graph.select(F.col("v").alias("q"), F.col("w").alias("c")).join(q.select("q"), "q")
-    fixed = q.select("q", F.explode(F.array(*[F.lit(int(e)).cast("long") for e in starts] or [F.lit(None).cast("long")])).alias("c"))
-    first = own.unionByName(fixed).where(F.col("c").isNotNull() & (F.col("c") != F.col("q"))).distinct()
-
-    def score(pairs: DataFrame) -> DataFrame:
-        return pairs.join(q, "q").join(vec, "c").select("q", "c", dot(F.col("xq"), F.col("xc")).alias("score"))
+def search(packed: DataFrame, graph: DataFrame, queries: DataFrame, sample, k: int = K, beam: int = BEAM, entries: int = ENTRIES) -> DataFrame:
+    """Greedy graph search; (q, c), the ``beam`` best nodes found for each of the queries (id)."""
+    links = checkpointed(_links(graph, k))
+    ask = packed.join(queries.select("id"), "id", "left_semi")
+    own = queries.select(F.col("id").alias("u"))
+    own = own.select(F.col("u").alias("v"), "u", F.lit(True).alias("new"), F.lit(0).cast("float").alias("s"))
+    none = packed.select("id", "y", F.lit(float("-inf")).cast("float").alias("least"))
 
     def keep(rows: DataFrame) -> DataFrame:
-        order = Window.partitionBy("q").orderBy(F.desc("score"), F.asc("c"))
-        return rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= beam).drop("r")
-
-    # searched both ways: a vector's own neighbours and those that hold it as one
-    links = checkpointed(graph.select("v", "w").unionByName(graph.select(F.col("w").alias("v"), F.col("v").alias("w"))).distinct())
-    pool = checkpointed(keep(score(first).withColumn("done", F.lit(False))))
-    while pool.where(~F.col("done")).limit(1).count():
-        frontier = pool.where(~F.col("done")).select("q", F.col("c").alias("v"))
-        reached = frontier.join(links, "v").select("q", F.col("w").alias("c"))
-        reached = reached.where(F.col("c") != F.col("q")).distinct().join(pool.select("q", "c"), ["q", "c"], "left_anti")
-        pool = checkpointed(keep(pool.withColumn("done", F.lit(True)).unionByName(score(reached).withColumn("done", F.lit(False)))))
-    order = Window.partitionBy("q").orderBy(F.desc("score"), F.asc("c"))
-    best = pool.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    return best.select("q", F.col("c").alias("id"), "score", F.col("rank").cast("int").alias("rank"))
+        return checkpointed(_best(rows, beam))
+
+    # ``new`` marks the members not expanded yet; the query itself is expanded first and is no member.
+    first = ask.mapInArrow(_by_sample(sample, entries), _EDGES)
+    first = first.unionByName(_asked(own, links.join(own.select("u"), "u", "left_semi"), none))
+    pool = keep(first.withColumn("new", F.lit(True)))
+    while pool.where("new").limit(1).count():
+        asks = pool.where("new").select("v", F.col("w").alias("u"), "new", "s")
+        found = _asked(asks, links.join(asks.select("u"), "u", "left_semi"), _nodes(packed, _least(pool, "v", beam)))
+        pool = keep(pool.withColumn("new", F.lit(False)).unionByName(found.withColumn("new", F.lit(True))))
+    return pool.select(F.col("v").alias("q"), F.col("w").alias("c"))
 
 
 def nearest(
@@ -178,8 +335,24 @@ def nearest(
     vec_col: str = "embedding",
 ) -> DataFrame:
     """query_id, rank, vec_id, score for the queries (ids divisible by ``every``) against all indexed rows."""
-    points = checkpointed(valid_vectors(vectors, id_col, vec_col, dim))
-    graph = build_graph(points, k)
-    queries = points.where(F.pmod(F.col("id"), F.lit(every)) == 0)
-    found = search(points, graph, queries, top, beam)
-    return found.select(F.col("q").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
+    rows = checkpointed(valid_vectors(vectors, id_col, vec_col, dim))
+    points = checkpointed(rows.groupBy("x").agg(F.min("id").alias("id")).select("id", "x"))
+    members = checkpointed(rows.join(points.select(F.col("id").alias("c"), "x"), "x").select("id", "c"))
+    packed = pack(points)
+    sample = points.sparkSession.sparkContext.broadcast(pick_sample(points, packed))
+    graph = build_graph(packed, sample, k)
+    asked = members.where(F.pmod(F.col("id"), F.lit(every)) == 0).select(F.col("id").alias("query_id"), F.col("c").alias("q"))
+    found = search(packed, graph, asked.select(F.col("q").alias("id")).distinct(), sample, k, beam)
+
+    x_q, x_c = points.select(F.col("id").alias("q"), F.col("x").alias("xq")), points.select(F.col("id").alias("c"), F.col("x").alias("xc"))
+    itself = asked.select("q", F.col("q").alias("c")).distinct()
+    scored = found.unionByName(itself).join(x_q, "q").join(x_c, "c").select("q", "c", dot(F.col("xq"), F.col("xc")).alias("score"))
+    # Every other node has one id to give at least, so the first ``top`` of them and the query's own node are enough.
+    ahead = Window.partitionBy("q").orderBy(F.desc("score"), F.asc("c"))
+    scored = scored.withColumn("r", F.row_number().over(ahead)).where((F.col("r") <= top + 1) | (F.col("q") == F.col("c")))
+    first = Window.partitionBy("c").orderBy("id")
+    ids = members.withColumn("r", F.row_number().over(first)).where(F.col("r") <= top + 1).select("c", F.col("id").alias("vec_id"))
+    pairs = asked.join(scored.drop("r"), "q").join(ids, "c").where(F.col("query_id") != F.col("vec_id"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+    best = pairs.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= top)
+    return best.select("query_id", "rank", "vec_id", "score")

@@ -203,3 +203,26 @@ def test_neighbours_recall_on_the_small_table(spark):
     scores = {(q, c): s for q in want for c, s in want[q]}
     assert all(abs(s - scores[(q, c)]) < 1e-12 for q in got for c, s in got[q].items() if (q, c) in scores) and exact
     assert all(len(got[q]) == 20 for q in want)
+
+
+def test_neighbours_recall_with_norms_groups_and_copies(spark):
+    """Gaussian vectors of spread norms, small tight groups, an outlier, copies and near copies."""
+    import numpy as np
+
+    draw = np.random.default_rng(4)
+    gauss = draw.standard_normal((600, 64)) * draw.lognormal(0, 1, (600, 1))
+    groups = draw.standard_normal((60, 64))[draw.integers(0, 60, 600)] + 0.01 * draw.standard_normal((600, 64))
+    near = gauss[1] + 1e-3 * draw.standard_normal((200, 64))
+    x = np.concatenate([gauss, groups, np.repeat(gauss[:1], 200, axis=0), near, 1000 * draw.standard_normal((1, 64))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in neighbours.nearest(df).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    hit = 0
+    for q in range(0, len(x), 20):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        least = np.sort(scores)[-20] - 1e-9 * abs(np.sort(scores)[-20])
+        assert len(set(got[q])) == 20 and q not in got[q]
+        hit += sum(scores[c] >= least for c in got[q])
+    assert hit >= 0.97 * 20 * len(range(0, len(x), 20))
