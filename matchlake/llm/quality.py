@@ -1,12 +1,15 @@
-"""Quality rules: word statistics, and perplexity bands of a Kneser-Ney model per language.
-
-Spark counts the grams of all documents, one model per listed language and one
-for all other languages. Every document is then scored twice: by the model of
-its language, and stretch by stretch by whichever language model expects the
-stretch best. Exact quartiles of the scores, per language, give a lower bound
-of the first score and an upper bound of the second, beyond which a document is
-rejected: text in two languages is expected by one model or the other, noise by
-none.
+"""Quality rules: word statistics, and perplexity bands of Kneser-Ney models per language.
+
+Spark counts the word bigrams of all documents, and the spelling (grams of
+character classes), one model each per listed language and one for all other
+languages. Every document is then scored three times: by the word model of its
+language, without the document's own occurrences, and by spelling, by the
+model of its language, and stretch by stretch by whichever language model
+expects the stretch best. Exact quartiles of the scores, per language, give
+an upper bound of the words' score, a lower bound of the second and an upper
+bound of the third, beyond which a document is rejected: words in disorder are
+not expected by the word model; text in two languages is expected by one
+spelling or the other, noise by none.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchlake.llm.common import checkpointed, ship
+from matchlake.llm import word_model
 from matchlake.llm.ngram_model import CLASS_NATS, CODES, KneserNey, codes
 
 LANGUAGES = ("en", "de", "fr", "es")
@@ -29,6 +33,10 @@ OTHER = "other"
 REACH = (5.0, 10.0)
 LEAST_REACH = (0.1, 0.5)
 MOST_ABOVE = 0.8
+# The same for the words' score, in nats a word; only its upper bound counts.
+WORD_REACH = (5.0, 0.5)
+LEAST_WORD_REACH = (0.1, 1.5)
+MOST_ABOVE_WORDS = 3.0
 # Characters of a stretch that one language model is chosen for.
 STRETCH = 64
 # Scores are binned to 1/BINS nat for the quartiles.
@@ -53,10 +61,17 @@ def repeated_words(words: list[bytes]) -> int:
     """Words inside three-word windows that stand twice or more in the list."""
     if len(words) < 4:
         return 0
-    number: dict[bytes, int] = {}
-    ids = np.array([number.setdefault(w, len(number)) for w in words], dtype=np.int64)
-    pairs = np.unique(ids[:-1] * len(number) + ids[1:], return_inverse=True)[1]
-    _, window, count = np.unique(pairs[:-1] * len(number) + ids[2:], return_inverse=True, return_counts=True)
+    number = {w: k for k, w in enumerate(dict.fromkeys(words))}
+    ids = np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words))
+    pairs = ids[:-1] * len(number) + ids[1:]
+    if len(number) >= 1 << 21:
+        # Three numbers would not fit 63 bits.
+        pairs = np.unique(pairs, return_inverse=True)[1]
+    windows = pairs[:-1] * len(number) + ids[2:]
+    in_order = np.sort(windows)
+    if (in_order[1:] != in_order[:-1]).all():
+        return 0
+    _, window, count = np.unique(windows, return_inverse=True, return_counts=True)
     again = (count > 1)[window]
     inside = np.zeros(len(words), dtype=bool)
     for k in range(3):
@@ -74,12 +89,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if text:
-                total = totals.setdefault(name, np.zeros(CODES, dtype=np.int64))
-                found = codes(text.encode())
-                if len(found) > CODES // 16:
-                    total += np.bincount(found, minlength=CODES)
-                else:
-                    np.add.at(total, found, 1)
+                if name not in totals:
+                    totals[name] = np.zeros(CODES, dtype=np.int64)
+                np.add.at(totals[name], codes(text.encode()), 1)
     for name, total in totals.items():
         grams = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
@@ -100,12 +112,12 @@ def fit_models(rows: DataFrame) -> dict[str, KneserNey]:
 
 _SCORED = (
     "row long, model string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "nats double, best_nats double"
+    "nats double, best_nats double, word_nats double"
 )
 
 
-def _scorer(models) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``models``: broadcast variable with the models."""
+def _scorer(models, words: word_model.WordModel) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``models``: broadcast variable with the models of spelling; ``words``: the model of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = list(models.value)
@@ -114,10 +126,9 @@ def _scorer(models) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
         known = np.zeros(CODES, dtype=bool)
         # Texts of unlisted languages may be anything, so their model is no measure for the listed ones.
         listed = [k for k, name in enumerate(names) if name != OTHER]
-        for batch in batches:
+        for number, ids, kinds_of, texts in word_model.chunks(batches):
             rows = []
-            for name, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                text = text or ""
+            for name, text in zip(kinds_of, texts, strict=True):
                 statistics = word_statistics(text)
                 nats = best = None
                 if text and name in names:
@@ -135,9 +146,13 @@ def _scorer(models) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
             columns = list(zip(*rows, strict=True)) or [[]] * 7
             kinds = [pa.int64()] * 5 + [pa.float64()] * 2
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]],
-                names=["row", "model", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "nats", "best_nats"],
-            )
+                [
+                    pa.array(ids, pa.int64()), pa.array(kinds_of, pa.string()),
+                    *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+                    pa.array(words.nats(number, kinds_of, texts), from_pandas=True),
+                ],
+                names=["row", "model", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "nats", "best_nats", "word_nats"],
+            )
 
     return run
 
@@ -147,6 +162,7 @@ def bands(
     reach: tuple[float, float] = REACH,
     least: tuple[float, float] = LEAST_REACH,
     score: str = "nats",
+    most: float = MOST_ABOVE,
 ) -> dict[str, tuple[float, float]]:
     """Lower and upper bound of the nats per character, per model, from all documents that have enough words."""
     binned = scored.where((F.col("n_words") >= MIN_WORDS) & F.col(score).isNotNull())
@@ -158,7 +174,7 @@ def bands(
         share = part["n"].cumsum().to_numpy() / part["n"].sum()
         low, high = (float(part["bin"].to_numpy()[np.searchsorted(share, q)]) / BINS for q in (0.25, 0.75))
         below, above = (max(r * (high - low), floor) for r, floor in zip(reach, least, strict=True))
-        out[name] = (low - below, high + min(above, MOST_ABOVE))
+        out[name] = (low - below, high + min(above, most))
     return out
 
 
@@ -185,12 +201,16 @@ def assess(
         F.col(text_col).alias("text"),
     )
     models = docs.sparkSession.sparkContext.broadcast(fit_models(rows.select("model", "text")))
-    scored = checkpointed(rows.mapInArrow(_scorer(models), _SCORED))
+    words = word_model.fit(rows, [*languages, OTHER])
+    scored = checkpointed(rows.mapInArrow(_scorer(models, words), _SCORED))
+    words.drop(docs.sparkSession)
     inside = F.lit(False)
     lower, upper = bands(scored, reach), bands(scored, reach, score="best_nats")
+    ordered = bands(scored, WORD_REACH, LEAST_WORD_REACH, "word_nats", most=MOST_ABOVE_WORDS)
     for name in lower:
         low, high = lower[name][0], upper[name][1]
-        inside = inside | ((F.col("model") == name) & (F.col("nats") >= low) & (F.col("best_nats") <= high))
+        spelled = (F.col("nats") >= low) & (F.col("best_nats") <= high)
+        inside = inside | ((F.col("model") == name) & spelled & (F.col("word_nats") <= ordered[name][1]))
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
     )
@@ -200,5 +220,6 @@ def assess(
         failed.alias("base_failed"),
         (~failed & F.coalesce(inside, F.lit(False))).alias("kept"),
         F.exp("nats").alias("perplexity"),
+        F.exp("word_nats").alias("word_perplexity"),
         F.col("model").alias("language"),
     )
