@@ -37,13 +37,21 @@ value descending, item ascending in UTF-8 byte order.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchlake.llm.common import ascii_lower, checkpointed
+from matchlake.llm.common import checkpointed, ship
+
+# Bytes of a text as its terms have them: A-Z lower-cased, letters and bytes beyond ASCII kept, all others a space.
+_TO_TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+# Terms of groups that a task counts before it gives them out.
+HELD = 400_000
 
 # Fixed values of the contract.
-SEPARATORS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 MIN_DOCS, SMOOTH, SCALE, TOP = 30, 5, 1_000_000_000, 50
 
 
@@ -52,28 +60,54 @@ def prob(count: str, den: str) -> Column:
     return F.expr(f"CASE WHEN {den} > 0 THEN 1 + (CAST({SCALE} AS BIGINT) * (CAST({count} AS BIGINT) + {SMOOTH})) div {den} END")
 
 
+def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per group and term of a partition: occurrences and documents, given out whenever ``HELD`` terms are counted."""
+    found: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    held = 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (count, docs) in found.items():
+            # Both were counted in step, so their terms stand in one order.
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.repeat(pa.scalar(lang), len(count)), pa.repeat(pa.scalar(source), len(count)),
+                    pa.array(count, pa.binary()), pa.array(count.values(), pa.int64()), pa.array([docs[t] for t in count], pa.int64()),
+                ],
+                names=["lang", "source", "term", "c", "df"],
+            )
+
+    for batch in batches:
+        for lang, source, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            terms = (text or b"").translate(_TO_TERMS).split()
+            if terms:
+                count, docs = found.setdefault((lang, source), (Counter(), Counter()))
+                before = len(count)
+                count.update(terms)
+                docs.update(set(terms))
+                held += len(count) - before
+        if held >= HELD:
+            yield from out()
+            found, held = {}, 0
+    yield from out()
+
+
 def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
     """(lang, source, term, c, df) for every term of a group, and the groups (lang, source) that occur.
 
-    One explode gives every word with ``first = 0`` and every distinct word of
-    the document once more with ``first = 1``; one ``groupBy`` then sums
-    occurrences and documents. Its partial aggregate runs before the shuffle,
-    so what crosses it is at most the distinct (group, term) rows of a task.
+    Every partition counts the occurrences and documents of its (group, term)
+    rows, and one ``groupBy`` adds them up, so what crosses the shuffle is at
+    most the distinct (group, term) rows of a task.
     """
-    text = ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    ship(docs.sparkSession)
     base = docs.select(
         F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
-        F.array_remove(F.split(text, SEPARATORS), "").alias("terms"),
+        F.col(text_col).cast("string").cast("binary").alias("text"),
     )
     groups = base.select("lang", "source").distinct()
-    marked = F.concat(
-        F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(0).alias("first"))),
-        F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("first"))),
-    )
-    words = base.select("lang", "source", F.inline(marked))
-    counts = words.groupBy("lang", "source", "term").agg(
-        F.sum(1 - F.col("first")).cast("long").alias("c"), F.sum("first").cast("long").alias("df")
+    words = base.mapInArrow(_counter, "lang string, source string, term binary, c long, df long")
+    counts = words.groupBy("lang", "source", F.col("term").cast("string").alias("term")).agg(
+        F.sum("c").alias("c"), F.sum("df").alias("df")
     )
     return counts, groups
 

@@ -226,3 +226,24 @@ def test_neighbours_recall_with_norms_groups_and_copies(spark):
         assert len(set(got[q])) == 20 and q not in got[q]
         hit += sum(scores[c] >= least for c in got[q])
     assert hit >= 0.97 * 20 * len(range(0, len(x), 20))
+
+
+def test_term_counts_of_odd_texts_and_groups(spark):
+    """Counted in the tasks of the partitions: odd texts, other alphabets, null groups."""
+    import re
+    from collections import Counter
+
+    from matchlake.llm import divergence
+
+    texts = ["Aa bB aa\tÉé 1x_y", None, "", "日本 語a B c-d", "aa AA aA", "x\x00y z\x7fz"]
+    rows = [(t, lang, s) for t in texts for lang in ("en", None) for s in ("web", None)] * 2
+    df = spark.createDataFrame(rows, "text string, lang string, source string").coalesce(1)
+    count, docs = Counter(), Counter()
+    for text, lang, source in rows:
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        terms = re.findall("[^\x00-\x40\x5B-\x60\x7B-\x7F]+", low)
+        count.update((lang or "", source or "", t) for t in terms)
+        docs.update((lang or "", source or "", t) for t in set(terms))
+    counts, groups = divergence.term_counts(df)
+    assert {(r["lang"], r["source"], r["term"]): (r["c"], r["df"]) for r in counts.collect()} == {k: (n, docs[k]) for k, n in count.items()}
+    assert groups.count() == 4 and "MapInArrow" in counts._jdf.queryExecution().executedPlan().toString()
