@@ -206,8 +206,9 @@ def smallest_share(
 ) -> DataFrame:
     """Flag exactly round-half-up(share x size) rows of each group: those with the smallest hash.
 
-    Groups are cut by the leading 16 bits of the hash, so a group with half of all
-    rows is spread over 65,536 parts and only its boundary part is ordered.
+    Groups are cut by the leading 16 bits of the hash. A count per part tells the one part of each
+    group that the share ends in; only its rows are shuffled and ordered, all others are flagged
+    by their part alone.
     """
     cut = df.withColumn("_part", F.shiftright(F.col(hashed), hash_bits - 16))
     sizes = cut.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"))
@@ -219,9 +220,11 @@ def smallest_share(
         (F.sum("_n").over(upto) - F.col("_n")).alias("_before"),
         F.floor(F.lit(share) * F.sum("_n").over(W.partitionBy(group)) + F.lit(0.5)).alias("_want"),
     )
+    reached = F.when(F.col("_before") < F.col("_want"), F.struct("_part", (F.col("_want") - F.col("_before")).alias("left")))
+    ends = sizes.groupBy(group).agg(F.max(reached).alias("_end"))
+    # One row per group; a share of no rows ends before the first part.
+    rows = cut.join(F.broadcast(ends), group).withColumn("_at", F.coalesce(F.col("_end._part"), F.lit(-1)))
     place = F.row_number().over(W.partitionBy(group, "_part").orderBy(hashed, *tie))
-    return (
-        cut.join(sizes, [group, "_part"])
-        .withColumn(out, (F.col("_before") + place <= F.col("_want")).cast("int"))
-        .drop("_part", "_before", "_want")
-    )
+    whole = rows.filter(F.col("_part") != F.col("_at")).withColumn(out, (F.col("_part") < F.col("_at")).cast("int"))
+    edge = rows.filter(F.col("_part") == F.col("_at")).withColumn(out, (place <= F.col("_end.left")).cast("int"))
+    return whole.unionByName(edge).drop("_part", "_end", "_at")

@@ -109,3 +109,22 @@ def test_stratified_split_is_exact_and_stable(spark):
     assert counts == {(0, 0): 106, (0, 1): 27, (1, 0): 54, (1, 1): 13}
     again = metrics.stratified_split(df.repartition(5), "y", ["Player", "Squad"], 0.2)
     assert sorted(first.collect()) == sorted(again.collect())
+
+
+def test_split_orders_only_the_parts_it_ends_in(spark):
+    """No join or window shuffles the rows; groups of one row, empty shares and rows with equal keys keep exact counts."""
+    rows = [("a", i % 700) for i in range(1000)] + [("b", 1)] + [("c", 7)] * 9 + [(None, 1)]
+    df = spark.createDataFrame(rows, "label string, id int")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = metrics.stratified_split(df, "label", ["id"])
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        counts = {(r["label"], r["is_test"]): r["count"] for r in got.groupBy("label", "is_test").count().collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    assert counts == {("a", 0): 800, ("a", 1): 200, ("b", 0): 1, ("c", 0): 7, ("c", 1): 2}
+    assert {r["id"] for r in got.filter("label = 'a' AND is_test = 1").collect()} == {
+        r["id"] for r in df.filter("label = 'a'").orderBy(metrics.c.stable_hash(42, "id"), "id").limit(200).collect()
+    }
