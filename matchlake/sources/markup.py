@@ -80,6 +80,11 @@ def _inner(token: Column, name: Column, end: Column) -> Column:
     )
 
 
+def _joined(pieces: str) -> Column:
+    """Texts ``h`` of (place, h) pieces, in order of their places."""
+    return F.array_join(F.transform(F.array_sort(F.col(pieces)), lambda s: s["h"]), "")
+
+
 def tidy_tables(pages: DataFrame) -> DataFrame:
     """(page_id, table_no, table): every table of the page's comments as tidy, flat markup."""
     x = placed(tokens(pages))
@@ -101,35 +106,39 @@ def tidy_tables(pages: DataFrame) -> DataFrame:
     )
     in_row = Window.partitionBy("page_id", "table_no", "rn").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = x.withColumn("col", F.sum(F.col("cell_start").cast("int")).over(in_row) - 1)
-    # cells: their own tag and the tokens while they are open
-    parts = x.where((F.col("rn") > 0) & (F.col("open") == 1) & (F.col("col") >= 0))
-    cells = parts.groupBy("page_id", "table_no", "rn", "col").agg(
-        F.max(F.when(F.col("cell_start"), F.col("name"))).alias("tag"),
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("pos", F.when(~F.col("cell_start"), _inner(F.col("token"), F.col("name"), F.col("end"))).alias("t")))), lambda s: s["t"]),
-            "",
-        ).alias("inside"),
+    # cells: their own tag and the tokens while they are open. What rows and tables need travels along, so that the
+    # tokens are read once.
+    in_cell = (F.col("rn") > 0) & (F.col("open") == 1) & (F.col("col") >= 0)
+    piece = F.when(~F.col("cell_start"), _inner(F.col("token"), F.col("name"), F.col("end")))
+    along = ["is_row", "row_head", "class", "tag", "has_head"]
+    cells = x.groupBy("page_id", "table_no", "rn", "col").agg(
+        F.max(F.when(in_cell & F.col("cell_start"), F.col("name"))).alias("cell"),
+        F.collect_list(F.when(in_cell, F.struct("pos", piece.alias("h")))).alias("inside"),
+        F.max(F.when(row_start, True)).alias("is_row"),
+        F.max(F.when(row_start, F.col("in_head"))).alias("row_head"),
+        F.max(F.when(row_start, _attribute(F.col("token"), "class"))).alias("class"),
+        F.max(F.when((F.col("name") == "table") & start & F.col("opened").isNotNull(), F.col("token"))).alias("tag"),
+        F.max(((F.col("name") == "thead") & start).cast("int")).alias("has_head"),
     )
-    cell_html = F.concat(F.lit("<"), F.col("tag"), F.lit(">"), F.col("inside"), F.lit("</"), F.col("tag"), F.lit(">"))
-    cell_rows = cells.groupBy("page_id", "table_no", "rn").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", cell_html.alias("h")))), lambda s: s["h"]), "").alias("cells")
+    cell_html = F.concat(F.lit("<"), F.col("cell"), F.lit(">"), _joined("inside"), F.lit("</"), F.col("cell"), F.lit(">"))
+    rows = cells.groupBy("page_id", "table_no", "rn").agg(
+        F.collect_list(F.when(F.col("cell").isNotNull(), F.struct("col", cell_html.alias("h")))).alias("cells"),
+        *[F.max(name).alias(name) for name in along],
     )
-    rows = x.where(row_start).select(
-        "page_id", "table_no", "rn", "in_head", _attribute(F.col("token"), "class").alias("class")
-    ).join(cell_rows, ["page_id", "table_no", "rn"], "left")
     row_html = F.concat(
         F.when(F.col("class") != "", F.concat(F.lit('<tr class="'), F.col("class"), F.lit('">'))).otherwise(F.lit("<tr>")),
-        F.coalesce("cells", F.lit("")),
+        _joined("cells"),
         F.lit("</tr>"),
     )
-    bodies = rows.groupBy("page_id", "table_no").agg(
-        F.array_sort(F.collect_list(F.struct("rn", "in_head", row_html.alias("h")))).alias("rows")
-    )
-    heads = x.groupBy("page_id", "table_no").agg(
-        F.max(F.when((F.col("name") == "table") & start & F.col("opened").isNotNull(), F.col("token"))).alias("tag"),
-        F.max(((F.col("name") == "thead") & start).cast("int")).alias("has_head"),
+    # Tables of pages without an id have no rows.
+    known = F.col("is_row") & F.col("page_id").isNotNull()
+    joined = rows.groupBy("page_id", "table_no").agg(
+        F.array_sort(
+            F.collect_list(F.when(known, F.struct("rn", F.col("row_head").alias("in_head"), row_html.alias("h"))))
+        ).alias("rows"),
+        F.max("tag").alias("tag"),
+        F.max("has_head").alias("has_head"),
     )
-    joined = heads.join(bodies, ["page_id", "table_no"], "left")
     rows_of = lambda head: F.array_join(
         F.transform(F.filter(F.coalesce("rows", F.array()), lambda r: r["in_head"] == head), lambda r: r["h"]), ""
     )

@@ -110,3 +110,16 @@ def test_pages_without_tables(spark):
     df = spark.createDataFrame([(1, "<!-- no --><p>x</p>"), (2, None), (3, "<!--<table>-->")], "page_id int, html string")
     got = [(r.page_id, r.table_no, r.table) for r in pages.page_tables(df).collect()]
     assert got == [(3, 0, "<table><tbody></tbody></table>")]
+
+
+def test_tokens_are_read_once(spark):
+    """One token stream serves cells, rows and tables: the page text is cut once and joined with nothing."""
+    from matchlake.sources import pages
+
+    html = "<!--<table id='t'><thead><tr><th>P</th></tr></thead><tbody><tr class='x'><td>1<td>2</table>-->"
+    tables = pages.page_tables(spark.createDataFrame([(1, html), (None, html)], "page_id long, html string"))
+    plan = tables._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.split("== Initial Plan ==")[0].count("posexplode(regexp_extract_all") <= 1
+    got = {r["page_id"]: r["table"] for r in tables.collect()}
+    assert got[1] == "<table id=\"t\"><thead><tr><th>P</th></tr></thead><tbody><tr class=\"x\"><td>1</td><td>2</td></tr></tbody></table>"
+    assert got[None] == "<table id=\"t\"><thead></thead><tbody></tbody></table>"
