@@ -107,8 +107,10 @@ def tidy_tables(pages: DataFrame) -> DataFrame:
     in_row = Window.partitionBy("page_id", "table_no", "rn").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = x.withColumn("col", F.sum(F.col("cell_start").cast("int")).over(in_row) - 1)
     # cells: their own tag and the tokens while they are open. What rows and tables need travels along, so that the
-    # tokens are read once.
+    # tokens are read once; all others go before they are grouped.
     in_cell = (F.col("rn") > 0) & (F.col("open") == 1) & (F.col("col") >= 0)
+    is_start = (F.col("name") == "table") & start & F.col("opened").isNotNull()
+    x = x.where(in_cell | row_start | is_start | ((F.col("name") == "thead") & start))
     piece = F.when(~F.col("cell_start"), _inner(F.col("token"), F.col("name"), F.col("end")))
     along = ["is_row", "row_head", "class", "tag", "has_head"]
     cells = x.groupBy("page_id", "table_no", "rn", "col").agg(
@@ -117,7 +119,7 @@ def tidy_tables(pages: DataFrame) -> DataFrame:
         F.max(F.when(row_start, True)).alias("is_row"),
         F.max(F.when(row_start, F.col("in_head"))).alias("row_head"),
         F.max(F.when(row_start, _attribute(F.col("token"), "class"))).alias("class"),
-        F.max(F.when((F.col("name") == "table") & start & F.col("opened").isNotNull(), F.col("token"))).alias("tag"),
+        F.max(F.when(is_start, F.col("token"))).alias("tag"),
         F.max(((F.col("name") == "thead") & start).cast("int")).alias("has_head"),
     )
     cell_html = F.concat(F.lit("<"), F.col("cell"), F.lit(">"), _joined("inside"), F.lit("</"), F.col("cell"), F.lit(">"))
