@@ -746,7 +746,8 @@ def _(x: Inputs):
 
 @query("M10_stratified_split")
 def _(x: Inputs):
-    labelled = players.star_label(x.star)
+    # The split reads its rows more than once.
+    labelled = x.stored("star_labels", players.star_label(x.star).select("Player", "Squad", "is_star"))
     return metrics.stratified_split(labelled, "is_star", ["Player", "Squad"]).select("Player", "Squad", "is_star", "is_test")
 
 
