@@ -7,6 +7,7 @@ compressed binary, with the ids and lengths of its documents.
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 import uuid
@@ -23,50 +24,112 @@ from matchlake.llm.wavelet import WaveletMatrix, build
 
 # Tokens in a shard, unless one document has more.
 SHARD_TOKENS = 1 << 20
-# Pieces kept in a worker's table; a full table is emptied and filled anew.
+# Words kept in a worker's table; a full table is emptied and filled anew.
 TABLE_PIECES = 600_000
+# Characters of the texts that are cut together, unless one text has more.
+SLICE_CHARS = 1 << 21
 END = 0
 
 _SHARD = "part int, shard int, n_tokens long, docs array<long>, lengths array<int>, matrix binary"
 # White space in anybody's list of it. A text may be cut before a space only where none stands beside the space.
 _SPACE = "\\s\u180e\u200b\ufeff"
 _EDGE_SPACE = re.compile(f"^[{_SPACE}]|[{_SPACE}]$|^$")
-# Letters and digits that every list of characters knows; a full stop or comma after one is a word of its own.
-_LAST_KNOWN = 0x250
+# Kinds of bytes: a word of the byte-level pre-tokenizer is a run of letters, digits or signs, with the space before it, or
+# a line end before something else. Only characters that every list knows have a kind; an apostrophe has none, as it
+# starts endings like 's.
+_ODD, _LETTER, _DIGIT, _SIGN, _BLANK, _LINE = range(6)
+_KINDS = np.full(256, _ODD, dtype=np.uint8)
+_KINDS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+_KINDS[0x30:0x3A] = _DIGIT
+_KINDS[[x for x in range(0x21, 0x7F) if not chr(x).isalnum() and x != ord("'")]] = _SIGN
+_KINDS[[0x20, 0x0A]] = _BLANK, _LINE
+# The characters that stand for bytes in a byte-level vocabulary, and a byte in no word above that parts them.
+_SEEN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_UNSEEN = sorted(set(range(0x100)) - set(_SEEN))
+_ALPHABET = "".join(chr(x) if x in _SEEN else chr(0x100 + _UNSEEN.index(x)) for x in range(0x100))
+_PARTING = b"\x7f"
 
 
 class _Codes(dict):
-    """Numbers pieces in order of arrival and remembers the new ones."""
+    """Numbers words in order of arrival and remembers the new ones."""
 
     def __init__(self):
         super().__init__()
-        self.new: list[str] = []
+        self.new: list[bytes] = []
 
-    def __missing__(self, piece: str) -> int:
-        code = self[piece] = len(self)
-        self.new.append(piece)
+    def __missing__(self, word: bytes) -> int:
+        code = self[word] = len(self)
+        self.new.append(word)
         return code
 
 
+def _kinds(data: np.ndarray) -> np.ndarray:
+    """Kind of each byte of UTF-8 text. Beyond ASCII, the letters from U+00C0 to U+024F have one."""
+    kinds = _KINDS[data]
+    at = np.flatnonzero((data >= 0xC3) & (data <= 0xC9))
+    lead, rest = data[at], data[at + 1]
+    known = np.where(lead == 0xC9, rest < 0x90, (lead != 0xC3) | ((rest != 0x97) & (rest != 0xB7)))
+    kinds[at[known]] = kinds[at[known] + 1] = _LETTER
+    return kinds
+
+
+def _cut(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the units that texts side by side (at ``bounds``) consist of, the units that are no plain words, and
+    the texts that cannot be cut.
+
+    A unit is a word, or a whole space-led piece of a text if it holds a byte of no kind or two line ends in a row.
+    """
+    kinds = _kinds(data)
+    first = np.zeros(len(data) + 1, dtype=bool)
+    first[bounds] = True
+    lines = kinds == _LINE
+    twice = np.flatnonzero(lines[:-1] & lines[1:])
+    spaces = np.flatnonzero(kinds == _BLANK)
+    after = np.append(kinds, _LINE)[spaces + 1]
+    bad = first[spaces + 1] | (after == _BLANK) | (after == _LINE) | (~first[spaces] & lines[spaces - 1])
+    first[spaces] = True
+    odd_bytes = np.concatenate((np.flatnonzero(kinds == _ODD), twice))
+    pieces = np.flatnonzero(first)
+    odd_pieces = np.unique(np.searchsorted(pieces, odd_bytes, "right") - 1)
+    first[1:-1] |= (kinds[1:] != kinds[:-1]) & (kinds[:-1] != _BLANK)
+    starts = np.flatnonzero(first[:-1])
+    # No unit starts inside an odd piece.
+    lo, hi = np.searchsorted(starts, pieces[odd_pieces]), np.searchsorted(starts, pieces[odd_pieces + 1])
+    inside = np.zeros(len(starts) + 1, dtype=np.int64)
+    np.add.at(inside, lo + 1, 1)
+    np.add.at(inside, np.maximum(hi, lo + 1), -1)
+    starts = starts[np.cumsum(inside)[:-1] == 0]
+    return starts, np.searchsorted(starts, pieces[odd_pieces]), np.searchsorted(bounds, spaces[bad], "right") - 1
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each range, one range after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
+
+
 class PieceTable:
-    """Ids of distinct space-led pieces, as found by the tokenizers library.
+    """Ids of the distinct words of a corpus, as found by the tokenizers library.
 
     The byte-level pre-tokenizer always cuts before a single space between two
-    other characters, so a text's ids are those of its pieces put together.
+    other characters, and between letters, digits and signs, so a text's ids are
+    those of its words put together. Texts are cut by their bytes, many at a
+    time, and a word goes to the library once as long as the table holds it.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
+        # The same model, for words that are cut already and written in its own alphabet.
+        parting = _ALPHABET[_PARTING[0]]
+        self.words = Tokenizer.from_file(path)
+        self.words.pre_tokenizer = pre_tokenizers.Split(parting, "isolated")
         vocabulary = self.library.get_vocab()
+        self.parting = vocabulary[parting]
         self.bits = max(vocabulary.values()).bit_length()
         self.specials = [a.content for a in self.library.get_added_tokens_decoder().values()]
-        self.leads = np.zeros(1 << self.bits, dtype=bool)
-        for token, i in vocabulary.items():
-            self.leads[i] = token.startswith("Ġ")
-        self.marks = {mark: self._whole([mark])[0] for mark in ".,"}
         self._clear()
 
     def _clear(self) -> None:
@@ -80,72 +143,67 @@ class PieceTable:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=np.uint32) for e in found]
 
-    def _cut(self, pieces: list[str]) -> list[np.ndarray]:
-        """Ids of pieces, each led by a space. They go to the library in lines of many; a piece begins at the token with its space."""
-        out: list[np.ndarray] = []
-        lines = [" " + " ".join(pieces[i : i + 2000]) for i in range(0, len(pieces), 2000)]
-        for ids in self._whole(lines):
-            bounds = np.append(np.flatnonzero(self.leads[ids]), len(ids)).tolist()
-            out += [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        return out
-
-    def _learn(self) -> None:
-        """Take in the pieces that got a code since the last call."""
+    def _plain(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain words, and how many each has. They go to the library in lines of many, parted by a byte of its own."""
+        lines = [_PARTING.join(words[i : i + 100]) + _PARTING for i in range(0, len(words), 100)]
+        found = self.words.encode_batch_fast([codecs.charmap_decode(x, "strict", _ALPHABET)[0] for x in lines], add_special_tokens=False)
+        ids = np.concatenate([np.empty(0, dtype=np.uint32), *(np.array(e.ids, dtype=np.uint32) for e in found)])
+        ends = np.flatnonzero(ids == self.parting)
+        if len(ends) != len(words):
+            raise ValueError("the tokenizer does not keep words apart")
+        return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
+
+    def _coded(self, units: list[bytes], odd: np.ndarray) -> np.ndarray:
+        """Codes of distinct units; the new ones are taken into the table."""
+        if len(self.codes) > TABLE_PIECES:
+            self._clear()
+        known = len(self.codes)
+        codes = np.fromiter(map(self.codes.__getitem__, units), dtype=np.int64, count=len(units))
         new, self.codes.new = self.codes.new, []
         if not new:
-            return
-        plain: dict[str, int] = {}
-        plan = []
-        for piece in new:
-            if _EDGE_SPACE.search(piece):
-                plan.append(None)
-                continue
-            end = piece[-1]
-            if end in self.marks and len(piece) > 1 and piece[-2].isalnum() and ord(piece[-2]) < _LAST_KNOWN:
-                piece = piece[:-1]
-            else:
-                end = ""
-            plan.append((plain.setdefault(piece, len(plain)), end))
-        ids = self._cut(list(plain))
-        none = np.empty(0, dtype=np.uint32)
-        parts: list[np.ndarray] = []
-        lengths = []
-        for entry in plan:
-            found = none if entry is None else ids[entry[0]]
-            mark = self.marks[entry[1]] if entry and entry[1] else none
-            parts += (found, mark)
-            lengths.append(-1 if entry is None else len(found) + len(mark))
-        sizes = np.array(lengths, dtype=np.int64)
-        ends = np.cumsum(np.maximum(sizes, 0)) + len(self.ids)
-        self.starts = np.concatenate((self.starts, ends - np.maximum(sizes, 0)))
-        self.lengths = np.concatenate((self.lengths, sizes))
-        self.ids = np.concatenate((self.ids, *parts))
+            return codes
+        strange = odd[codes >= known]
+        ids, counts = self._plain([w for w, s in zip(new, strange.tolist(), strict=True) if not s])
+        texts = [new[i].decode() for i in np.flatnonzero(strange)]
+        others = self._whole(texts)
+        barred = [bool(_EDGE_SPACE.search(t.removeprefix(" "))) for t in texts]
+        lengths = np.empty(len(new), dtype=np.int64)
+        lengths[~strange], lengths[strange] = counts, [len(x) for x in others]
+        starts = np.empty(len(new), dtype=np.int64)
+        starts[~strange] = np.cumsum(counts) - counts
+        starts[strange] = len(ids) + np.cumsum(lengths[strange]) - lengths[strange]
+        lengths[np.flatnonzero(strange)[barred]] = -1
+        self.starts = np.concatenate((self.starts, starts + len(self.ids)))
+        self.lengths = np.concatenate((self.lengths, lengths))
+        self.ids = np.concatenate((self.ids, ids, *others))
+        return codes
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.codes) > TABLE_PIECES:
-            self._clear()
-        split = [t.split(" ") for t in texts]
-        code = self.codes.__getitem__
-        pieces = [np.fromiter(map(code, s[1:]), dtype=np.int64, count=len(s) - 1) for s in split]
-        self._learn()
-        # Texts with special strings, or with white space beside a space, are encoded whole.
-        odd = [
-            i
-            for i, (t, s) in enumerate(zip(texts, split, strict=True))
-            if any(x in t for x in self.specials)
-            or (len(s) > 1 and (_EDGE_SPACE.search(s[0][-1:]) or (self.lengths[pieces[i]] < 0).any()))
-        ]
-        whole = dict(zip(odd, self._whole([texts[i] for i in odd]), strict=True))
-        first = self._whole(["" if i in whole else s[0] for i, s in enumerate(split)])
-        return [whole[i] if i in whole else np.concatenate((first[i], self._gather(p))) for i, p in enumerate(pieces)]
-
-    def _gather(self, codes: np.ndarray) -> np.ndarray:
+        joined = pa.array(["".join(texts)], pa.large_binary())
+        buffer = joined.buffers()[2]
+        data = np.frombuffer(buffer, dtype=np.uint8) if buffer and buffer.size else np.empty(0, dtype=np.uint8)
+        bounds = np.cumsum([0, *(len(t) if t.isascii() else len(t.encode()) for t in texts)])
+        data = data[: bounds[-1]]
+        if not len(data):
+            return self._whole(texts)
+        starts, odd_units, uncut = _cut(data, bounds)
+        offsets = pa.py_buffer(np.append(starts, len(data)))
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, offsets, buffer]).dictionary_encode()
+        local = coded.indices.to_numpy()
+        odd = np.zeros(len(coded.dictionary), dtype=bool)
+        odd[local[odd_units]] = True
+        codes = self._coded(coded.dictionary.to_pylist(), odd)[local]
         lengths = self.lengths[codes]
-        ends = np.cumsum(lengths)
-        if not len(codes) or not ends[-1]:
-            return self.ids[:0]
-        within = np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)
-        return self.ids[np.repeat(self.starts[codes], lengths) + within]
+        # Texts with special strings, or with white space beside a space, are encoded whole.
+        barred = np.searchsorted(bounds, starts[lengths < 0], "right") - 1
+        whole = sorted({*uncut.tolist(), *barred.tolist(), *(i for i, t in enumerate(texts) if any(x in t for x in self.specials))})
+        lengths = np.maximum(lengths, 0)
+        ids = self.ids[_ranges(self.starts[codes], lengths)]
+        cuts = np.append(0, np.cumsum(lengths))[np.searchsorted(starts, bounds)]
+        out = [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        for i, found in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
+            out[i] = found
+        return out
 
 
 # One table per worker process, shared by the partitions it works on.
@@ -158,6 +216,17 @@ def _table(path: str) -> PieceTable:
     return _tables[path]
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[list[int | None], list[str]]]:
+    """Ids and texts of a batch, as many rows at a time as have ``SLICE_CHARS`` characters."""
+    docs, texts = batch.column(0).to_pylist(), ["" if t is None else t for t in batch.column(1).to_pylist()]
+    start = size = 0
+    for i, text in enumerate(texts, 1):
+        size += len(text)
+        if size >= SLICE_CHARS or i == len(texts):
+            yield docs[start:i], texts[start:i]
+            start, size = i, 0
+
+
 def _writer(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -175,10 +244,8 @@ def _writer(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
             return pa.RecordBatch.from_pylist([row], schema=_ARROW)
 
         for batch in batches:
-            for lo in range(0, len(batch), 256):
-                piece = batch.slice(lo, 256)
-                texts = ["" if t is None else t for t in piece.column(1).to_pylist()]
-                for doc, found in zip(piece.column(0).to_pylist(), table.encode(texts), strict=True):
+            for docs_in, texts in _slices(batch):
+                for doc, found in zip(docs_in, table.encode(texts), strict=True):
                     docs.append(doc)
                     ids.append(np.append(found, np.uint32(END)))
                     size += len(ids[-1])

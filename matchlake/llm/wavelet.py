@@ -29,7 +29,7 @@ def build(tokens: np.ndarray, bits: int) -> bytes:
         ones = np.add.reduceat(np.bitwise_count(packed), np.arange(0, len(packed), BLOCK // 8), dtype=np.uint64) if n else []
         ranks = np.cumsum([0, *ones], dtype=np.uint64)
         out += [ranks.astype("<u8").tobytes(), packed.tobytes()]
-        now = np.concatenate((now[~plane], now[plane]))
+        now = np.concatenate((now.take(np.flatnonzero(~plane)), now.take(np.flatnonzero(plane))))
     return b"".join(out)
 
 
@@ -110,7 +110,7 @@ class WaveletMatrix:
         for level in range(self.bits - 1, -1, -1):
             plane = self._plane(level)
             before = np.empty_like(now)
-            before[~plane] = now[: self.zeros[level]]
-            before[plane] = now[self.zeros[level] :] | kind(1 << (self.bits - 1 - level))
+            before[np.flatnonzero(~plane)] = now[: self.zeros[level]]
+            before[np.flatnonzero(plane)] = now[self.zeros[level] :] | kind(1 << (self.bits - 1 - level))
             now = before
         return now

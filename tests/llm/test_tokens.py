@@ -104,3 +104,22 @@ def test_piece_table_reset(some_docs, monkeypatch):
     table = token_shards.PieceTable(BYTES)
     table.encode(texts[:5])
     assert [x.tolist() for x in table.encode(texts)] == [e.ids for e in table.library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_a_word_goes_to_the_library_once(some_docs):
+    """Whatever sign or line end stands beside it, and in whichever piece of a text."""
+    table = token_shards.PieceTable(BYTES)
+    texts = ["x Omega Omega. Omega, Omega;\nOmega\nOmega Omega### Omega12", "y Omega.\nOmega\nOmega it's Omega", "Omega Omega's", ""]
+    assert [x.tolist() for x in table.encode(texts)] == [e.ids for e in table.library.encode_batch(texts, add_special_tokens=False)]
+    words = [w for w in table.codes if b"Omega" in w]
+    assert sorted(words) == [b" Omega", b" Omega's", b"Omega"]
+
+
+def test_cut_texts_equal_the_library_on_random_strings():
+    parts = [*"aZ9.é,'#\n\n\t _ß×÷ªº²½ǅƻɏɐ字Жж́​﻿᠎\x7f\x00|<>", "'s", "  ", " a", " b.", "\r\n", "ing", "\n\n\n", "<|endoftext|>"]
+    draw = np.random.RandomState(5)
+    texts = ["".join(draw.choice(parts, draw.randint(0, 14))) for _ in range(20000)]
+    table = token_shards.PieceTable(BYTES)
+    expected = [e.ids for e in table.library.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in table.encode(texts)] == expected
+    assert [x.tolist() for t in texts[:2000] for x in table.encode([t])] == expected[:2000]
