@@ -247,3 +247,28 @@ def test_term_counts_of_odd_texts_and_groups(spark):
     counts, groups = divergence.term_counts(df)
     assert {(r["lang"], r["source"], r["term"]): (r["c"], r["df"]) for r in counts.collect()} == {k: (n, docs[k]) for k, n in count.items()}
     assert groups.count() == 4 and "MapInArrow" in counts._jdf.queryExecution().executedPlan().toString()
+
+
+def test_neighbours_rounds_are_small_jobs(spark, monkeypatch):
+    """The driver holds plans and figures of every exchange, so rounds have few; vectors reach a bucket once a query."""
+    import numpy as np
+
+    draw = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(draw.standard_normal((300, 64)))], "vec_id long, embedding array<double>")
+    plans = []
+
+    def written(frame):
+        plans.append(frame._jdf.queryExecution().optimizedPlan().toString())
+        return frame.checkpoint()
+
+    monkeypatch.setattr(neighbours, "checkpointed", written)
+    monkeypatch.setattr(neighbours, "BUCKET", 50)
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in neighbours.nearest(df).collect()}
+    x = np.array([r["embedding"] for r in df.orderBy("vec_id").collect()])
+    for q in range(0, 300, 20):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        assert [got[q, r] for r in range(1, 21)] == np.argsort(-scores)[:20].tolist()
+    rounds = [p for p in plans if "MapInArrow" in p]
+    assert max(p.count("Repartition") + p.count("Aggregate") + p.count("Join ") for p in rounds) <= 4
+    assert not any("Window" in p for p in rounds)
