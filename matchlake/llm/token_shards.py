@@ -27,7 +27,7 @@ SHARD_TOKENS = 1 << 20
 # Words kept in a worker's table; a full table is emptied and filled anew.
 TABLE_PIECES = 600_000
 # Characters of the texts that are cut together, unless one text has more.
-SLICE_CHARS = 1 << 21
+SLICE_CHARS = 1 << 23
 END = 0
 
 _SHARD = "part int, shard int, n_tokens long, docs array<long>, lengths array<int>, matrix binary"
