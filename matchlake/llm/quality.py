@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchlake.llm.common import checkpointed, ship
+from matchlake.llm.common import checkpointed, ship, shuffles_dropped
 from matchlake.llm import word_model
 from matchlake.llm.ngram_model import CLASS_NATS, CODES, KneserNey, codes
 
@@ -102,8 +102,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit_models(rows: DataFrame) -> dict[str, KneserNey]:
     """Models of the (``model``, ``text``) rows. What reaches the driver is at most ``CODES`` rows per model."""
-    counts = rows.mapInArrow(_count, "model string, gram int, n long").groupBy("model", "gram").agg(F.sum("n").alias("n"))
-    table = counts.toPandas()
+    with shuffles_dropped(rows.sparkSession):
+        counts = rows.mapInArrow(_count, "model string, gram int, n long").groupBy("model", "gram").agg(F.sum("n").alias("n"))
+        table = counts.toPandas()
     return {
         name: KneserNey(part["gram"].to_numpy(), part["n"].to_numpy())
         for name, part in table.sort_values("gram").groupby("model")

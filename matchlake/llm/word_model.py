@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchlake.llm.common import remove, shared_folder
+from matchlake.llm.common import remove, shared_folder, shuffles_dropped
 from matchlake.llm.hashing import blocks, mix, word_hashes
 
 # Characters of text in a chunk, unless one text has more.
@@ -321,8 +321,9 @@ def _stored(asked: DataFrame, width: int, models: int) -> tuple[str, np.ndarray]
     """Folder with the answers, one folder per chunk, and the counts of counts per model."""
     spark = asked.sparkSession
     folder = f"{shared_folder(spark)}/word-model-{uuid.uuid4().hex}"
-    answers = asked.groupBy("bucket").applyInPandas(_answer(width, models), _ANSWER)
-    answers.repartition("chunk").write.partitionBy("chunk").parquet(folder)
+    with shuffles_dropped(spark):
+        answers = asked.groupBy("bucket").applyInPandas(_answer(width, models), _ANSWER)
+        answers.repartition("chunk").write.partitionBy("chunk").parquet(folder)
     # One row per hash range, of a few numbers each.
     found = spark.read.schema(_ANSWER).parquet(folder).where("chunk = -1").select("counts").toPandas()["counts"]
     return folder, sum((_unpack(c).astype(np.int64) for c in found), np.zeros(models * STATS, dtype=np.int64)).reshape(models, STATS)

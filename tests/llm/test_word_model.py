@@ -1,6 +1,7 @@
 """The word model: against a plain count over all other documents, and text whose words stand in disorder."""
 
 import math
+import os
 import random
 import uuid
 from collections import Counter
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from matchlake.llm import quality
+from matchlake.llm import quality, word_model
 
 
 def brute(rows):
@@ -103,3 +104,20 @@ def test_the_pipeline_drops_words_in_disorder(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r["doc_id"] for r in corpus_pipeline.quality_rules(spark, docs, "").collect()}
     assert kept == set(range(300))
+
+
+def test_shuffles_of_the_model_are_gone_once_its_answers_are_stored(spark):
+    def shuffled():
+        places = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        files = [os.path.join(at, f) for d in places for at, _, names in os.walk(d.getPath()) for f in names if f.endswith(".data")]
+        return {f: os.path.getsize(f) for f in files if f.rpartition("/")[2].startswith("shuffle_")}
+
+    rows = spark.createDataFrame([(i, "en", t) for i, t in enumerate(corpus(400, 5))], "row long, model string, text string")
+    quality.ship(spark)
+    before = shuffled()
+    asked = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    model = word_model.fit(rows, ["en", "other"])
+    model.drop(spark)
+    left = {f: n for f, n in shuffled().items() if f not in before}
+    assert left == {}
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == asked
