@@ -9,6 +9,9 @@ import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +77,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def chunk_tables(folder: str, chunk: int) -> list[pa.Table]:
+    """Tables stored for one chunk under ``folder``, which is partitioned by ``chunk``; for use in tasks."""
+    system, path = fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
+    files = system.get_file_info(fs.FileSelector(f"{path}/chunk={chunk}", allow_not_found=True))
+    names = [f.path for f in files if f.base_name.endswith(".parquet")]
+    return [pq.ParquetFile(system.open_input_file(name)).read() for name in names]
+
+
 @contextmanager
 def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of the DataFrames made and run inside go as soon as each has run, not when the driver collects garbage."""

@@ -25,12 +25,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.parquet as pq
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchlake.llm.common import remove, shared_folder, shuffles_dropped
+from matchlake.llm.common import chunk_tables, remove, shared_folder, shuffles_dropped
 from matchlake.llm.hashing import blocks, mix, word_hashes
 
 # Characters of text in a chunk, unless one text has more.
@@ -177,10 +175,7 @@ def _read(folder: str, chunk: int, hashes: np.ndarray, width: int) -> tuple[list
     """The answer to a chunk: totals in the order of its hashes, and what it owns. Refused if it is not to these hashes."""
     if not len(hashes):
         return [np.zeros(0, dtype=np.int64)] * width, np.zeros(0, dtype=bool)
-    system, path = fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
-    files = system.get_file_info(fs.FileSelector(f"{path}/chunk={chunk}", allow_not_found=True))
-    names = [f.path for f in files if f.base_name.endswith(".parquet")]
-    rows = [r for name in names for r in pq.ParquetFile(system.open_input_file(name)).read().to_pylist()]
+    rows = [r for stored in chunk_tables(folder, chunk) for r in stored.to_pylist()]
     rows.sort(key=lambda r: r["bucket"])
     start, parts = 0, []
     for r in rows:

@@ -37,6 +37,50 @@ def test_pieces_with_a_full_table(some_docs, monkeypatch):
     assert pieces.crossing_pieces(["▁a", "▁▁", "a▁", "b"]) == ["a▁"]
 
 
+def test_a_word_is_segmented_in_one_place_for_the_whole_corpus(odd_docs, spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pieces, "CHUNK_CHARS", 40)
+    rows = odd_docs.selectExpr("doc_id AS doc", "text")
+    pieces.ship(spark)
+    words = {w for r in rows.collect() for w in pieces.chunks(r["text"] or "")}
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    asked = rows.mapInArrow(pieces._asker(5, 40), pieces._ASKED).collect()
+    assert len({r["chunk"] for r in asked}) > 3
+    places = {}
+    for r in asked:
+        for w in r["words"].split(pieces.MARK):
+            places.setdefault(w, set()).add(r["bucket"])
+    assert places.keys() == words and all(len(p) == 1 for p in places.values())
+    folder = f"{tmp_path}/words"
+    pieces.store_words(rows, PIECES, folder, 5)
+    stored = {(r["chunk"], r["bucket"]): r for r in spark.read.parquet(folder).collect()}
+    assert stored.keys() == {(r["chunk"], r["bucket"]) for r in asked}
+    for r in asked:
+        ws, answer = r["words"].split(pieces.MARK), stored[r["chunk"], r["bucket"]]
+        assert answer["ids"] == [i for w in ws for i in (library.encode(w) or [library.piece_to_id(pieces.MARK)])]
+        found = pieces.Answers(PIECES, folder, r["chunk"], [ws if k == r["bucket"] else [] for k in range(5)])
+        assert found.missing == 0
+
+
+@pytest.mark.parametrize("which", ["odd_docs", "some_docs"])
+def test_pieces_of_many_chunks_equal_the_library(which, request, monkeypatch):
+    monkeypatch.setattr(pieces, "CHUNK_CHARS", 3000)
+    monkeypatch.setattr(pieces, "SLICE_CHARS", 500)
+    test_pieces_equal_the_library(which, request)
+
+
+def test_pieces_of_rows_that_are_cut_otherwise_when_read_again(odd_docs, spark, tmp_path):
+    folder = f"{tmp_path}/words"
+    rows = odd_docs.selectExpr("doc_id AS doc", "text")
+    pieces.ship(spark)
+    pieces.store_words(rows, PIECES, folder, 4)
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    for r in rows.where("text IS NOT NULL").collect():
+        answers = pieces.Answers(PIECES, folder, 0, pieces._dealt([r["text"]], 4))
+        ids, bounds, decoded = answers.encode([r["text"]])
+        assert list(ids) == library.encode(r["text"]) and list(bounds) == [0, len(ids)]
+        assert decoded == [library.decode(library.encode(r["text"]))]
+
+
 def test_pieces_query(spark):
     rows = {r["doc_id"]: r for r in queries.op7_pieces(spark, SF).collect()}
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
