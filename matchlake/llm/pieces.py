@@ -254,7 +254,8 @@ def store_words(rows: DataFrame, model: str, folder: str, buckets: int) -> None:
     with shuffles_dropped(rows.sparkSession):
         asked = rows.mapInArrow(_asker(buckets, CHUNK_CHARS), _ASKED)
         answers = asked.groupBy("bucket").applyInPandas(_segmenter(model), _ANSWER)
-        answers.repartition("chunk").write.partitionBy("chunk").parquet(folder)
+        # As many tasks as partitions of the rows, so that each writes a few chunks however many there are.
+        answers.repartition(max(2, buckets // 4), "chunk").write.partitionBy("chunk").parquet(folder)
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
